@@ -1,0 +1,37 @@
+"""Connected components of a link table, as a loop of joins.
+
+Each round gives every node the least label among its neighbours and then the
+label of that label, so a star settles at once and a chain in a logarithm of its
+length.  Rounds are checkpointed, never collected; hot nodes are rows of a join
+that adaptive execution can split, and the least label is combined on the map side.
+"""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the cluster's spark.checkpoint.dir; set a folder only where none is named."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) for each node of ``links`` (a, b); label is the least node it is connected with."""
+    ensure_checkpoint_dir(links.sparkSession)
+    both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct().checkpoint()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")).checkpoint()
+    while True:
+        heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        low = labels.join(heard, "node").select("node", F.least("label", "heard").alias("low"), F.col("label").alias("old")).checkpoint()
+        onward = low.select(F.col("node").alias("low"), F.col("low").alias("next"))
+        # A label is always a node of the table, so the inner join keeps every row.
+        new = low.join(onward, "low").select("node", F.least("low", "next").alias("label"), "old").checkpoint()
+        if new.where("label <> old").isEmpty():
+            return new.select("node", "label")
+        labels = new.select("node", "label")
