@@ -1 +1,6 @@
+"""Registered queries over the domain tables."""
 
+from . import aggregates
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "aggregates"]
