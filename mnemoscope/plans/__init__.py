@@ -1,6 +1,6 @@
 """Registered queries over the domain tables."""
 
-from . import aggregates
+from . import aggregates, filters_joins, retrieval
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "filters_joins", "retrieval"]
