@@ -1,6 +1,6 @@
 """Registered queries over the domain tables."""
 
-from . import aggregates, filters_joins, retrieval
+from . import aggregates, filters_joins, graph_facts, retrieval, reviews, scalars
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "filters_joins", "retrieval"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "filters_joins", "graph_facts", "retrieval", "reviews", "scalars"]
