@@ -1,3 +1,103 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-ORACLE_SQL: dict[str, str] = {}
+Left out, and tested against brute force or held-out labels instead: op2 (an
+expression parser), op3 and op7 (fitted models) and op4 (hashed weights).
+"""
+
+from __future__ import annotations
+
+from .mixing import MAX_EPOCHS
+from .quality_rules import FLOOR, MIN_GROUP, MIN_WORDS, SPREAD, SUB_BITS
+from .secret_scan import RULES
+
+_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+
+_OP1 = rf"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS.format('text')} AS words FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+c AS (SELECT w.doc_id, w.lang, w.source, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id LEFT JOIN lines ON lines.doc_id = w.doc_id),
+r AS (SELECT *, CASE WHEN n_words >= {MIN_WORDS} THEN [n_symbols * 1000000 // word_chars, n_repeat_words * 1000000 // n_words, n_dup_lines * 1000000 // n_words, word_chars * 1000000 // n_words] END AS v FROM c),
+e AS (SELECT lang, source, unnest(['symbols', 'repeats', 'dup_lines', 'word_length']) AS rule, unnest(v) AS v FROM r WHERE v IS NOT NULL),
+b AS (SELECT lang, source, rule, (v >> s) << s AS bucket FROM (SELECT *, greatest(length(bin(v)) - {SUB_BITS + 1}, 0)::INTEGER AS s FROM e)),
+k AS (SELECT lang, source, 0 AS level, rule, bucket FROM b UNION ALL SELECT lang, NULL, 1, rule, bucket FROM b UNION ALL SELECT NULL, NULL, 2, rule, bucket FROM b),
+h AS (SELECT lang, source, level, rule, bucket, count(*) AS n FROM k GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, level, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, level, rule) AS total FROM h),
+q AS (SELECT lang, source, level, rule, max(total) AS total, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3 FROM u GROUP BY ALL),
+p AS (SELECT a.lang, a.source, a.rule, CASE WHEN a.total >= {MIN_GROUP} THEN a.q1 WHEN l.total >= {MIN_GROUP} THEN l.q1 ELSE g.q1 END AS q1, CASE WHEN a.total >= {MIN_GROUP} THEN a.q3 WHEN l.total >= {MIN_GROUP} THEN l.q3 ELSE g.q3 END AS q3
+    FROM q a JOIN q l ON l.level = 1 AND l.rule = a.rule AND l.lang IS NOT DISTINCT FROM a.lang JOIN q g ON g.level = 2 AND g.rule = a.rule WHERE a.level = 0),
+t AS (SELECT lang, source, rule, q1 - {SPREAD} * greatest(q3 - q1, f) AS low, q3 + {SPREAD} * greatest(q3 - q1, f) AS high FROM (SELECT *, CASE rule {' '.join(f"WHEN '{x}' THEN {v[0]}" for x, v in FLOOR.items())} END AS f FROM p)),
+j AS (SELECT r.doc_id, string_agg(x.rule, ',' ORDER BY x.i) AS failed FROM r, LATERAL (SELECT unnest(['symbols', 'repeats', 'dup_lines', 'word_length']) AS rule, unnest(r.v) AS v, unnest([1, 2, 3, 4]) AS i) x
+    JOIN t ON t.rule = x.rule AND t.lang IS NOT DISTINCT FROM r.lang AND t.source IS NOT DISTINCT FROM r.source WHERE x.v > t.high OR (x.rule = 'word_length' AND x.v < t.low) GROUP BY r.doc_id),
+f AS (SELECT r.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(j.failed, '') AS failed FROM r LEFT JOIN j ON j.doc_id = r.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM f
+"""
+
+_OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS top FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || d[i:i])::INTEGER), 4, '0')), '') AS bits FROM m)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * bits[i * 5 + 1:i * 5 + 1]::INTEGER + 8 * bits[i * 5 + 2:i * 5 + 2]::INTEGER + 4 * bits[i * 5 + 3:i * 5 + 3]::INTEGER + 2 * bits[i * 5 + 4:i * 5 + 4]::INTEGER + bits[i * 5 + 5:i * 5 + 5]::INTEGER, 1)), '') AS payload_digest,
+    CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM b
+"""
+
+
+def _plain(pattern: str) -> str:
+    """The pattern without inline flags, which mean more than ASCII in other engines."""
+    if "(?i:" not in pattern:
+        return pattern
+    head, rest = pattern.split("(?i:", 1)
+    body, tail = rest.split(")", 1)
+    return head + "(" + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in body) + ")" + tail
+
+
+def _rule_sql(r, rank: int) -> str:
+    p = _plain(r.pattern).replace("((", "(", 1).replace("))", ")", 1) if r.group else _plain(r.pattern)
+    p = p.replace("'", "''")
+    secret = f"regexp_extract_all(text, '{p}', {r.group})"
+    return f"""SELECT doc_id, '{r.name}' AS rule, {rank} AS rank, {r.least} AS least, regexp_split_to_array(text, '{p.replace("([", "(?:[").replace("([P", "(?:[P") if r.group else p}') AS gaps, regexp_extract_all(text, '{p}', 0) AS found, {secret} AS secret FROM d"""
+
+
+_OP6 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({' UNION ALL '.join(_rule_sql(r, i) for i, r in enumerate(RULES))}),
+e AS (SELECT doc_id, rule, rank, least, unnest(range(1, len(found) + 1)) AS i, unnest(found) AS f, unnest(secret) AS s, unnest(gaps[1:len(found)]) AS g FROM m WHERE len(found) > 0),
+x AS (SELECT *, sum(length(g) + length(f)) OVER (PARTITION BY doc_id, rule ORDER BY i) AS stop FROM e),
+y AS (SELECT doc_id, rule, rank, stop - length(f) AS start, rule || ':' || (stop - length(f)) || ':' || stop AS span FROM x WHERE length(s) >= least),
+z AS (SELECT doc_id, count(*) FILTER (rule = 'assign') AS n_assign, count(*) FILTER (rule = 'access') AS n_access, count(*) FILTER (rule = 'hex') AS n_hex, string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM y GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN z ON z.doc_id = d.doc_id
+"""
+
+_OP8 = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS.format('text')})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
+l AS (SELECT *, source_size * {MAX_EPOCHS}.0::DOUBLE AS lim FROM s),
+v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM l WINDOW o AS (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT min(struct_pack(r := lim / weight, level := level)) AS x FROM v WHERE lim >= level * weight),
+t AS (SELECT source, source_size, CASE WHEN x IS NULL OR lim < x.level * weight THEN lim ELSE x.level * weight END AS target FROM v CROSS JOIN f),
+q AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+e AS (SELECT *, (epoch * source_size + upto) / target AS finish FROM (SELECT q.*, unnest(range({MAX_EPOCHS})) AS epoch FROM q WHERE size > 0 AND target > 0)),
+k AS (SELECT doc_id, size, key, upto, source, sum(size) OVER (ORDER BY finish, source NULLS LAST ROWS UNBOUNDED PRECEDING) <= (SELECT sum(source_size) FROM s) AS fits FROM e),
+n AS (SELECT source, upto, sum(size) FILTER (fits) AS taken FROM k GROUP BY source, upto)
+SELECT q.doc_id, q.size, q.source_size, q.target, CASE WHEN q.size > 0 THEN coalesce(n.taken, 0) ELSE 0 END::BIGINT AS taken FROM q LEFT JOIN n ON n.source IS NOT DISTINCT FROM q.source AND n.upto = q.upto
+"""
+
+_OP9 = rf"""
+WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS words FROM documents), r AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35),
+g AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS k FROM r), twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM g) WHERE n > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM twice) GROUP BY doc_id),
+each AS (SELECT w.doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w), dead AS (SELECT doc_id, unnest(ps) AS p, true AS hit FROM gone),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.p) FILTER (hit IS NULL) AS body, count(hit) AS n FROM each e LEFT JOIN dead ON dead.doc_id = e.doc_id AND dead.p = e.p GROUP BY e.doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
+_FOLDED = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP10 = rf"""
+WITH i AS (SELECT item_id, {_FOLDED.format('text')} AS words FROM benchmark), ig AS (SELECT DISTINCT item_id, array_to_string(words[k:k + 4], ' ') AS g FROM (SELECT item_id, words, unnest(range(1, len(words) - 3)) AS k FROM i WHERE len(words) >= 5)),
+n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY 1), d AS (SELECT doc_id, {_FOLDED.format('text')} AS words FROM documents),
+dg AS (SELECT DISTINCT doc_id, array_to_string(words[k:k + 4], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS k FROM d WHERE len(words) >= 5))
+SELECT doc_id, item_id, n::INTEGER AS n_shingles, count(*)::INTEGER AS n_found, count(*)::DOUBLE / n AS containment FROM ig JOIN dg USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op5_warc_zip": _OP5, "op6_secret_scan": _OP6, "op8_mixing": _OP8, "op9_substring_dedup": _OP9, "op10_decontaminate": _OP10}
