@@ -8,22 +8,15 @@ that adaptive execution can split, and the least label is combined on the map si
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; set a folder only where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+from .session import prepare
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of ``links`` (a, b); label is the least node it is connected with."""
-    ensure_checkpoint_dir(links.sparkSession)
+    prepare(links.sparkSession)
     both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")).checkpoint()
     while True:

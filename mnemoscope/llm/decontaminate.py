@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .session import prepare
 
 BINS_PER_SHINGLE = 16
 TINY = 8
@@ -148,6 +149,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, *, shingle: int = 5, t
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     spark: SparkSession = docs.sparkSession
+    prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out: DataFrame | None = None
     for ids, texts in item_blocks(items, block_items, block_bytes):
@@ -176,6 +178,7 @@ def _clean(shared, shingle: int, threshold: float):
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = 5, threshold: float = 0.8, block_items: int = 20_000, block_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` without those that hold an item, with all columns; nothing is shuffled."""
     spark = docs.sparkSession
+    prepare(spark)
     for ids, texts in item_blocks(items, block_items, block_bytes):
         shared = spark.sparkContext.broadcast(ItemIndex(ids, texts, shingle))
         docs = docs.mapInArrow(_clean(shared, shingle, threshold), docs.schema)

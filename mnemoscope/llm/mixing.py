@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import ensure_checkpoint_dir
+from .session import prepare
 
 MAX_EPOCHS = 3
 BIN_DIGITS = 3
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, sources: DataFrame | None = None, *, max_epochs: int =
     ``sources`` (source, source_size, weight) defaults to the weights 1, 2, 3 in turn;
     ``finish`` is the virtual finish time of the first epoch, null for sources without target.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
+    prepare(docs.sparkSession)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
     uid = F.xxhash64("doc_id", "text", F.col("source").cast("string"))
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"), uid.alias("uid")).checkpoint()

@@ -43,7 +43,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .components import components, ensure_checkpoint_dir
+from .components import components
+from .session import prepare
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -158,7 +159,7 @@ def _sign(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value
         for batch in batches:
-            for part, piece in tx.slices(batch, limit=1 << 18):
+            for part, piece in tx.slices(batch):
                 have, keys = band_keys(*weighted(piece, idf))
                 offsets = np.zeros(len(piece) + 1, np.int32)
                 offsets[have + 1] = BANDS
@@ -184,7 +185,7 @@ def _verify(shared, threshold: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, lead, own = shared.value, None, None
         for batch in batches:
-            for part, piece in tx.slices(batch, limit=1 << 18):
+            for part, piece in tx.slices(batch):
                 row, value, weight = weighted(piece, idf)
                 cuts = np.searchsorted(row, np.arange(len(piece) + 1))
                 leads, nodes = part.column("lead").to_pylist(), part.column("node").to_pylist()
@@ -246,7 +247,7 @@ def _look_up(shared, threshold: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, key, block = shared.value, None, _Block()
         for batch in batches:
-            for part, piece in tx.slices(batch, limit=1 << 18):
+            for part, piece in tx.slices(batch):
                 row, value, weight = weighted(piece, idf)
                 cuts = np.searchsorted(row, np.arange(len(piece) + 1))
                 found = []
@@ -303,7 +304,7 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = SIMILARITY) ->
     ``node`` is doc_id, or a negative stand-in for a null; ``class_id`` is the least node of the class.
     """
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     body = F.coalesce("text", F.lit(""))
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("c1"), F.xxhash64(F.lit(1), body).alias("c2"),

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .components import ensure_checkpoint_dir
+from .session import prepare
 
 SPREAD = 5
 MIN_GROUP = 200
@@ -133,7 +133,7 @@ def thresholds(counts: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, base counts, base_failed, kept, failed) for each row of ``docs`` (doc_id, text, lang, source)."""
-    ensure_checkpoint_dir(docs.sparkSession)
+    prepare(docs.sparkSession)
     counts = document_counts(docs).checkpoint()
     limits = thresholds(counts)
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(x for x in limits.columns if x not in ("lang", "source")))

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import ensure_checkpoint_dir
+from .session import prepare
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,7 @@ class Ledger:
 
 def update(versions: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> Ledger:
     """The ledger after ``versions`` (text): earlier entries, and those of unseen pairs."""
-    ensure_checkpoint_dir(versions.sparkSession)
+    prepare(versions.sparkSession)
     todo = unseen_blobs(versions, ledger.scanned if ledger else None, rules)
     found = find(todo, rules).checkpoint()
     pairs = F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules))).alias("p")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .components import ensure_checkpoint_dir
+from .session import prepare
 from .linear import Logistic, fit
 from .quality_rules import counts_of
 
@@ -76,6 +76,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED) -> Model:
     """``labels`` has (doc_id, quality), 1 for good."""
+    prepare(docs.sparkSession)
     each = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("good"))
     chosen = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # At most ``max_labelled`` rows of two numbers are broadcast, and as many rows of features collected.
@@ -118,7 +119,7 @@ def _strength(groups: DataFrame, prior: Column) -> float:
 
 def judge(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, host, path, p_document, p_host, p_path, p_good, kept) for each row of ``docs`` (doc_id, text, host, path)."""
-    ensure_checkpoint_dir(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("host").cast("string").alias("host"), F.col("path").cast("string").alias("path")]
     scored = docs.select(*columns).mapInArrow(_score(shared), "doc_id long, host string, path string, p long").checkpoint()

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .session import prepare
 
 MIN_BITS, MAX_BITS = 20, 31
 CELLS_PER_PLACE = 8
@@ -198,6 +199,7 @@ def remove_repeated(docs: DataFrame, *, width: int = 35, gram: int = 8) -> DataF
     if not 0 < gram <= width:
         raise ValueError("gram must be between 1 and width")
     spark = docs.sparkSession
+    prepare(spark)
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     bits = sketch_bits(text_bytes, width, gram)

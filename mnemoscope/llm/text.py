@@ -1,7 +1,7 @@
 """Word arithmetic on Arrow string columns, vectorised over bytes.
 
 Tasks receive Arrow batches; these helpers cut them into slices of about a
-megabyte and find words, word hashes and n-gram hashes with NumPy, so that no
+quarter of a megabyte and find words, word hashes and n-gram hashes with NumPy, so that no
 Python code runs per word.  UTF-8 guarantees that a separator byte below 0x80
 never occurs inside another character, which makes bytes enough to find words.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

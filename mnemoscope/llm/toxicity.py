@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .linear import Logistic, apply_chain, chain, folds
+from .session import prepare
 
 MAX_LABELLED = 4000
 FEATURES = 512
@@ -116,6 +117,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, n_features: int = FEATURES) -> Model:
+    prepare(docs.sparkSession)
     names = (*CATEGORIES, "toxic")
     sample = labelled_sample(docs, labels, max_labelled).checkpoint()
     n, pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -160,6 +162,7 @@ def _keep(shared, threshold: float):
 
 def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, p_ of each category, toxic, kept) for each row of ``docs`` (doc_id, text)."""
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = ", ".join(f"p_{x} double" for x in model.names)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(shared, threshold), f"doc_id long, {columns}, toxic boolean, kept boolean")
@@ -167,5 +170,6 @@ def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> Dat
 
 def reject(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the toxic ones, in one pass and with all columns."""
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_keep(shared, threshold), docs.schema)

@@ -40,7 +40,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import ensure_checkpoint_dir
+from .session import prepare
 
 #: Fixed values of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -228,7 +228,7 @@ def _write(uri: str):
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to ZIP archives in ``folder`` (a URI); (path, records) of each, once written."""
-    ensure_checkpoint_dir(pages.sparkSession)
+    prepare(pages.sparkSession)
     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     last = pages.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("last_id"))
@@ -284,7 +284,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
 def archive_folder(spark) -> str:
     """A new folder below the checkpoint directory, as a URI."""
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     base = base if "://" in base or base.startswith("file:") else f"file://{base}"
     return f"{base.replace('file:///', 'file:/').replace('file:/', 'file:///')}/archives-{uuid.uuid4().hex}"
