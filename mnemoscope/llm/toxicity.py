@@ -10,7 +10,7 @@ labelled: a toxic document that holds a word of the category's list.
 
 Features: presence of words and of word beginnings (four and five bytes), ASCII
 case folded.  The ``FEATURES`` of them with the largest chi-square against the
-label are chosen.  The model is fitted on at most ``MAX_LABELLED`` labelled documents,
+label are chosen; presence of any word of a list is one feature more.  The model is fitted on at most ``MAX_LABELLED`` labelled documents,
 those with the least hash of their id; this bound is a parameter.  Every
 document is scored, whole, by the same task that reads it; nothing is shuffled.
 
@@ -71,12 +71,17 @@ def word_hashes(words: tuple[str, ...]) -> np.ndarray:
 class Model:
     names: tuple[str, ...]
     features: np.ndarray  # sorted hashes
+    lists: tuple[np.ndarray, ...]  # word hashes of each category
     models: list[Logistic]
 
     def matrix(self, piece: tx.Slice) -> np.ndarray:
-        x = np.zeros((len(piece), len(self.features)), np.float32)
-        if len(self.features):
-            row, value = tokens(piece)
+        """Presence of each feature, and of any word of each list."""
+        n = len(self.features)
+        x = np.zeros((len(piece), n + len(self.lists)), np.float32)
+        row, value = tokens(piece)
+        for c, words in enumerate(self.lists):
+            x[row[np.isin(value, words)], n + c] = 1
+        if n:
             at = np.minimum(np.searchsorted(self.features, value), len(self.features) - 1)
             hit = self.features[at] == value
             x[row[hit], at[hit]] = 1
@@ -93,17 +98,12 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(tx.signed(value)), part.column("toxic").take(pa.array(row))], names=["token", "toxic"])
 
 
-def _feature_rows(model: Model, lists: list[np.ndarray]):
+def _feature_rows(model: Model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, piece in tx.slices(batch):
-                row, value = tokens(piece)
-                weak = [np.bincount(row[np.isin(value, words)], minlength=len(piece)) > 0 for words in lists]
-                x = model.matrix(piece)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("toxic"), pa.array(np.packbits(x > 0, axis=1).tolist(), pa.list_(pa.int32())), pa.array([[bool(w[i]) for w in weak] for i in range(len(piece))], pa.list_(pa.bool_()))],
-                    names=["doc_id", "toxic", "bits", "weak"],
-                )
+                bits = pa.array(np.packbits(model.matrix(piece) > 0, axis=1).tolist(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), bits], names=["doc_id", "toxic", "bits"])
 
     return rows
 
@@ -128,14 +128,14 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     chi2 = cells / (F.col("n") * (n - F.col("n")) * F.lit(float(max(1, pos * (n - pos)))))
     best = counts.where((F.col("n") >= MIN_DOCS) & (F.col("n") < n)).orderBy(chi2.desc(), "token").limit(n_features).select("token").collect() if 0 < pos < n else []
     features = np.sort(np.array([r[0] for r in best], np.int64).view(tx.U64))
-    empty = Model(names, features, [])
-    rows = sample.mapInArrow(_feature_rows(empty, [word_hashes(w) for w in CATEGORIES.values()]), "doc_id long, toxic int, bits array<int>, weak array<boolean>").orderBy("doc_id").collect()
-    y = np.array([r.toxic for r in rows], np.float64) if rows else np.zeros(0)
-    x = np.unpackbits(np.array([r.bits for r in rows], np.uint8), axis=1)[:, : len(features)].astype(np.float32) if rows and len(features) else np.zeros((len(rows), len(features)), np.float32)
-    weak = [np.array([y[i] * r.weak[c] for i, r in enumerate(rows)]) for c in range(len(CATEGORIES))]
-    targets = np.column_stack([*weak, y]) if rows else np.zeros((0, len(names)))
-    fold = folds(np.array([r.doc_id for r in rows], np.int64), FOLDS) if rows else np.zeros(0)
-    return Model(names, features, chain(x, targets, fold, FOLDS, penalty=PENALTY))
+    lists = tuple(word_hashes(w) for w in CATEGORIES.values())
+    rows = sample.mapInArrow(_feature_rows(Model(names, features, lists, [])), "doc_id long, toxic int, bits array<int>").orderBy("doc_id").collect()
+    width = len(features) + len(lists)
+    y = np.array([r.toxic for r in rows], np.float64)
+    x = np.unpackbits(np.array([r.bits for r in rows], np.uint8).reshape(len(rows), -1), axis=1)[:, :width].astype(np.float32) if rows else np.zeros((0, width), np.float32)
+    targets = np.column_stack([*(y * x[:, len(features) + c] for c in range(len(lists))), y])
+    fold = folds(np.array([r.doc_id for r in rows], np.int64), FOLDS)
+    return Model(names, features, lists, chain(x, targets, fold, FOLDS, penalty=PENALTY))
 
 
 def _score(shared, threshold: float):
