@@ -212,7 +212,8 @@ def remove_repeated(docs: DataFrame, *, width: int = 35, gram: int = 8) -> DataF
     bitmaps = np.zeros((ROWS, (1 << bits) // 8), np.uint8)
     for block, bitmap in merged.toLocalIterator():
         start = (block & 0xFFFFFFFF) << (BLOCK_BITS - 3)
-        bitmaps[block >> 32, start : start + len(bitmap)] = np.frombuffer(bitmap, np.uint8)
+        part = bitmaps[block >> 32, start : start + len(bitmap)]  # shorter than a block if the sketch is
+        part[:] = np.frombuffer(bitmap, np.uint8)[: len(part)]
     shared = spark.sparkContext.broadcast((bits, bitmaps))
     unique = (
         docs.select("uid", "text").mapInArrow(_emit(width, gram, shared), "h1 long, h2 long, uid long, pos int")
