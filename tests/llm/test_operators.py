@@ -1,0 +1,215 @@
+"""Each operator against a plain version: nulls, empties, long texts, ties, repeats, extra columns, empty tables."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from mnemoscope.llm import decontaminate, license_scan, mixing, near_dup, quality_rules, secret_scan, substring_dedup
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def test_quality_counts(hard, hard_rows):
+    got = rows_of(quality_rules.judge(hard), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    plain = [(i, *brute.base_counts(t)) for i, t, *_ in hard_rows]
+    assert got == sorted(((*r, r[1] < 10 or 100 * r[5] > 20 * r[1]) for r in plain), key=repr)
+
+
+def test_quality_kept_needs_base(hard):
+    assert quality_rules.judge(hard).where("kept and base_failed").isEmpty()
+
+
+def test_quality_thresholds_follow_the_group(spark):
+    """Symbols are normal in one source and junk in another."""
+    rows = [(i, "w | " * 20 + f"word{i}", "en", "tables") for i in range(300)] + [(1000 + i, f"plain words only {i} " * 8, "en", "prose") for i in range(300)] + [(5000, "w | " * 20, "en", "prose")]
+    got = {r.doc_id: r.failed for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert "symbols" in got[5000] and not any("symbols" in got[i] for i in range(300))
+
+
+def test_quantile_sketch_error(spark):
+    """A quartile of the sketch is within a part in 32 of the exact one."""
+    v = spark.range(1, 5001).select((F.col("id") * F.col("id")).alias("v"))
+    b = [r[0] for r in v.select(quality_rules.bucket(F.col("v"))).orderBy("v").collect()]
+    assert all(x <= (k + 1) ** 2 <= x * (1 + 1 / 32) for k, x in enumerate(b))
+
+
+def test_licenses(hard, hard_rows):
+    got = rows_of(license_scan.scan_licenses(hard), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert got == sorted(((i, *brute.base_licenses(t)) for i, t, *_ in hard_rows), key=repr)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("mit", {"mit"}, 0.95), ("MIT OR GPL-3.0".lower(), {"mit", "gpl"}, 0.95), ("mit and gpl-2.0+", {"mit", "gpl"}, 0.4), ("gpl-2.0 with classpath-exception-2.0", {"gpl"}, 0.7),
+        ("mit and (gpl-3.0 or apache-2.0)", {"mit", "gpl", "apache"}, 0.9), ("gpl-3.0 or mit and cc-by-nc-4.0", {"gpl", "mit", "cc-by-nc"}, 0.4), ("((mit", {"mit"}, 0.95), ("or and )", set(), 0.0), ("", set(), 0.0), ("nonsense", set(), 0.0),
+    ],
+)
+def test_license_expressions(text, labels, score):
+    assert license_scan.evaluate(text) == (labels, pytest.approx(score))
+
+
+def test_license_tags(spark):
+    docs = spark.createDataFrame([(1, "// SPDX-License-Identifier: Apache-2.0 OR MIT\ncode"), (2, "no tag")], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(docs).collect()}
+    assert got == {1: ("apache,mit", 0.95), 2: ("", 0.0)}
+
+
+def test_near_duplicates(hard, hard_rows):
+    ids = [(i, t) for i, t, *_ in hard_rows]
+    expected = brute.near_classes(list(dict(ids).items()))
+    assert rows_of(near_dup.near_duplicate_classes(hard), "doc_id", "class_id") == sorted(((i, expected[i]) for i, _ in ids), key=repr)
+
+
+def test_near_duplicates_on_documents(sf_docs):
+    expected = brute.near_classes([(r.doc_id, r.text) for r in sf_docs.collect()])
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(sf_docs).collect()} == expected
+
+
+def test_near_duplicate_strays_are_compared(spark):
+    """Texts that share a passage, one pair of them close: the pair is found though neither is near the least id."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    own = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(i, f"{own(f'u{i}x', 40)} {passage}") for i in range(12)] + [(50, f"{own('same', 38)} aa {passage}"), (51, f"{own('same', 38)} bb {passage}")]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 50 if i >= 50 else i for i, _ in rows}
+
+
+def test_keep_one(hard):
+    kept = near_dup.keep_one(hard)
+    assert kept.columns == hard.columns
+    ids = [r.doc_id for r in kept.collect()]
+    classes = near_dup.near_duplicate_classes(hard)
+    assert sorted(ids) == sorted(r.class_id for r in classes.select("class_id").distinct().collect())
+
+
+def test_null_ids(spark):
+    rows = [(None, "one two three four five six"), (None, "one two three four five six"), (1, "one two three four five six"), (None, "quite another text of seven words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' as source", "'en' as lang")
+    assert near_dup.keep_one(docs).count() == 2
+    assert rows_of(mixing.mix(docs), "doc_id", "size") == sorted(((i, len(t.split())) for i, t in rows), key=repr)
+    assert substring_dedup.remove_repeated(docs).count() == 4
+    assert secret_scan.by_version(docs, secret_scan.update(docs)).count() == 4
+
+
+def test_secrets(hard, hard_rows):
+    found = secret_scan.by_version(hard, secret_scan.update(hard))
+    got = rows_of(found, "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256))
+    assert got == sorted(((i, *brute.base_secrets(t)) for i, t, *_ in hard_rows), key=repr)
+
+
+def test_secret_ledger_scans_only_what_is_new(hard):
+    first = hard.where("doc_id < 300")
+    known = secret_scan.update(first)
+    known = secret_scan.Ledger(known.scanned.checkpoint(), known.findings.checkpoint())
+    blobs = lambda df: df.select(secret_scan.blob_id().alias("b")).distinct()
+    todo = secret_scan.unseen_blobs(hard, known.scanned, secret_scan.RULES)
+    assert todo.count() == blobs(hard).subtract(blobs(first)).count() > 0
+    assert secret_scan.unseen_blobs(first, known.scanned, secret_scan.RULES).isEmpty()
+    whole = secret_scan.by_version(hard, secret_scan.update(hard))
+    assert rows_of(secret_scan.by_version(hard, secret_scan.update(hard, known)), *whole.columns) == rows_of(whole, *whole.columns)
+    newer = (secret_scan.Rule("hex", 2, r"[0-9a-f]{30,}", 0, 30, base=True), *(r for r in secret_scan.RULES if r.name != "hex"))
+    assert secret_scan.unseen_blobs(first, known.scanned, newer).count() == blobs(first).count()
+    again = secret_scan.update(first, known, newer)
+    assert again.findings.where("rule = 'hex' and version = 2").count() <= again.findings.where("rule = 'hex' and version = 1").count()
+
+
+def test_redaction(hard):
+    clean = secret_scan.redact(hard, secret_scan.update(hard))
+    assert clean.columns == hard.columns and clean.count() == hard.count()
+    text = {r.doc_id: r.text for r in clean.collect()}
+    assert "24be64439e" not in text[409] and "AKIA" not in text[409] and text[409].startswith("token=ab ") and text[400] is None
+    assert secret_scan.find(secret_scan.unseen_blobs(clean, None, secret_scan.RULES)).where("rule in ('access', 'hex')").isEmpty()
+
+
+def test_mixing(hard, hard_rows):
+    got = [(i, n, s, round(t, 6), k) for i, n, s, t, k in rows_of(mixing.mix(hard), "doc_id", "size", "source_size", "target", "taken")]
+    assert sorted(got, key=repr) == brute.mixed([(i, t, s) for i, t, _, s in hard_rows])
+
+
+def test_mixing_on_documents(sf_docs):
+    got = [(i, n, s, round(t, 6), k) for i, n, s, t, k in rows_of(mixing.mix(sf_docs), "doc_id", "size", "source_size", "target", "taken")]
+    assert sorted(got, key=repr) == brute.mixed([(r.doc_id, r.text, r.source) for r in sf_docs.collect()])
+
+
+def test_targets_stop_and_reshare(spark):
+    sizes = spark.createDataFrame([("a", 100, 1.0), ("b", 1, 2.0), ("c", 1000, 3.0)], "source string, source_size long, weight double")
+    got = {r.source: r.target for r in mixing.targets(sizes).collect()}
+    assert got == {"a": pytest.approx((1101 - 3) / 4), "b": 3.0, "c": pytest.approx((1101 - 3) * 3 / 4)}
+
+
+def test_mixed_documents(hard):
+    out = mixing.mixed_documents(hard)
+    assert out.where("copies < 1 or copies > 3 or taken <> copies * size").isEmpty()
+    plan = mixing.mix(hard)
+    assert out.agg(F.sum("taken")).first()[0] == plan.agg(F.sum("taken")).first()[0] <= plan.agg(F.sum("size")).first()[0]
+
+
+def test_substrings(hard, hard_rows):
+    got = rows_of(substring_dedup.remove_repeated(hard), "doc_id", "n_words", "n_removed", "kept_text")
+    assert got == brute.without_repeats([(i, t) for i, t, *_ in hard_rows])
+
+
+@pytest.mark.parametrize(("width", "gram"), [(5, 5), (6, 1), (12, 4)])
+def test_substrings_at_other_widths(hard, hard_rows, width, gram):
+    got = rows_of(substring_dedup.remove_repeated(hard, width=width, gram=gram), "doc_id", "n_words", "n_removed", "kept_text")
+    assert got == brute.without_repeats([(i, t) for i, t, *_ in hard_rows], width)
+
+
+def test_substrings_with_a_full_sketch(hard, hard_rows, monkeypatch):
+    """A sketch too small to tell anything apart only costs time."""
+    monkeypatch.setattr(substring_dedup, "sketch_bits", lambda *a: 3)
+    got = rows_of(substring_dedup.remove_repeated(hard), "doc_id", "n_words", "n_removed", "kept_text")
+    assert got == brute.without_repeats([(i, t) for i, t, *_ in hard_rows])
+
+
+def test_decontamination(spark, hard, hard_rows):
+    long = " ".join(hard_rows[100][1].split() if len(hard_rows) > 100 else hard_rows[45][1].split())
+    items = [(1, " ".join(hard_rows[42][1].split()[32:75])), (2, long[:400]), (3, "one two"), (4, None), (5, ""), (6, "NEVER seen anywhere in these texts at all"), (7, hard_rows[20][1].upper()), (7, hard_rows[20][1]), (8, " ".join(hard_rows[42][1].split()[35:40]))]
+    table = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    got = rows_of(decontaminate.contaminated_pairs(hard, table), "doc_id", "item_id", "n_shingles", "n_found")
+    expected = brute.leaks([(i, t) for i, t, *_ in hard_rows], items)
+    assert got == expected and len(expected) > 4
+    assert rows_of(decontaminate.contaminated_pairs(hard, table, block_items=2), "doc_id", "item_id", "n_shingles", "n_found") == expected
+    gone = {d for d, *_ in expected}
+    kept = decontaminate.drop_contaminated(hard, table, block_items=3)
+    assert kept.columns == hard.columns and {r.doc_id for r in kept.collect()} == {i for i, *_ in hard_rows} - gone
+
+
+def test_decontamination_recall_on_long_documents(spark):
+    """Short items deep inside long documents, by the sketch alone."""
+    doc = " ".join(f"w{k * 7919 % 100003}" for k in range(40_000)).split()
+    items = [(i, " ".join(doc[i * 190 : i * 190 + 14])) for i in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string")
+    found = decontaminate.contaminated_pairs(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert found.count() == 200
+
+
+def test_empty_tables(spark, nothing):
+    items = spark.createDataFrame([], "item_id long, text string")
+    for df in (
+        quality_rules.judge(nothing), license_scan.scan_licenses(nothing), near_dup.near_duplicate_classes(nothing), near_dup.keep_one(nothing), secret_scan.by_version(nothing, secret_scan.update(nothing)),
+        secret_scan.redact(nothing, secret_scan.update(nothing)), mixing.mix(nothing), mixing.mixed_documents(nothing), substring_dedup.remove_repeated(nothing),
+        decontaminate.contaminated_pairs(nothing, items), decontaminate.drop_contaminated(nothing, items),
+    ):
+        assert df.count() == 0
+
+
+def test_no_items(spark, hard):
+    items = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated_pairs(hard, items).isEmpty()
+    assert decontaminate.drop_contaminated(hard, items).count() == hard.count()
+
+
+def test_digest_columns(spark, sf_docs):
+    from mnemoscope.llm.queries import op9_substring_dedup
+
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op9_substring_dedup(spark, SF).collect()}
+    plain = brute.without_repeats([(r.doc_id, r.text) for r in sf_docs.collect()])
+    assert got == {i: (n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in plain}
