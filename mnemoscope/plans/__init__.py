@@ -1,6 +1,6 @@
 """Registered queries over the domain tables."""
 
-from . import aggregates, filters_joins, graph_facts, retrieval, reviews, scalars, streams
+from . import aggregates, continuity, filters_joins, graph_facts, records, retrieval, reviews, scalars, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "filters_joins", "graph_facts", "retrieval", "reviews", "scalars", "streams"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "continuity", "filters_joins", "graph_facts", "records", "retrieval", "reviews", "scalars", "streams"]

@@ -13,13 +13,13 @@ _TOKENS = r"list_filter(list_distinct(regexp_extract_all(translate({0}, 'ABCDEFG
 _AGE = f"date_diff('day', ts, TIMESTAMP '{NOW}')"
 
 
-@query(f"""SELECT o.id, {_AGE}::BIGINT AS age_days, o.label FROM observations o LEFT JOIN (SELECT DISTINCT ref FROM receipts) r ON r.ref = o.id WHERE {_AGE} >= 60 AND o.label <> 'must_remember' AND o.state <> 'soft-archived' AND (r.ref IS NULL OR o.used_count = 0)""")
+@query(f"""SELECT o.id, {_AGE}::BIGINT AS age_days, o.label FROM observations o LEFT JOIN (SELECT DISTINCT ref FROM receipts WHERE ts >= TIMESTAMP '2001-06-01') r ON r.ref = o.id WHERE {_AGE} >= 60 AND o.label <> 'must_remember' AND r.ref IS NULL""")
 def rev_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old rows that aren't must-remember and that no recent selection used."""
     age = F.datediff(now(), F.col("ts"))
-    used = receipts(spark, sf_dir).select("ref").distinct()
-    o = observations(spark, sf_dir).where((age >= 60) & (F.col("label") != "must_remember") & (F.col("state") != "soft-archived"))
-    return o.join(used, F.col("id") == F.col("ref"), "left").where("ref is null or used_count = 0").select("id", age.cast("long").alias("age_days"), "label")
+    used = receipts(spark, sf_dir).where(F.col("ts") >= F.to_timestamp(F.lit("2001-06-01"))).select("ref").distinct()
+    o = observations(spark, sf_dir).where((age >= 60) & (F.col("label") != "must_remember"))
+    return o.join(used, F.col("id") == F.col("ref"), "left_anti").select("id", age.cast("long").alias("age_days"), "label")
 
 
 @query(f"SELECT id, {_AGE}::BIGINT AS age_days FROM observations WHERE {_AGE} >= 120 AND label IN ('ignore', 'nice_to_have') AND used_count <= 1 AND state <> 'soft-archived'")
@@ -88,17 +88,6 @@ def rev_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("user_id", "event_type", change.alias("change"))
 
 
-@query("""WITH k AS (SELECT doc_id, source, lang, text, CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' ELSE 'spanish' END AS claim FROM documents), s AS (SELECT claim, count(*) AS n, count(DISTINCT source) AS sources FROM k GROUP BY 1)
-    SELECT claim, n, sources, round(least(1.0, 0.15 + 0.18 * sources + 0.2 * (n % 10) / 10.0), 3)::DOUBLE AS score, CASE WHEN least(1.0, 0.15 + 0.18 * sources + 0.2 * (n % 10) / 10.0) >= 0.75 THEN 'high' WHEN least(1.0, 0.15 + 0.18 * sources + 0.2 * (n % 10) / 10.0) >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM s""")
-def rev_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence for claims (here: languages) and a score from how much and how varied it is."""
-    claim = F.when(F.col("lang") == "en", "english").when(F.col("lang") == "fr", "french").when(F.col("lang") == "de", "german").otherwise("spanish")
-    per_source = table(spark, sf_dir, "documents").groupBy(claim.alias("claim"), "source").agg(F.count(F.lit(1)).alias("k"))
-    s = per_source.groupBy("claim").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("sources"))
-    score = F.least(F.lit(1.0), 0.15 + 0.18 * F.col("sources") + 0.2 * (F.col("n") % 10) / 10.0)
-    return s.select("claim", "n", "sources", F.round(score, 3).alias("score"), F.when(score >= 0.75, "high").when(score >= 0.4, "medium").otherwise("low").alias("band"))
-
-
 @query("""SELECT id, CASE WHEN quarantined THEN 'reject' WHEN state = 'soft-archived' THEN 'hold' WHEN label = 'ignore' AND used_count = 0 THEN 'auto_apply' WHEN trust IN ('untrusted', 'quarantined') THEN 'hold' ELSE 'review' END AS decision, CASE WHEN quarantined THEN 'high' WHEN trust = 'trusted' THEN 'low' ELSE 'medium' END AS risk FROM observations""")
 def rev_governor(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("quarantined")
