@@ -270,9 +270,11 @@ def links_between_components(texts: DataFrame, met: DataFrame, labels: DataFrame
     """Links between texts in different components among those that ``met`` (lead, node) the same leader."""
     label = labels.select(F.col("node").alias("n"), "label")
     at = met.union(met.select("lead", F.col("lead").alias("node")).distinct()).join(label, F.col("node") == F.col("n"), "left").select("lead", "node", F.coalesce("label", "node").alias("label"))
-    at = at.join(label.select(F.col("n").alias("lead"), F.col("label").alias("own")), "lead", "left").select("lead", "node", "label", (F.col("label") != F.coalesce("own", "lead")).alias("apart"))
-    groups = at.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.max("apart").alias("mixed")).where("mixed").drop("mixed")
-    at = at.join(groups, "lead")
+    # Counted on the map side, before the leader's row meets those of its texts.
+    own = F.max(F.when(F.col("node") == F.col("lead"), F.col("label"))).alias("own")
+    groups = at.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("label").alias("l0"), F.max("label").alias("l1"), own)
+    groups = groups.where("l0 < l1").select("lead", "blocks", "own")
+    at = at.join(groups, "lead").withColumn("apart", F.col("label") != F.col("own"))
     held = at.select("lead", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("query"), "node", "label")
     asked = at.where("apart").select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "node", "label")
     return (
