@@ -34,7 +34,7 @@ def test_runtime_reports(spark, tmp_path):
 def test_markdown_chunks(spark):
     text = "intro\n\n# One\npara a\n\npara b\n```\n# not a heading\n```\n## Two\n" + "x" * 500 + "\n# Three\n"
     rows = readers.markdown_chunks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string"), max_chars=200).orderBy("ordinal").collect()
-    assert [(r.ordinal, r.heading_path, len(r.text)) for r in rows] == [(0, "", 5), (1, "One", 42), (2, "One > Two", 200), (3, "One > Two", 200), (4, "One > Two", 100)]
+    assert [(r.ordinal, r.heading_path, len(r.text)) for r in rows] == [(0, "", 5), (1, "One", 38), (2, "One > Two", 200), (3, "One > Two", 200), (4, "One > Two", 100)]
     assert {r.doc_id for r in rows} == {1}
 
 
