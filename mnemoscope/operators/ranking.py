@@ -28,10 +28,11 @@ def fuse(lanes: dict[str, DataFrame], *, groups: list[str], k: int = RRF_K) -> D
     return rows.groupBy(*groups, "id").agg(F.sum(share).alias("rrf"), *(of(lane, F.col("rank")).alias(f"rank_{lane}") for lane in lanes), *(F.coalesce(of(lane, share), F.lit(0.0)).alias(f"share_{lane}") for lane in lanes))
 
 
-def blend(lexical: DataFrame, graph: DataFrame) -> DataFrame:
-    """Lexical hits (id, rank) score 1 / (rank + 1), graph hits (id, score) their score; one order for both."""
-    rows = lexical.select("id", F.lit("lexical").alias("lane"), (1.0 / (F.col("rank") + 1)).alias("hybrid_score")).unionByName(graph.select("id", F.lit("graph").alias("lane"), F.col("score").alias("hybrid_score")))
-    return ranked(rows.withColumn("all", F.lit(1)), by=[F.desc("hybrid_score"), F.col("lane"), F.col("id")], groups=["all"]).drop("all")
+def blend(lexical: DataFrame, graph: DataFrame, *, groups: list[str]) -> DataFrame:
+    """Lexical hits (groups, id, rank) score 1 / (rank + 1), graph hits (groups, id, score) their score; one order for both in each group."""
+    rows = lexical.select(*groups, "id", F.lit("lexical").alias("lane"), (1.0 / (F.col("rank") + 1)).alias("hybrid_score"))
+    rows = rows.unionByName(graph.select(*groups, "id", F.lit("graph").alias("lane"), F.col("score").alias("hybrid_score")))
+    return ranked(rows, by=[F.desc("hybrid_score"), F.col("lane"), F.col("id")], groups=groups)
 
 
 def tier_quota(hits: DataFrame, *, limit: int, must_max: int, nice_min: int, unknown_max: int, groups: list[str]) -> DataFrame:

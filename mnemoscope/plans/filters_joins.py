@@ -140,8 +140,11 @@ def jon_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(asked, held).select("order_id", "fact_id", "object")
 
 
-@query(f"""WITH t AS (SELECT session_id, event_id, scope, unnest({_TOKENS.format('summary')}) AS token FROM turns), df AS (SELECT scope, token FROM t GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 4), r AS (SELECT t.* FROM t JOIN df USING (scope, token))
-    SELECT a.event_id AS left_id, b.event_id AS right_id, count(*) AS shared FROM r a JOIN r b ON a.scope = b.scope AND a.token = b.token AND a.event_id < b.event_id AND a.session_id <> b.session_id GROUP BY 1, 2 HAVING count(*) >= 2""")
+TOKEN_LINKS_SQL = f"""t AS (SELECT session_id, event_id, scope, unnest({_TOKENS.format('summary')}) AS token FROM turns), df AS (SELECT scope, token FROM t GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 4), r AS (SELECT t.* FROM t JOIN df USING (scope, token)),
+    links AS (SELECT a.event_id AS left_id, b.event_id AS right_id, count(*) AS shared FROM r a JOIN r b ON a.scope = b.scope AND a.token = b.token AND a.event_id < b.event_id AND a.session_id <> b.session_id GROUP BY 1, 2 HAVING count(*) >= 2)"""
+
+
+@query(f"WITH {TOKEN_LINKS_SQL} SELECT left_id, right_id, shared FROM links")
 def jon_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of different sessions of a scope that share rare tokens; a token in more than four events links nothing, so groups stay small."""
     t = turns(spark, sf_dir).select("session_id", "event_id", "scope", F.explode(text.token_set(F.col("summary"))).alias("token"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from .filters_joins import TOKEN_LINKS_SQL, jon_token_links
 from .registry import query
 from .views import NOW, edges, facts, nodes, now, table
 
@@ -18,11 +19,11 @@ def grf_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir).where("dst = 'nation:3'").join(end("src"), "src", "left").join(end("dst"), "dst", "left").select("src", "dst", "type", "src_type", "dst_type")
 
 
-@query("SELECT node_id, other, direction, type FROM (SELECT src AS node_id, dst AS other, 'out' AS direction, type FROM edges UNION ALL SELECT dst, src, 'in', type FROM edges) WHERE starts_with(node_id, 'supplier:') AND node_id LIKE '%5'")
+@query("SELECT node_id, other, direction, type FROM (SELECT src AS node_id, dst AS other, 'out' AS direction, type FROM edges UNION ALL SELECT dst, src, 'in', type FROM edges) WHERE starts_with(node_id, 'supplier:')")
 def grf_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     both = e.select(F.col("src").alias("node_id"), F.col("dst").alias("other"), F.lit("out").alias("direction"), "type").union(e.select("dst", "src", F.lit("in"), "type"))
-    return both.where(F.col("node_id").startswith("supplier:") & F.col("node_id").endswith("5"))
+    return both.where(F.col("node_id").startswith("supplier:"))
 
 
 @query("""WITH RECURSIVE walk AS (SELECT 'order:' || o_orderkey AS start, 'order:' || o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderkey % 100 = 0 UNION SELECT w.start, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 3)
@@ -43,13 +44,11 @@ def grf_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbourhood(places, starts, depth=2).withColumn("distance", F.col("distance").cast("long"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT 'c' || o_custkey AS a, 'm' || o_orderdate AS b FROM (SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 20 = 0)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-    w AS (SELECT a AS node, a AS label FROM e UNION SELECT e.b, w.label FROM w JOIN e ON e.a = w.node AND w.label < e.b) SELECT node, min(label) AS label FROM (SELECT node, label FROM w UNION ALL SELECT a, b FROM e) GROUP BY node""")
+@query(f"""WITH RECURSIVE {TOKEN_LINKS_SQL}, e AS (SELECT left_id AS a, right_id AS b FROM links UNION SELECT right_id, left_id FROM links), w AS (SELECT a AS node, a AS label FROM e UNION SELECT e.b, w.label FROM w JOIN e ON e.a = w.node AND w.label < e.b) SELECT node AS event_id, min(label) AS cluster FROM (SELECT node, label FROM w UNION ALL SELECT a, b FROM e) GROUP BY node""")
 def agg_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of customers and order days; days and customers alternate as nodes."""
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_custkey % 20 = 0")
-    links = o.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("m"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("b"))
-    return graph.components(links).select("node", "label")
+    """Clusters of events: connected components of the links by shared rare tokens."""
+    links = jon_token_links(spark, sf_dir).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    return graph.components(links).select(F.col("node").alias("event_id"), F.col("label").alias("cluster"))
 
 
 @query("""SELECT n.node_id, n.node_type, coalesce(d.degree, 0) AS degree, round(CASE WHEN contains(n.node_id, '1') THEN 1.0 ELSE 0.0 END + CASE WHEN n.node_type = 'supplier' THEN 0.25 ELSE 0 END + 0.05 * least(coalesce(d.degree, 0), 5), 6)::DOUBLE AS score

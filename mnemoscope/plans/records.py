@@ -9,19 +9,19 @@ from ..functions import scoring, text
 from ..operators import graph, ranking
 from .registry import query
 from .retrieval import BM25_SQL, lexical_lane
-from .views import NOW, edges, facts, now, observations, receipts, table, turns
+from .views import NOW, edges, facts, nodes, now, observations, receipts, table, turns
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 @query("""SELECT i.doc_id AS id, CASE WHEN s.doc_id IS NOT NULL THEN 'skipped_id' WHEN t.k IS NOT NULL THEN 'skipped_text' ELSE 'imported' END AS outcome FROM documents i LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 5 = 0) s ON s.doc_id = i.doc_id
-    LEFT JOIN (SELECT DISTINCT md5(trim(text)) AS k FROM documents WHERE doc_id % 5 = 0) t ON t.k = md5(trim(i.text)) WHERE i.doc_id % 2 = 0""")
+    LEFT JOIN (SELECT DISTINCT md5(trim(text)) AS k FROM documents WHERE doc_id % 5 = 0) t ON t.k = md5(trim(i.text))""")
 def src_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an import of some records would do to a store that holds others: known ids and known texts are skipped."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.trim("text").cast("binary")).alias("k"))
     store = d.where("doc_id % 5 = 0")
     ids, texts = store.select(F.col("doc_id").alias("s")), store.select(F.col("k").alias("t")).distinct()
-    joined = d.where("doc_id % 2 = 0").join(ids, F.col("doc_id") == F.col("s"), "left").join(texts, F.col("k") == F.col("t"), "left")
+    joined = d.join(ids, F.col("doc_id") == F.col("s"), "left").join(texts, F.col("k") == F.col("t"), "left")
     return joined.select(F.col("doc_id").alias("id"), F.when(F.col("s").isNotNull(), "skipped_id").when(F.col("t").isNotNull(), "skipped_text").otherwise("imported").alias("outcome"))
 
 
@@ -113,15 +113,15 @@ def win_scoped_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.best(hits, 5, by=[F.col("ord"), F.desc("id")], groups=["ask"]).select("ask", "id", "ord", F.col("rank").cast("long").alias("place"))
 
 
-@query("""WITH RECURSIVE b AS (SELECT src, dst, type, provenance FROM edges WHERE type <> 'contains'), s AS (SELECT 'supplier:' || s_suppkey AS start FROM supplier WHERE s_suppkey % 10 = 0), h1 AS (SELECT s.start, b.*, 1 AS depth FROM s JOIN b ON b.src = s.start OR b.dst = s.start),
-    f1 AS (SELECT DISTINCT start, n FROM (SELECT start, src AS n FROM h1 UNION ALL SELECT start, dst FROM h1) WHERE n <> start), h2 AS (SELECT f1.start, b.*, 2 AS depth FROM f1 JOIN b ON b.src = f1.n OR b.dst = f1.n), u AS (SELECT start, src, dst, type, provenance, min(depth) AS depth FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL)
+@query("""WITH b AS (SELECT src AS near, * FROM edges WHERE type <> 'contains' UNION ALL SELECT dst, * FROM edges WHERE type <> 'contains'), s AS (SELECT node_id AS start FROM nodes WHERE node_type = 'supplier'), h1 AS (SELECT s.start, b.*, 1 AS depth FROM s JOIN b ON b.near = s.start),
+    f1 AS (SELECT DISTINCT start, n FROM (SELECT start, src AS n FROM h1 UNION ALL SELECT start, dst FROM h1) WHERE n <> start), h2 AS (SELECT f1.start, b.*, 2 AS depth FROM f1 JOIN b ON b.near = f1.n), u AS (SELECT start, src, dst, type, provenance, min(depth) AS depth FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1, 2, 3, 4, 5)
     SELECT start, src, dst, type, depth::BIGINT AS depth, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, src, dst, type, provenance) AS n FROM u) WHERE n <= 40""")
 def grf_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two undirected steps around some suppliers, at most forty edges each, nearest first."""
+    """Two undirected steps around every supplier, at most forty edges each, nearest first."""
     e = edges(spark, sf_dir).where("type <> 'contains'")
     both = e.select(F.col("src").alias("near"), "src", "dst", "type", "provenance").union(e.select("dst", "src", "dst", "type", "provenance"))
-    starts = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("start"))
-    around = graph.neighbourhood(e, starts.select("start", F.col("start").alias("node_id")), depth=1)
+    starts = nodes(spark, sf_dir).where("node_type = 'supplier'").select(F.col("node_id").alias("start"), "node_id")
+    around = graph.neighbourhood(e, starts, depth=1)
     met = both.join(around, F.col("near") == F.col("node_id")).groupBy("start", "src", "dst", "type", "provenance").agg((F.min("distance") + 1).cast("long").alias("depth"))
     out = ranking.best(met, 40, by=[F.col("depth"), F.col("src"), F.col("dst"), F.col("type"), F.col("provenance")], groups=["start"])
     return out.select("start", "src", "dst", "type", "depth", F.col("rank").cast("long").alias("place"))
@@ -216,12 +216,12 @@ def jsn_recall_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", n.alias("n"))
 
 
-@query(r"""SELECT event_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(summary, '<[^>]*>', ' ', 'g'), '[\x00-\x08\x0E-\x1F]', '', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS clean, nullif(regexp_extract(summary, '\b(\d{4})[-_](\d{2})[-_](\d{2})\b', 0), '') AS date_hint, trim(regexp_replace(translate(substr(summary, 1, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM turns""")
+@query(r"""SELECT event_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(summary, '<[^>]*>', ' ', 'g'), '[\x00-\x08\x0E-\x1F]', '', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS clean, nullif(regexp_extract(summary, '\b(\d{4})[-_](\d{2})[-_](\d{2})\b', 0), '') AS date_hint, trim(regexp_replace(translate(summary, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM turns""")
 def str_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns without tags and control characters, their first date and a slug of their beginning."""
+    """Turns without tags and control characters, their first date and a slug."""
     s = F.col("summary")
     clean = text.squeeze(F.regexp_replace(F.regexp_replace(s, "<[^>]*>", " "), r"[\x00-\x08\x0E-\x1F]", ""))
-    slug = F.btrim(F.regexp_replace(text.ascii_lower(F.substring("summary", 1, 40)), "[^a-z0-9]+", "-"), F.lit("-"))
+    slug = F.btrim(F.regexp_replace(text.ascii_lower(s), "[^a-z0-9]+", "-"), F.lit("-"))
     return turns(spark, sf_dir).select("event_id", F.md5(clean.cast("binary")).alias("clean"), F.nullif(F.regexp_extract(s, r"\b(\d{4})[-_](\d{2})[-_](\d{2})\b", 0), F.lit("")).alias("date_hint"), slug.alias("slug"))
 
 
@@ -238,8 +238,6 @@ def str_turn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT node_type AS module, count(*) AS n, min(node_id) AS first_id, count(DISTINCT tag) AS tags, (SELECT count(*) FROM edges e WHERE starts_with(e.src, node_type || ':')) AS out_edges FROM nodes GROUP BY node_type""")
 def snk_module_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules (node types) with their sizes and outgoing edges."""
-    from .views import nodes
-
     out = edges(spark, sf_dir).groupBy(F.substring_index("src", ":", 1).alias("m")).agg(F.count(F.lit(1)).alias("out_edges"))
     n = nodes(spark, sf_dir).groupBy(F.col("node_type").alias("module")).agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first_id"), F.count_distinct("tag").alias("tags"))
     return n.join(out, F.col("module") == F.col("m"), "left").select("module", "n", "first_id", "tags", F.coalesce("out_edges", F.lit(0)).alias("out_edges"))

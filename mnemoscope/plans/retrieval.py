@@ -64,14 +64,14 @@ def win_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lanes(spark, sf_dir).select("query_id", "id", F.round("rrf", 9).alias("rrf"), F.col("rank_a").cast("long"), F.col("rank_b").cast("long"))
 
 
-@query(f"""WITH l AS (SELECT id, row_number() OVER (ORDER BY length(summary) DESC, id) AS rank FROM observations QUALIFY rank <= 30), g AS (SELECT id, round(used_count / 10.0::DOUBLE, 6) AS score FROM observations WHERE id % 97 = 0),
-    u AS (SELECT id, 'lexical' AS lane, 1.0::DOUBLE / (rank + 1) AS s FROM l UNION ALL SELECT id, 'graph', score FROM g) SELECT id, lane, round(s, 9) AS hybrid_score, row_number() OVER (ORDER BY s DESC, lane, id) AS rank FROM u""")
+@query("""WITH l AS (SELECT scope, id, row_number() OVER (PARTITION BY scope ORDER BY length(summary) DESC, id) AS rank FROM observations QUALIFY rank <= 30), g AS (SELECT scope, id, round(used_count / 20.0::DOUBLE, 6) AS score FROM observations WHERE used_count >= 5),
+    u AS (SELECT scope, id, 'lexical' AS lane, 1.0::DOUBLE / (rank + 1) AS s FROM l UNION ALL SELECT scope, id, 'graph', score FROM g) SELECT scope, id, lane, round(s, 9) AS hybrid_score, row_number() OVER (PARTITION BY scope ORDER BY s DESC, lane, id) AS rank FROM u""")
 def win_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked hits and scored neighbours of each scope in one order."""
     o = observations(spark, sf_dir)
-    lexical_hits = o.select("id", F.length("summary").alias("chars")).orderBy(F.desc("chars"), "id").limit(30)
-    lexical_hits = ranking.ranked(lexical_hits.withColumn("all", F.lit(1)), by=[F.desc("chars"), F.col("id")], groups=["all"])
-    hits = o.where("id % 97 = 0").select("id", F.round(F.col("used_count") / 10.0, 6).alias("score"))
-    return ranking.blend(lexical_hits, hits).select("id", "lane", F.round("hybrid_score", 9).alias("hybrid_score"), F.col("rank").cast("long").alias("rank"))
+    hits = ranking.best(o.select("scope", "id", F.length("summary").alias("chars")), 30, by=[F.desc("chars"), F.col("id")], groups=["scope"])
+    near = o.where("used_count >= 5").select("scope", "id", F.round(F.col("used_count") / 20.0, 6).alias("score"))
+    return ranking.blend(hits, near, groups=["scope"]).select("scope", "id", "lane", F.round("hybrid_score", 9).alias("hybrid_score"), F.col("rank").cast("long").alias("rank"))
 
 
 _TIERS = "h AS (SELECT scope, id, CASE label WHEN 'must_remember' THEN 'must' WHEN 'unknown' THEN 'unknown' ELSE 'ignore' END AS t0, CASE WHEN id % 5 = 0 THEN 'nice' ELSE CASE label WHEN 'must_remember' THEN 'must' WHEN 'unknown' THEN 'unknown' ELSE 'ignore' END END AS tier, (id * 37 % 1000) / 1000.0::DOUBLE AS score, id % 50 AS created FROM observations)"

@@ -13,12 +13,12 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 _SPACE = r"[ \t\n\r\f\x0B]+"
 
 
-@query(rf"""SELECT id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_LOWER.format("trim(raw)")}, '{_SPACE}', '-', 'g'), '[^a-z0-9._:/-]+', '-', 'g'), '-+', '-', 'g'), '^[./:_-]+', ''), '[./:_-]+$', ''), '') AS scope
-    FROM (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN '  Team ' || source || '!! ' WHEN 1 THEN '--' || lang || '/' || source || '::' WHEN 2 THEN substr(text, 1, 12) ELSE '///' END AS raw FROM documents)""")
+@query(rf"""SELECT id, md5(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_LOWER.format("trim(raw)")}, '{_SPACE}', '-', 'g'), '[^a-z0-9._:/-]+', '-', 'g'), '-+', '-', 'g'), '^[./:_-]+', ''), '[./:_-]+$', ''), '')) AS scope
+    FROM (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN '  Team ' || source || '!! ' WHEN 1 THEN '--' || lang || '/' || source || '::' WHEN 2 THEN text ELSE '///' END AS raw FROM documents)""")
 def str_scope_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id") % 4
-    raw = F.when(i == 0, F.concat(F.lit("  Team "), "source", F.lit("!! "))).when(i == 1, F.concat(F.lit("--"), "lang", F.lit("/"), "source", F.lit("::"))).when(i == 2, F.substring("text", 1, 12)).otherwise("///")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.scope_token(raw).alias("scope"))
+    raw = F.when(i == 0, F.concat(F.lit("  Team "), "source", F.lit("!! "))).when(i == 1, F.concat(F.lit("--"), "lang", F.lit("/"), "source", F.lit("::"))).when(i == 2, F.col("text")).otherwise("///")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5(text.scope_token(raw).cast("binary")).alias("scope"))
 
 
 @query(rf"""SELECT doc_id AS id, md5(regexp_replace(regexp_replace(text, '{text.EMAIL}', '[REDACTED_EMAIL]', 'g'), '{text.PHONE}', '[REDACTED_PHONE]', 'g')) AS digest, len(regexp_extract_all(text, '{text.EMAIL}'))::BIGINT AS emails FROM documents""")

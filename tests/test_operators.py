@@ -42,7 +42,7 @@ def test_tier_quota_fills_free_places_by_score(spark):
 
 
 def test_blend(spark):
-    out = ranking.blend(frame(spark, [(1, 1), (2, 2)], "id int, rank int"), frame(spark, [(9, 0.5), (8, 0.1)], "id int, score double"))
+    out = ranking.blend(frame(spark, [(0, 1, 1), (0, 2, 2)], "q int, id int, rank int"), frame(spark, [(0, 9, 0.5), (0, 8, 0.1)], "q int, id int, score double"), groups=["q"])
     assert [(r.id, r.lane) for r in out.orderBy("rank").collect()] == [(9, "graph"), (1, "lexical"), (2, "lexical"), (8, "graph")]
 
 
