@@ -50,7 +50,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 5
 DF_BITS, DF_ROWS = 20, 2
-DF_BLOCK_BITS = 16
+DF_BLOCK_BITS = 12
 SALT, BLOCK = 64, 128
 _POOL_BITS = 14
 _SEEDS = tx.mix(np.arange(1, BANDS * ROWS + DF_ROWS + 2, dtype=tx.U64) * tx.U64(0xA0761D6478BD642F))
