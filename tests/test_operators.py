@@ -119,3 +119,20 @@ def test_bm25_prefers_rare_terms(spark):
     out = lexical.bm25(docs, frame(spark, [(7, "Common, RARE!")], "query_id int, text string"))
     got = {r.id: r.score for r in out.collect()}
     assert set(got) == {1, 2, 3} and got[1] > got[2]
+
+
+def test_recall_chooses_lanes(spark):
+    from mnemoscope.operators.recall import recall
+
+    docs = frame(spark, [(1, "red apple"), (2, "green pear"), (3, "red pear")], "id long, text string")
+    asked = frame(spark, [(7, "red")], "query_id long, text string")
+    vectors = frame(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "id long, vector array<double>")
+    asked_vectors = frame(spark, [(7, [0.0, 2.0])], "query_id long, vector array<double>")
+    see = lambda df: [(r.id, r.lanes, r.mode, r.reason) for r in df.orderBy("rank").collect()]
+    assert see(recall(docs, asked, k=2)) == [(1, "lexical", "lexical", "no_vectors"), (3, "lexical", "lexical", "no_vectors")]
+    assert see(recall(docs, asked, k=2, mode="vector")) == see(recall(docs, asked, k=2))
+    both = see(recall(docs, asked, vectors=vectors, asked_vectors=asked_vectors, k=3))
+    assert both[0] == (1, "lexical+vector", "hybrid", "vectors_available") and {r[0] for r in both} == {1, 2, 3}
+    assert [r[0] for r in see(recall(docs, asked, vectors=vectors, asked_vectors=asked_vectors, k=1, mode="vector"))] == [2]
+    with pytest.raises(ValueError, match="mode"):
+        recall(docs, asked, mode="graph")
