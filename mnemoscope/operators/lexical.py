@@ -8,25 +8,33 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_lower
 
 K1, B = 1.2, 0.75
+#: Up to so many distinct keys are broadcast; more are met by a shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
 
+def only_asked(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among those of ``asked``, filtered before any shuffle if the keys are few."""
+    keys = asked.select(key).distinct()
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, key, "left_semi")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, *, groups: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, score) of documents (id, text) that share a term with a query (query_id, text).
 
-    One pass over the documents keeps only terms that occur in a query, which is
-    a join with the distinct query terms; document lengths come with the postings.
+    One pass over the documents keeps only terms that occur in a query; document
+    lengths come with the postings, so only matches are shuffled.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     words = terms(F.col("text"))
     sized = docs.select("id", *groups, words.alias("words")).withColumn("length", F.size("words"))
     stats = docs.select(F.size(words).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean_length"))
     postings = (
-        sized.select("id", *groups, "length", F.explode("words").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
+        only_asked(sized.select("id", *groups, "length", F.explode("words").alias("term")), asked, "term")
         .groupBy("id", *groups, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from .registry import query
-from .views import KINDS, NOW, STATES, edges, nodes, now, observations, receipts, table, turns, vectors
+from .views import NOW, STATES, edges, nodes, now, observations, receipts, table, turns, vectors
 
 _FINGERPRINT = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z一-鿿]+', ' ', 'g'))"
 

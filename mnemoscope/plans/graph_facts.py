@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..operators.ranking import ranked
 from .filters_joins import TOKEN_LINKS_SQL, jon_token_links
 from .registry import query
-from .views import NOW, edges, facts, nodes, now, table
+from .views import edges, facts, nodes, table
 
 
 @query("SELECT e.src, e.dst, e.type, s.node_type AS src_type, d.node_type AS dst_type FROM edges e LEFT JOIN nodes s ON s.node_id = e.src LEFT JOIN nodes d ON d.node_id = e.dst WHERE e.dst = 'nation:3'")
@@ -94,8 +95,6 @@ def fct_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT subject, fact_id, object, row_number() OVER (PARTITION BY subject, predicate ORDER BY valid_from, fact_id) AS place, date_diff('day', valid_from, valid_to) AS days FROM facts""")
 def fct_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.ranking import ranked
-
     f = ranked(facts(spark, sf_dir), by=[F.col("valid_from"), F.col("fact_id")], groups=["subject", "predicate"], name="place")
     return f.select("subject", "fact_id", "object", F.col("place").cast("long").alias("place"), F.datediff("valid_to", "valid_from").cast("long").alias("days"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import graph, ranking
+from ..operators import graph, lexical, ranking
+from ..sources.sinks import TRUST_RANK
 from .registry import query
 from .retrieval import BM25_SQL, lexical_lane
 from .views import NOW, edges, facts, nodes, now, observations, receipts, table, turns
@@ -173,8 +174,8 @@ def ret_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by the share of a question's first six terms (in order of letters) they have; shorter ones first among equals."""
     words = lambda: F.array_distinct(F.regexp_extract_all(text.ascii_lower(F.col("text")), F.lit("[a-z0-9_]{3,}"), F.lit(0)))
     q = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.array_sort(words()), 1, 6).alias("terms")).select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    # Only words that are asked for are kept before the shuffle, if their list is small enough to broadcast.
     d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"), F.explode(words()).alias("term"))
+    d = lexical.only_asked(d, q, "term")
     m = d.join(q, "term").groupBy("item_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.max("n") - F.least(F.max("chars"), F.lit(5000)) / 1000000.0, 6).alias("score"))
     return ranking.best(m, 5, by=[F.desc("score"), F.col("doc_id")], groups=["item_id"]).withColumn("rank", F.col("rank").cast("long"))
 
@@ -254,7 +255,5 @@ def rev_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH n AS (SELECT trust, CASE trust WHEN 'trusted' THEN 2 WHEN 'untrusted' THEN 1 ELSE 0 END AS r, scope, id FROM observations) SELECT id, r <= 1 AND scope IN ('src1', 'src2') OR r <= 1 AND scope = 'src0' AS admitted FROM n""")
 def pck_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an untrusted caller with scopes src1 and src2 may read; src0 stands for global."""
-    from ..sources.sinks import TRUST_RANK
-
     rank = scoring.looked_up(TRUST_RANK, F.col("trust"), 0)
     return observations(spark, sf_dir).select("id", ((rank <= TRUST_RANK["untrusted"]) & F.col("scope").isin("src0", "src1", "src2")).alias("admitted"))

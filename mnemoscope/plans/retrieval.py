@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..operators import lexical, ranking, vector
 from .registry import query
-from .views import NOW, now, observations, table, turns, vectors
+from .views import NOW, facts, now, observations, table, turns, vectors
 
 WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 #: Weights of a composite score in SQL, from the same tables.
@@ -144,8 +144,6 @@ def pck_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT subject, fact_id AS id, p AS position FROM (SELECT *, sum(tokens) OVER (PARTITION BY subject ORDER BY p) AS upto FROM c WHERE p <= 4) WHERE p = 1 OR upto <= 1000""")
 def fct_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four surest facts of each subject, oldest first among equals; the first always fits."""
-    from .views import facts
-
     sure = F.when(F.col("confidence") == "operator_asserted", 3).when(F.col("confidence") == "corroborated", 2).when(F.col("confidence") == "source_capped", 1).otherwise(0)
     f = facts(spark, sf_dir).where("status = 'active'").select("subject", "fact_id", "valid_from", sure.alias("sure"), text.token_estimate(F.concat("subject", "predicate", "object")).alias("tokens"))
     best = ranking.best(f, 4, by=[F.desc("sure"), F.col("valid_from"), F.col("fact_id")], groups=["subject"]).select("subject", F.col("rank").alias("place"), F.col("fact_id").alias("id"), "tokens")
@@ -173,7 +171,8 @@ def eval_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(words("text"), 2, 5), " ").alias("k"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))
-    met = docs.withColumn("w", words(F.col("text"))).select("doc_id", F.explode(F.array_distinct(runs)).alias("k")).join(items, "k").select("doc_id", "item_id", "item").distinct()
+    each = docs.withColumn("w", words(F.col("text"))).select("doc_id", F.explode(F.array_distinct(runs)).alias("k"))
+    met = lexical.only_asked(each, items, "k").join(items, "k").select("doc_id", "item_id", "item").distinct()
     spots = met.join(docs, "doc_id").where(F.contains("text", F.col("item")))
     truth = spots.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
     ranks = truth.join(lexical_lane(spark, sf_dir), ["query_id", "id"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))

@@ -7,7 +7,9 @@ from the history of orders and ``receipts`` from order lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KINDS = ("fact", "preference", "decision", "entity", "event", "plan", "learning", "note")
@@ -86,8 +88,6 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temporal facts: fact_id, subject, predicate, object, valid_from, valid_to (null: open), status, confidence."""
-    from pyspark.sql import Window
-
     o = table(spark, sf_dir, "orders")
     start = F.col("o_orderdate").cast("timestamp")
     after = F.lead(start).over(Window.partitionBy("o_custkey").orderBy(start, "o_orderkey"))
@@ -137,8 +137,6 @@ VIEWS_SQL = {
 
 def with_views(sql: str) -> str:
     """``sql`` with the views that it names in front; it may begin with further expressions after WITH."""
-    import re
-
     used = [v for k, v in VIEWS_SQL.items() if re.search(rf"\b{k}\b", sql)]
     if not used:
         return sql

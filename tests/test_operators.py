@@ -114,7 +114,10 @@ def test_cosine_blocks_and_zero_vectors(spark, monkeypatch):
         assert got == expected
 
 
-def test_bm25_prefers_rare_terms(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_bm25_prefers_rare_terms(spark, monkeypatch, few):
+    """Alike with terms broadcast and shuffled."""
+    monkeypatch.setattr(lexical, "BROADCAST_KEYS", few)
     docs = frame(spark, [(1, "common rare"), (2, "common common"), (3, "common"), (4, "other")], "id long, text string")
     out = lexical.bm25(docs, frame(spark, [(7, "Common, RARE!")], "query_id int, text string"))
     got = {r.id: r.score for r in out.collect()}
