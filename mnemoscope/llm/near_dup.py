@@ -42,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from . import text as tx
-from .components import components
 from .session import prepare
 
 SHINGLE = 5
@@ -114,7 +114,7 @@ class Idf:
 def document_frequencies(docs: DataFrame) -> Idf:
     """A count-min sketch of shingle document frequencies over all of ``docs`` (text)."""
     merged = docs.select("text").mapInArrow(_count_parts, "block long, counts binary").repartition("block").mapInArrow(_merge_counts, "block long, counts binary")
-    counts, n = np.zeros((DF_ROWS << DF_BITS) >> DF_BLOCK_BITS << DF_BLOCK_BITS, np.int64), 0
+    counts, n = np.zeros(DF_ROWS << DF_BITS, np.int64), 0
     for block, part in merged.collect():  # 16 MB at any size
         if block < 0:
             n = int(np.frombuffer(part, np.int64)[0])
