@@ -273,7 +273,8 @@ def links_between_components(texts: DataFrame, met: DataFrame, labels: DataFrame
     # Counted on the map side, before the leader's row meets those of its texts.
     own = F.max(F.when(F.col("node") == F.col("lead"), F.col("label"))).alias("own")
     groups = at.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("label").alias("l0"), F.max("label").alias("l1"), own)
-    groups = groups.where("l0 < l1").select("lead", "blocks", "own")
+    # Written, so that the join below has a shuffle of its own on either side and a hot leader's rows can be split.
+    groups = groups.where("l0 < l1").select("lead", "blocks", "own").checkpoint()
     at = at.join(groups, "lead").withColumn("apart", F.col("label") != F.col("own"))
     held = at.select("lead", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("query"), "node", "label")
     asked = at.where("apart").select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "node", "label")
@@ -288,7 +289,8 @@ def links_between_components(texts: DataFrame, met: DataFrame, labels: DataFrame
 
 def verified(texts: DataFrame, pairs: DataFrame, shared, threshold: float) -> DataFrame:
     """The linked ones of ``pairs`` (lead, node); ``texts`` has (node, text) once for each node."""
-    counts = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
+    # Written, for the same reason as the groups above.
+    counts = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts")).checkpoint()
     members = pairs.join(counts, "lead").select("lead", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node")
     leaders = counts.select("lead", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("lead").alias("node"))
     return (
@@ -343,14 +345,13 @@ def keep_one(docs: DataFrame, *, threshold: float = SIMILARITY) -> DataFrame:
 
     Of repeated rows (equal id) one stays, that with the least content hash.
     """
-    classes = near_duplicate_classes(docs, threshold=threshold)
-    keepers = classes.where("node = class_id").select(F.col("node").alias("_near_node")).distinct()
+    classes = near_duplicate_classes(docs, threshold=threshold).where("node = class_id").select("node").checkpoint()
+    keepers = classes.select(F.col("node").alias("_near_node")).distinct()
     body = F.coalesce("text", F.lit(""))
     node = F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(F.lit(2), body), 2))
-    own = Window.partitionBy("_near_key").orderBy("_near_order")
-    return (
-        docs.withColumn("_near_key", node).withColumn("_near_order", F.xxhash64(body))
-        .join(keepers, F.col("_near_key") == F.col("_near_node"))
-        .withColumn("_near_rank", F.row_number().over(own)).where("_near_rank = 1")
-        .select(*docs.columns)
-    )
+    keyed = docs.withColumn("_near_key", node)
+    kept = keyed.join(keepers, F.col("_near_key") == F.col("_near_node"), "left_semi")
+    if classes.groupBy("node").count().where("count > 1").isEmpty():
+        return kept.select(*docs.columns)
+    own = Window.partitionBy("_near_key").orderBy(F.xxhash64(body))
+    return kept.withColumn("_near_rank", F.row_number().over(own)).where("_near_rank = 1").select(*docs.columns)

@@ -9,12 +9,15 @@ from pyspark.sql import SparkSession
 #: Rows of a batch that goes to a Python worker; whole texts can be long, and a worker holds one batch.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Small shuffled tables are read by few tasks, so that what is checkpointed is few files.
+_FEW_FILES = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Name a checkpoint folder where the cluster names none (as in tests), and bound batches."""
+    """Name a checkpoint folder where the cluster names none (as in tests), bound batches, and keep small files few."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
         spark.conf.set(_BATCH, BATCH_ROWS)
+    spark.conf.set(_FEW_FILES, "false")
