@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower
+from .graph import ensure_checkpoint_dir
 
 K1, B = 1.2, 0.75
 #: Up to so many distinct keys are broadcast; more are met by a shuffle.
@@ -26,17 +27,19 @@ def only_asked(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, *, groups: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, score) of documents (id, text) that share a term with a query (query_id, text).
 
-    One pass over the documents keeps only terms that occur in a query; document
-    lengths come with the postings, so only matches are shuffled.
+    One pass over the documents keeps only terms that occur in a query, and a row
+    without a term for each document; from these, written once, come lengths,
+    document frequencies and matches, so only matches are shuffled.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    words = terms(F.col("text"))
-    sized = docs.select("id", *groups, words.alias("words")).withColumn("length", F.size("words"))
-    stats = docs.select(F.size(words).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean_length"))
-    postings = (
-        only_asked(sized.select("id", *groups, "length", F.explode("words").alias("term")), asked, "term")
-        .groupBy("id", *groups, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    words = docs.select("id", *groups, F.coalesce(terms(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    # explode_outer, as for explode Spark would infer a filter that splits every text twice.
+    each = words.select("id", *groups, F.size("words").alias("length"), F.explode_outer(F.concat(F.array(F.lit("")), "words")).alias("term"))
+    wanted = asked.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term")))
+    postings = only_asked(each, wanted, "term").groupBy("id", *groups, "length", "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint()
+    stats = postings.where("term = ''").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length"))
+    postings = postings.where("term <> ''")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # One row of statistics is broadcast.
     matched = postings.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))
