@@ -8,8 +8,11 @@ merged over all partitions, so what is broadcast is 8 MB whatever the input.
 
 Improved consistent weighted sampling (Ioffe 2010) draws ``BANDS * ROWS`` samples
 from each text; two texts draw the same sample with a probability equal to their
-weighted Jaccard similarity.  ``ROWS`` samples make a band.  With 16 bands of 5, a
-pair of similarity 0.8 shares a band with probability 0.998, one of 0.9 always.
+weighted Jaccard similarity.  ``PLAIN_BANDS * ROWS`` MinHash samples of the same
+shingles, all of weight 1, do so for the plain one, which a repeated line or a
+common template leaves high where the weighted one falls.  ``ROWS`` samples make a
+band.  With 16 bands of 5 of either kind, a pair of which either similarity is 0.8
+shares a band with probability 0.998 at least, one of 0.9 always.
 
 Texts in one bucket of a band are candidates.  Copies are first reduced to one
 row for each distinct text.  In each bucket every text is compared with the least
@@ -48,12 +51,13 @@ from .session import prepare
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 16, 5
+BANDS, PLAIN_BANDS, ROWS = 16, 16, 5
 DF_BITS, DF_ROWS = 20, 2
 DF_BLOCK_BITS = 12
 SALT, BLOCK = 64, 128
 _POOL_BITS = 14
 _SEEDS = tx.mix(np.arange(1, BANDS * ROWS + DF_ROWS + 2, dtype=tx.U64) * tx.U64(0xA0761D6478BD642F))
+_PLAIN_SEEDS = tx.mix(np.arange(1, PLAIN_BANDS * ROWS // 2 + 1, dtype=tx.U64) * tx.U64(0x8EBC6AF09C88C6E3))
 
 
 def _pool() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,14 +134,14 @@ def weighted(piece: tx.Slice, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def band_keys(row: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that have shingles, their keys [rows, BANDS]) by improved consistent weighted sampling."""
+    """(rows that have shingles, their keys [rows, BANDS + PLAIN_BANDS]): weighted samples, then plain ones."""
     have, start = np.unique(row, return_index=True)
     if not len(have):
-        return have, np.zeros((0, BANDS), tx.U64)
+        return have, np.zeros((0, BANDS + PLAIN_BANDS), tx.U64)
     sizes = np.diff(np.append(start, len(row)))
     owner = np.repeat(np.arange(len(have)), sizes)
     log_w = np.log(weight)
-    keys = np.zeros((len(have), BANDS), tx.U64)
+    keys = np.zeros((len(have), BANDS + PLAIN_BANDS), tx.U64)
     with np.errstate(over="ignore"):
         for band in range(BANDS):
             key = np.full(len(have), band + 1, tx.U64)
@@ -152,6 +156,13 @@ def band_keys(row: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tuple[n
                 sample = value[first] ^ (t[first].astype(np.int64).astype(tx.U64) * tx.U64(0x9E3779B97F4A7C15))
                 key = tx.mix(key * tx.U64(0x100000001B3) ^ tx.mix(sample ^ _SEEDS[k]))
             keys[:, band] = key
+        # Each half of a mixed hash is a sample.
+        halves = [np.minimum.reduceat(half, start) for seed in _PLAIN_SEEDS for h in (tx.mix(value ^ seed),) for half in (h >> tx.U64(32), h & tx.U64(0xFFFFFFFF))]
+        for band in range(PLAIN_BANDS):
+            key = np.full(len(have), BANDS + band + 1, tx.U64)
+            for least in halves[band * ROWS : (band + 1) * ROWS]:
+                key = tx.mix(key * tx.U64(0x100000001B3) ^ least)
+            keys[:, BANDS + band] = key
     return have, keys
 
 
@@ -162,7 +173,7 @@ def _sign(shared):
             for part, piece in tx.slices(batch):
                 have, keys = band_keys(*weighted(piece, idf))
                 offsets = np.zeros(len(piece) + 1, np.int32)
-                offsets[have + 1] = BANDS
+                offsets[have + 1] = keys.shape[1]
                 bands = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(tx.signed(keys.reshape(-1))))
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("c1"), part.column("c2"), bands], names=["node", "c1", "c2", "bands"])
 

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,30 @@ def test_near_duplicate_strays_are_compared(spark):
     assert got == {i: 50 if i >= 50 else i for i, _ in rows}
 
 
+@pytest.mark.parametrize("times", [50, 1000])
+def test_near_duplicates_that_repeat_a_line(spark, times):
+    """A repeated line lowers the weighted similarity far below the plain one, which links the pair."""
+    rows = []
+    for i in range(40):
+        own, line = " ".join(f"w{i}x{k}" for k in range(80)), " ".join(f"l{i}x{k}" for k in range(20))
+        rows += [(2 * i, f"{own}\n{line}"), (2 * i + 1, "\n".join([own, *[line] * times]))]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+@pytest.mark.parametrize("low", [1.0, 0.1])
+def test_bands_find_pairs_of_a_shared_template(low):
+    """800 template shingles of a low weight and 100 of weight 2 in each text: plain similarity 0.8, weighted less."""
+    r, n = np.random.default_rng(3), 500
+    value = r.integers(1, 2**63, (n, 1000)).astype(np.uint64)
+    sides = [np.sort(value[:, x], axis=1).ravel() for x in (slice(0, 900), [*range(800), *range(900, 1000)])]
+    own = np.zeros(1000, bool)
+    own[800:] = True
+    weight = lambda side: np.where(np.isin(side, value[:, own].ravel()), 2, low).astype(np.float32)
+    a, b = (near_dup.band_keys(np.repeat(np.arange(n), 900), side, weight(side))[1] for side in sides)
+    assert (a == b).any(axis=1).sum() >= 0.985 * n
+
+
 def test_keep_one(hard):
     kept = near_dup.keep_one(hard)
     assert kept.columns == hard.columns
