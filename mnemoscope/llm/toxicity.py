@@ -5,12 +5,14 @@ document's features and the probabilities of the categories before it.  While
 training these are out of fold, so later models learn from predictions as
 they will be, not from fitted ones.  The last category is the label ``toxic``.
 
-The label table has that one column.  The earlier categories are weakly
-labelled: a toxic document that holds a word of the category's list.
+The label table has that one column.  The earlier categories are kinds of toxic
+documents, found in the labelled sample itself: ``KINDS`` clusters of the toxic
+ones by their features (spherical k-means, begun at the documents farthest apart).
+No word is given by hand.
 
 Features: presence of words and of word beginnings (four and five bytes), ASCII
 case folded.  The ``FEATURES`` of them with the largest chi-square against the
-label are chosen; presence of any word of a list is one feature more.  The model is fitted on at most ``MAX_LABELLED`` labelled documents,
+label are chosen.  The model is fitted on at most ``MAX_LABELLED`` labelled documents,
 those with the least hash of their id; this bound is a parameter.  Every
 document is scored, whole, by the same task that reads it; nothing is shuffled.
 
@@ -41,11 +43,7 @@ FOLDS = 5
 THRESHOLD = 0.5
 MIN_DOCS = 3
 PENALTY = 0.1
-#: Words of the weak labels.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "stupid", "loser", "clown"),
-    "degrading": ("scum", "trash", "worthless", "pathetic", "disgusting"),
-}
+KINDS, KIND_ROUNDS = 2, 20
 _BEGINNINGS = (4, 5)
 _KIND = tx.mix(np.arange(1, 8, dtype=tx.U64) * tx.U64(0xD1342543DE82EF95))
 
@@ -62,25 +60,34 @@ def tokens(piece: tx.Slice) -> tuple[np.ndarray, np.ndarray]:
     return row, value
 
 
-def word_hashes(words: tuple[str, ...]) -> np.ndarray:
-    (_, piece), = tx.slices(pa.record_batch({"text": pa.array([" ".join(words)])}))
-    return tx.Words(piece, tx.FOLDED).hash
+def kinds(x: np.ndarray, k: int = KINDS) -> np.ndarray:
+    """The cluster of each row, by the cosine of presence vectors; deterministic, whatever the order of equal rows."""
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    if not len(u):
+        return np.zeros(0, np.int64)
+    centre = u.mean(axis=0)
+    centres = [u[np.argmin(u @ centre)]]
+    while len(centres) < k:
+        centres.append(u[np.argmin(np.max(u @ np.array(centres).T, axis=1))])
+    centres = np.array(centres)
+    for _ in range(KIND_ROUNDS):
+        own = np.argmax(u @ centres.T, axis=1)
+        sums = np.array([u[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(k)])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    return np.argmax(u @ centres.T, axis=1)
 
 
 @dataclass(frozen=True)
 class Model:
     names: tuple[str, ...]
     features: np.ndarray  # sorted hashes
-    lists: tuple[np.ndarray, ...]  # word hashes of each category
     models: list[Logistic]
 
     def matrix(self, piece: tx.Slice) -> np.ndarray:
-        """Presence of each feature, and of any word of each list."""
+        """Presence of each feature."""
         n = len(self.features)
-        x = np.zeros((len(piece), n + len(self.lists)), np.float32)
+        x = np.zeros((len(piece), n), np.float32)
         row, value = tokens(piece)
-        for c, words in enumerate(self.lists):
-            x[row[np.isin(value, words)], n + c] = 1
         if n:
             at = np.minimum(np.searchsorted(self.features, value), len(self.features) - 1)
             hit = self.features[at] == value
@@ -118,7 +125,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
 
 def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, n_features: int = FEATURES) -> Model:
     prepare(docs.sparkSession)
-    names = (*CATEGORIES, "toxic")
+    names = (*(f"kind_{c + 1}" for c in range(KINDS)), "toxic")
     sample = labelled_sample(docs, labels, max_labelled).checkpoint()
     n, pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counts = sample.select("text", "toxic").mapInArrow(_token_rows, "token long, toxic int").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("pos"))
@@ -128,14 +135,15 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     chi2 = cells / (F.col("n") * (n - F.col("n")) * F.lit(float(max(1, pos * (n - pos)))))
     best = counts.where((F.col("n") >= MIN_DOCS) & (F.col("n") < n)).orderBy(chi2.desc(), "token").limit(n_features).select("token").collect() if 0 < pos < n else []
     features = np.sort(np.array([r[0] for r in best], np.int64).view(tx.U64))
-    lists = tuple(word_hashes(w) for w in CATEGORIES.values())
-    rows = sample.mapInArrow(_feature_rows(Model(names, features, lists, [])), "doc_id long, toxic int, bits array<int>").orderBy("doc_id").collect()
-    width = len(features) + len(lists)
+    rows = sample.mapInArrow(_feature_rows(Model(names, features, [])), "doc_id long, toxic int, bits array<int>").orderBy("doc_id").collect()
+    width = len(features)
     y = np.array([r.toxic for r in rows], np.float64)
     x = np.unpackbits(np.array([r.bits for r in rows], np.uint8).reshape(len(rows), -1), axis=1)[:, :width].astype(np.float32) if rows else np.zeros((0, width), np.float32)
-    targets = np.column_stack([*(y * x[:, len(features) + c] for c in range(len(lists))), y])
+    kind = np.full(len(y), -1)
+    kind[y > 0] = kinds(x[y > 0])
+    targets = np.column_stack([*(kind == c for c in range(KINDS)), y]).astype(np.float64)
     fold = folds(np.array([r.doc_id for r in rows], np.int64), FOLDS)
-    return Model(names, features, lists, chain(x, targets, fold, FOLDS, penalty=PENALTY))
+    return Model(names, features, chain(x, targets, fold, FOLDS, penalty=PENALTY))
 
 
 def _score(shared, threshold: float):

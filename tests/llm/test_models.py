@@ -49,6 +49,34 @@ def test_toxic_documents_go(spark, split):
     assert [r.doc_id for r in toxicity.reject(planted, model).collect()] == [2]
 
 
+def test_toxicity_learns_any_vocabulary(spark):
+    """Two kinds of toxic documents in invented words: the earlier models tell them apart, and held-out ones are found."""
+    r = np.random.default_rng(4)
+    bad = [["zorgun", "plakto", "mivrel"], ["quessa", "durnip", "folbat"]]
+    rows = []
+    for i in range(900):
+        own = [f"w{k}" for k in r.integers(0, 60, 30)]
+        if i % 3:
+            own[5:7] = r.choice(bad[i % 3 - 1], 2, replace=False).tolist()
+        rows.append((i, " ".join(own), int(i % 3 > 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, docs.where("doc_id < 600").select("doc_id", "toxic"))).where("doc_id >= 600").collect()
+    assert sum(g.toxic == (g.doc_id % 3 > 0) for g in got) >= 0.98 * len(got)
+    early = np.array([list(g)[1:-3] for g in got])
+    kind = np.array([g.doc_id % 3 for g in got])
+    assert early[kind == 0].max() < 0.5 and (early[kind > 0].max(axis=1) > 0.5).mean() > 0.95
+    assert all(len(set(early[kind == k].argmax(axis=1))) == 1 for k in (1, 2)) and early[kind == 1].argmax() % 2 != early[kind == 2].argmax() % 2
+
+
+def test_toxicity_on_held_out_labels_by_language(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(3)) == 0
+    scored = toxicity.score(docs, toxicity.train(docs, labels.where(~held))).select("doc_id", F.col("toxic").alias("said"))
+    rows = scored.join(labels.where(held), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("toxic = 1")
+    recall = {r.lang: (r.found, r.n) for r in rows.groupBy("lang").agg(F.count_if("said").alias("found"), F.count(F.lit(1)).alias("n")).collect()}
+    assert len(recall) > 1 and all(found >= 0.7 * n for found, n in recall.values()), recall
+
+
 def test_chain_uses_out_of_fold_predictions():
     r = np.random.default_rng(1)
     x = (r.random((600, 6)) < 0.5).astype(np.float32)
