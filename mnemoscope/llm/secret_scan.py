@@ -38,18 +38,23 @@ class Rule:
     base: bool = False
 
 
+_BEGIN, _END = (rf"-----{x} [A-Z ]{{0,20}}PRIVATE KEY-----" for x in ("BEGIN", "END"))
+#: What follows a key's header: all up to its end mark, or, without one, lines and long runs of base64 (line ends may be
+#: escaped, as in JSON).  Possessive, so Java neither recurses nor backtracks on long texts.
+_TO_END = rf"[^-]*+(?:-(?!----)[^-]*+)*+{_END}"
+_BASE64 = r"(?:(?:[\x20\x09-\x0D]|\\[nr])++(?:(?:Proc-Type|DEK-Info):[^\r\n]*+|[A-Za-z0-9+/=]{16,}+|[A-Za-z0-9+/=]++(?=[\x20\x09]*+(?:[\r\n]|\\[nr]|$))))*+"
 RULES = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, base=True),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, base=True),
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24, base=True),
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", 2, f"{_BEGIN}(?:{_TO_END}|{_BASE64})"),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", 1, r"://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/:@]{1,64}@"),
+    Rule("url_login", 2, r"://[^\x20\x09-\x0D/:@]++:[^\x20\x09-\x0D/:@]++@"),
 )
 #: Every match of a rule contains a match of this.
-TRIGGER = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{24}|PRIVATE KEY-----|gh[pousr]_|xox[abprs]-|eyJ|://[^\x20\x09-\x0D/:@]{1,64}:"
+TRIGGER = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{24}|PRIVATE KEY-----|gh[pousr]_|xox[abprs]-|eyJ|://[^\x20\x09-\x0D/:@]++:"
 REDACTED = "[SECRET]"
 
 
