@@ -18,11 +18,18 @@ Texts in one bucket of a band are candidates.  Copies are first reduced to one
 row for each distinct text.  In each bucket every text is compared with the least
 and the largest id, not with every other; verified links (below) are closed to
 components.  Where texts that met the same least id are still in several
-components, for instance those that share a common passage, they are compared in
-full: blocks of at most about ``BLOCK`` texts are indexed by shingle, and each text
-that isn't in the leader's component is looked up in every block.  So each two
-texts that share a bucket end in one component or have been compared, and no
-pair of texts is ever a row.
+components, for instance those that share a common passage, the rest is done by
+prefix filtering, which loses no pair: a text's shingles are ordered from the
+rarest among these texts to the most frequent, and two texts of similarity
+``SIMILARITY`` share a shingle in their first fifth (by weight, or by number for the
+plain measure).  A passage that many texts share is frequent, so it is in no prefix.
+Texts of different components that share a prefix shingle held by at most ``FEW``
+texts are compared pair by pair.  Those that hold a more frequent one, whose texts
+are nearly all template, are compared in full with those of the same kind
+that met the same least id: blocks of about ``BLOCK`` texts are indexed by shingle, and
+each text outside the leader's component is looked up in every block.  So each two
+texts that share a bucket end in one component, or have been compared, or can't
+be similar.
 
 A pair is linked if its exact weighted Jaccard similarity, or the plain Jaccard
 similarity of its shingle sets, is ``SIMILARITY`` or more.  Members are compared with
@@ -47,14 +54,14 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from . import text as tx
-from .session import prepare
+from .session import prepare, unused_names
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, PLAIN_BANDS, ROWS = 16, 16, 5
 DF_BITS, DF_ROWS = 20, 2
 DF_BLOCK_BITS = 12
-SALT, BLOCK = 64, 128
+SALT, BLOCK, FEW = 64, 128, 32
 _POOL_BITS = 14
 _SEEDS = tx.mix(np.arange(1, BANDS * ROWS + DF_ROWS + 2, dtype=tx.U64) * tx.U64(0xA0761D6478BD642F))
 _PLAIN_SEEDS = tx.mix(np.arange(1, PLAIN_BANDS * ROWS // 2 + 1, dtype=tx.U64) * tx.U64(0x8EBC6AF09C88C6E3))
@@ -277,25 +284,68 @@ def _look_up(shared, threshold: float):
     return rows
 
 
+def _prefixes(frequency, shared, threshold: float):
+    """A row for each shingle in a text's prefix, for the weighted and the plain measure together."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity, idf = frequency.value, shared.value
+        for batch in batches:
+            for part, piece in tx.slices(batch):
+                row, value, weight = weighted(piece, idf)
+                if not len(row):
+                    continue
+                order = np.lexsort((value, -rarity(value), row))
+                row, value, weight = row[order], value[order], weight[order].astype(np.float64)
+                first = np.searchsorted(row, np.arange(len(piece) + 1))
+                size, upto = np.diff(first), np.append(0.0, np.cumsum(weight))
+                total = np.diff(upto[first])
+                # What begins here and later still weighs enough for a link; a little slack for rounding.
+                rest = total[row] - (upto[:-1] - upto[first[row]])
+                after = size[row] - (np.arange(len(row)) - first[row])
+                keep = (rest >= threshold * total[row] * (1 - 1e-5)) | (after >= threshold * size[row] * (1 - 1e-9))
+                take = pa.array(row[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(tx.signed(value[keep])), part.column("node").take(take), part.column("label").take(take)], names=["shingle", "node", "label"])
+
+    return rows
+
+
 def links_between_components(texts: DataFrame, met: DataFrame, labels: DataFrame, shared, threshold: float) -> DataFrame:
     """Links between texts in different components among those that ``met`` (lead, node) the same leader."""
+    spark = texts.sparkSession
     label = labels.select(F.col("node").alias("n"), "label")
     at = met.union(met.select("lead", F.col("lead").alias("node")).distinct()).join(label, F.col("node") == F.col("n"), "left").select("lead", "node", F.coalesce("label", "node").alias("label"))
     # Counted on the map side, before the leader's row meets those of its texts.
     own = F.max(F.when(F.col("node") == F.col("lead"), F.col("label"))).alias("own")
-    groups = at.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("label").alias("l0"), F.max("label").alias("l1"), own)
-    # Written, so that the join below has a shuffle of its own on either side and a hot leader's rows can be split.
-    groups = groups.where("l0 < l1").select("lead", "blocks", "own").checkpoint()
-    at = at.join(groups, "lead").withColumn("apart", F.col("label") != F.col("own"))
-    held = at.select("lead", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("query"), "node", "label")
-    asked = at.where("apart").select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "node", "label")
-    return (
+    groups = at.groupBy("lead").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), own).where("l0 < l1").select("lead", "own").checkpoint()
+    # Written, so that the joins below have a shuffle of their own on either side and a hot leader's rows can be split.
+    at = at.join(groups, "lead").checkpoint()
+    strays = texts.join(at.select("node", "label").distinct(), "node").select("node", "label", "text").checkpoint()
+    if strays.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    frequency = spark.sparkContext.broadcast(document_frequencies(strays))  # 8 MB, as the other
+    prefixes = strays.mapInArrow(_prefixes(frequency, shared, threshold), "shingle long, node long, label long").checkpoint()
+    common = prefixes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("shingle", "n").checkpoint()
+    in_few = prefixes.join(common.where(F.col("n") <= FEW), "shingle")
+    other = in_few.select("shingle", F.col("node").alias("lead"), F.col("label").alias("lead_label"))
+    pairs = in_few.join(other, "shingle").where("lead < node and lead_label <> label").select("lead", "node").distinct().checkpoint()
+    links = verified(texts, pairs, shared, threshold)
+    # Texts with a prefix shingle that many others have.
+    hot = prefixes.join(common.where(F.col("n") > FEW).select("shingle"), "shingle", "left_semi").select("node").distinct()
+    hot = at.join(hot, "node", "left_semi").checkpoint()
+    if hot.isEmpty():
+        return links
+    blocks = hot.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("lead", "blocks").checkpoint()
+    hot = hot.join(blocks, "lead")
+    held = hot.select("lead", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("query"), "node", "label")
+    asked = hot.where("label <> own").select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "node", "label")
+    looked_up = (
         texts.join(held.union(asked), "node")
         .select("lead", "block", "query", "node", "label", "text")
         .repartition("lead", "block")
         .sortWithinPartitions("lead", "block", "query")
         .mapInArrow(_look_up(shared, threshold), "a long, b long")
     )
+    return links.union(looked_up)
 
 
 def verified(texts: DataFrame, pairs: DataFrame, shared, threshold: float) -> DataFrame:
@@ -357,12 +407,12 @@ def keep_one(docs: DataFrame, *, threshold: float = SIMILARITY) -> DataFrame:
     Of repeated rows (equal id) one stays, that with the least content hash.
     """
     classes = near_duplicate_classes(docs, threshold=threshold).where("node = class_id").select("node").checkpoint()
-    keepers = classes.select(F.col("node").alias("_near_node")).distinct()
+    key, keeper, rank = unused_names(docs, "key", "keeper", "rank")
+    keepers = classes.select(F.col("node").alias(keeper)).distinct()
     body = F.coalesce("text", F.lit(""))
     node = F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(F.lit(2), body), 2))
-    keyed = docs.withColumn("_near_key", node)
-    kept = keyed.join(keepers, F.col("_near_key") == F.col("_near_node"), "left_semi")
+    kept = docs.withColumn(key, node).join(keepers, F.col(key) == F.col(keeper), "left_semi")
     if classes.groupBy("node").count().where("count > 1").isEmpty():
         return kept.select(*docs.columns)
-    own = Window.partitionBy("_near_key").orderBy(F.xxhash64(body))
-    return kept.withColumn("_near_rank", F.row_number().over(own)).where("_near_rank = 1").select(*docs.columns)
+    own = Window.partitionBy(key).orderBy(F.xxhash64(body))
+    return kept.withColumn(rank, F.row_number().over(own)).where(F.col(rank) == 1).select(*docs.columns)
