@@ -14,18 +14,27 @@ same bin below it, with probability under 1 / (2 * BINS_PER_SHINGLE) (3 % with
 shingles with probability 1e-23.  Items of fewer than ``TINY`` shingles are too
 small for a sketch, and each of their shingles is looked up.
 
-Candidates are verified in the same task, where the document's shingles are at
-hand: containment is the exact share of the item's distinct shingles in the document.
+Only what is in both sketches is looked up: a document meets the table of its class,
+which has the items' minima for that class's bins and is made when a task first
+meets a document of that class.  The candidates that this gives are verified in
+the same task, where the document's shingles are at hand: containment is the exact
+share of the item's distinct shingles in the document.
+
+An item of some words, but fewer than ``shingle``, is one run of its own length; a
+document holds it if the run stands in it anywhere, whole words only.  As one or
+two common words stand in many clean documents, ``least_words`` says how short an
+item may be: 1 in the report (``contaminated_pairs``), ``shingle`` where documents are
+dropped for it (``drop_contaminated``).
 
 Items are taken in blocks of at most ``block_items`` rows and ``block_bytes``
 bytes of text, each broadcast by itself; a benchmark of any size is that many
 passes over the documents.  Nothing is shuffled but what is found.
 
 Words are runs of letters and digits (ASCII case folded, other ASCII a separator,
-other characters part of a word).  Edge cases: null or empty texts, and items of
-fewer than ``shingle`` words, match nothing; a document's shorter text is a single
-run and can't hold an item.  Repeated items and documents each give their own
-row.  Null ids are kept.  Extra columns are not read.
+other characters part of a word).  Edge cases: null or empty texts and those
+without words match nothing; a document of fewer than ``shingle`` words can hold
+short items only.  Repeated items and documents each give their own row.  Null ids
+are kept.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +51,7 @@ from .session import prepare
 
 BINS_PER_SHINGLE = 16
 TINY = 8
+BLOCK_ITEMS, BLOCK_BYTES = 100_000, 16 << 20
 SCHEMA = "doc_id long, item_id long, n_shingles int, n_found int, containment double"
 
 
@@ -65,63 +75,103 @@ def minima(row: np.ndarray, value: np.ndarray, classes: np.ndarray) -> np.ndarra
 
 
 class ItemIndex:
-    """Item shingles of a block, and for each class which of them its sketch holds."""
+    """Shingles of a block of items, their sketches by class, and runs of short items by length."""
 
-    def __init__(self, ids: list, texts: list, shingle: int):
+    def __init__(self, ids: list, texts: list, shingle: int, least_words: int):
         rows, values, first = [], [], 0
+        short: dict[int, tuple[list, list]] = {}
         for part, piece in tx.slices(pa.record_batch({"text": pa.array(texts, pa.string())})):
             words = tx.Words(piece, tx.FOLDED)
             at, value = words.grams(shingle)
             row, value, _ = tx.distinct_in_row(words.row[at], value)
             rows.append(row + first)
             values.append(value)
+            for n in range(max(1, least_words), shingle):
+                at, value = words.grams(n)
+                own = words.count[words.row[at]] == n
+                if own.any():
+                    runs = short.setdefault(n, ([], []))
+                    runs[0].extend((words.row[at[own]] + first).tolist())
+                    runs[1].extend(value[own].tolist())
             first += len(part)
-        row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        value = np.concatenate(values) if values else np.zeros(0, tx.U64)
-        self.ids, self.sizes = ids, np.bincount(row, minlength=len(ids)).astype(np.int64)
-        # Postings: the items of each distinct shingle.
-        self.sketched = np.stack([minima(row, value, np.full(len(row), c)) | (self.sizes[row] < TINY) for c in range(41)]) if len(row) else np.zeros((41, 0), bool)
+        self.row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.value = np.concatenate(values) if values else np.zeros(0, tx.U64)
+        self.ids, self.shingle = ids, shingle
+        self.start = np.searchsorted(self.row, np.arange(len(ids) + 1))
+        self.sizes = np.diff(self.start)
+        self.short = {n: self._postings(np.array(r, np.int64), np.array(v, tx.U64)) for n, (r, v) in short.items()}
+        self.classes: dict[int, tuple] = {}
+
+    @staticmethod
+    def _postings(row: np.ndarray, value: np.ndarray) -> tuple:
+        """(items by hash, distinct hashes, where each begins, how many it has)."""
         order = np.argsort(value, kind="stable")
-        self.row, self.sketched = row[order], self.sketched[:, order]
-        self.values, self.start, self.count = np.unique(value[order], return_index=True, return_counts=True)
-
-    def search(self, row: np.ndarray, value: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document row, item, shingles found) of verified pairs; row and value are distinct and sorted."""
+        return row[order], *np.unique(value[order], return_index=True, return_counts=True)
+
+    def sketched(self, c: int) -> tuple:
+        """Postings of the items' minima in the bins of class ``c``."""
+        if c not in self.classes:
+            held = minima(self.row, self.value, np.full(len(self.row), c)) | (self.sizes[self.row] < TINY)
+            self.classes[c] = self._postings(self.row[held], self.value[held])
+        return self.classes[c]
+
+    @staticmethod
+    def _look_up(postings: tuple, row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document row, item) for every posting of the given hashes."""
+        items, values, start, count = postings
         none = np.zeros(0, np.int64)
-        if not len(self.values) or not len(value):
-            return none, none, none
-        at = np.minimum(np.searchsorted(self.values, value), len(self.values) - 1)
-        common = self.values[at] == value
-        if not common.any():
-            return none, none, none
+        if not len(values) or not len(value):
+            return none, none
+        at = np.minimum(np.searchsorted(values, value), len(values) - 1)
+        hit = values[at] == value
+        row, at = row[hit], at[hit]
+        times = count[at]
+        place = np.repeat(start[at] - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(times.sum())
+        return np.repeat(row, times), items[place]
+
+    def candidates(self, row: np.ndarray, value: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Distinct (document row, item), as one number, of which a bin has the same minimum."""
         classes = size_class(size)[row]
-        in_sketch = minima(row, value, classes)[common]
-        row, at, classes = row[common], at[common], classes[common]
-        # One entry for each item that has the shingle.
-        times = self.count[at]
-        entry = np.repeat(np.arange(len(at)), times)
-        place = np.repeat(self.start[at] - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(len(entry))
-        item, row, classes = self.row[place], row[entry], classes[entry]
-        hit = (in_sketch[entry] | (self.sizes[item] < TINY)) & self.sketched[classes, place]
-        pair = row * len(self.ids) + item
-        candidates = np.unique(pair[hit])
-        pairs, found = np.unique(pair, return_counts=True)
-        keep = np.isin(pairs, candidates) & (found >= threshold * self.sizes[pairs % len(self.ids)])
-        return pairs[keep] // len(self.ids), pairs[keep] % len(self.ids), found[keep]
-
-
-def _scan(shared, shingle: int, threshold: float):
+        # A document's minima; of items too small for a sketch every shingle is looked up.
+        low = minima(row, value, classes)
+        out = []
+        for c in np.unique(classes):
+            mine = classes == c
+            doc, item = self._look_up(self.sketched(int(c)), row[mine & low], value[mine & low])
+            out.append(doc * len(self.ids) + item)
+            rest = mine & ~low
+            if rest.any():
+                doc, item = self._look_up(self.sketched(int(c)), row[rest], value[rest])
+                tiny = self.sizes[item] < TINY
+                out.append(doc[tiny] * len(self.ids) + item[tiny])
+        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+    def search(self, words: tx.Words, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document row, item, shingles of the item, shingles found) of verified pairs."""
+        at, value = words.grams(self.shingle)
+        row, value, _ = tx.distinct_in_row(words.row[at], value)
+        first = np.searchsorted(row, np.arange(words.rows + 1))
+        found = []
+        for pair in self.candidates(row, value, np.diff(first)).tolist():
+            doc, item = divmod(pair, len(self.ids))
+            own, have = self.value[self.start[item] : self.start[item + 1]], value[first[doc] : first[doc + 1]]
+            n = int(np.count_nonzero(have[np.minimum(np.searchsorted(have, own), len(have) - 1)] == own))
+            if n >= threshold * len(own):
+                found.append((doc, item, len(own), n))
+        for n, postings in self.short.items():
+            at, value = words.grams(n)
+            doc, item = self._look_up(postings, words.row[at], value)
+            found += [(*divmod(pair, len(self.ids)), 1, 1) for pair in np.unique(doc * len(self.ids) + item).tolist()]
+        return tuple(np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+
+
+def _scan(shared, threshold: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared.value
-        sizes = index.sizes
         for batch in batches:
             for part, piece in tx.slices(batch):
-                words = tx.Words(piece, tx.FOLDED)
-                at, value = words.grams(shingle)
-                row, value, _ = tx.distinct_in_row(words.row[at], value)
-                doc, item, found = index.search(row, value, np.bincount(row, minlength=len(piece)), threshold)
+                doc, item, n, found = index.search(tx.Words(piece, tx.FOLDED), threshold)
                 if len(doc):
-                    n = sizes[item]
                     yield pa.RecordBatch.from_arrays(
                         [part.column("doc_id").take(pa.array(doc)), pa.array([index.ids[i] for i in item], pa.int64()), pa.array(n, pa.int32()), pa.array(found, pa.int32()), pa.array(found / n)],
                         names=["doc_id", "item_id", "n_shingles", "n_found", "containment"],
@@ -144,7 +194,9 @@ def item_blocks(items: DataFrame, block_items: int, block_bytes: int) -> Iterato
         yield ids, texts
 
 
-def contaminated_pairs(docs: DataFrame, items: DataFrame, *, shingle: int = 5, threshold: float = 0.8, block_items: int = 20_000, block_bytes: int = 16 << 20) -> DataFrame:
+def contaminated_pairs(
+    docs: DataFrame, items: DataFrame, *, shingle: int = 5, threshold: float = 0.8, least_words: int = 1, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) of items that documents hold to ``threshold``."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -153,33 +205,31 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, *, shingle: int = 5, t
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out: DataFrame | None = None
     for ids, texts in item_blocks(items, block_items, block_bytes):
-        shared = spark.sparkContext.broadcast(ItemIndex(ids, texts, shingle))
-        found = docs.mapInArrow(_scan(shared, shingle, threshold), SCHEMA)
+        shared = spark.sparkContext.broadcast(ItemIndex(ids, texts, shingle, least_words))
+        found = docs.mapInArrow(_scan(shared, threshold), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
-def _clean(shared, shingle: int, threshold: float):
+def _clean(shared, threshold: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared.value
         for batch in batches:
             for part, piece in tx.slices(batch):
-                words = tx.Words(piece, tx.FOLDED)
-                at, value = words.grams(shingle)
-                row, value, _ = tx.distinct_in_row(words.row[at], value)
-                doc, _, _ = index.search(row, value, np.bincount(row, minlength=len(piece)), threshold)
                 keep = np.ones(len(piece), bool)
-                keep[doc] = False
+                keep[index.search(tx.Words(piece, tx.FOLDED), threshold)[0]] = False
                 yield part.filter(pa.array(keep))
 
     return rows
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = 5, threshold: float = 0.8, block_items: int = 20_000, block_bytes: int = 16 << 20) -> DataFrame:
-    """``docs`` without those that hold an item, with all columns; nothing is shuffled."""
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, *, shingle: int = 5, threshold: float = 0.8, least_words: int | None = None, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """``docs`` without those that hold an item of ``least_words`` (default: ``shingle``) or more, with all columns; nothing is shuffled."""
     spark = docs.sparkSession
     prepare(spark)
     for ids, texts in item_blocks(items, block_items, block_bytes):
-        shared = spark.sparkContext.broadcast(ItemIndex(ids, texts, shingle))
-        docs = docs.mapInArrow(_clean(shared, shingle, threshold), docs.schema)
+        shared = spark.sparkContext.broadcast(ItemIndex(ids, texts, shingle, least_words or shingle))
+        docs = docs.mapInArrow(_clean(shared, threshold), docs.schema)
     return docs
