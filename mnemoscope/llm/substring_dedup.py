@@ -7,9 +7,10 @@ window that covers it has the same words as a window that starts anywhere else.
    ``width - gram + 1`` runs of ``gram`` words.  Equal windows have the same
    minimiser at different places, so the number of places of a minimiser is never
    less than the number of equal windows, while there are some fourteen times
-   fewer such places than windows.  Every partition sketches its places into
-   cells (two rows of cells, as in a count-min sketch, each count held at 0, 1 or
-   "2 and more"); the partition sketches are merged by blocks of cells.
+   fewer such places than windows.  Every partition makes a count-min sketch of its
+   places: ``ROWS`` rows of cells, of which only those with a count are kept, by
+   blocks of cells.  Partition sketches merge by adding the counts of a cell, each
+   block in a task of its own.
 2. Windows whose minimiser is estimated at two places or more are grouped by
    their 128-bit hash and counted exactly.  Overestimates only add rows here,
    and no repeated window is lost.  The groups are combined on the map side, so
@@ -18,14 +19,17 @@ window that covers it has the same words as a window that starts anywhere else.
 3. Each document recomputes its suspected windows, leaves out the unique ones
    and drops the words that the others cover.
 
-The sketch has eight cells for each expected minimiser, between ``MIN_BITS`` and
-``MAX_BITS`` as powers of two; the bitmap that is broadcast has 2 * cells / 8
-bytes, 512 MB at most.  Beyond that the estimate lets more unique windows
-through to the exact step; the result stays the same.
+A row of the sketch has eight cells for each expected minimiser, at any size of the
+input.  What a document asks of the merged sketch is whether cells hold two or more,
+a bit a cell.  Up to ``BROADCAST_BYTES`` these bits are broadcast.  A larger sketch
+stays distributed by blocks: documents send the hashes of their minimisers, each
+once, to the blocks of the first row, those that pass to the blocks of the next,
+and get back what passed both.  These joins have narrow rows and no key but the block, of
+which a hot one can be split, since a block's bits are one row.
 
 Edge cases: a null or empty text has no words (n_words 0, the hash of "").
 Documents shorter than a window lose nothing.  Repeated rows and ties count like
-any other place.  Rows are told apart by a 64-bit hash of id and text; a null id
+any other place.  Rows are told apart by a 128-bit hash of id and text; a null id
 is allowed.  Extra columns are not read.
 """
 
@@ -37,15 +41,19 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .session import prepare
 
-MIN_BITS, MAX_BITS = 20, 31
+MIN_BITS = 20
 CELLS_PER_PLACE = 8
 BLOCK_BITS = 20
+BROADCAST_BYTES = 64 << 20
+#: Places that a task holds before their counts are added up and sent on.
+HELD = 1 << 21
 ROWS = 2
 _SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
@@ -76,28 +84,31 @@ class _Windows:
 
 
 def _sketch_parts(width: int, gram: int, bits: int):
+    """The partition's count-min sketch: for each block the cells with a count, and the counts."""
+
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            blocks, cells = [], []
+            blocks, cells, counts = [], [], []
             value = np.concatenate(held)
             for row in range(ROWS):
-                cell = np.sort(_cells(value, row, bits))
+                cell, times = np.unique(_cells(value, row, bits), return_counts=True)
                 block = cell >> BLOCK_BITS
                 cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(cell))
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    blocks.append((row << 32) | int(block[a]))
+                    blocks.append((row << 48) | int(block[a]))
                     cells.append((cell[a:b] & ((1 << BLOCK_BITS) - 1)).astype(np.uint32).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(cells, pa.binary())], names=["block", "cells"])
+                    counts.append(np.minimum(times[a:b], 255).astype(np.uint8).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], names=["block", "cells", "counts"])
 
         for batch in batches:
             for _, piece in tx.slices(batch):
                 places = _Windows(tx.Words(piece), width, gram).places
                 held.append(places)
                 size += len(places)
-                if size > 1 << 21:
+                if size > HELD:
                     yield out()
                     held, size = [], 0
         if size:
@@ -107,65 +118,85 @@ def _sketch_parts(width: int, gram: int, bits: int):
 
 
 def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bitmap of cells with two places or more, for each block that this task holds."""
-    counts: dict[int, np.ndarray] = {}
+    """Rows come sorted by block: counts of each cell are added, and bits of the cells with two or more are sent on, 64 to a number."""
+    held, total = None, np.zeros(0, np.uint8)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([np.packbits(total > 1, bitorder="little").view(np.int64)], pa.list_(pa.int64()))], names=["block", "bits"])
+
     for batch in batches:
-        for block, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if block not in counts:
-                counts[block] = np.zeros(1 << BLOCK_BITS, np.uint8)
-            got, times = np.unique(np.frombuffer(cells.as_buffer(), np.uint32), return_counts=True)
-            counts[block][got] = np.minimum(counts[block][got] + times, 2)
-    for block, seen in counts.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(seen > 1).tobytes()], pa.binary())], names=["block", "bitmap"])
+        for block, cells, counts in zip(batch.column("block").to_pylist(), batch.column("cells"), batch.column("counts"), strict=True):
+            if block != held:
+                if held is not None:
+                    yield out()
+                held, total = block, np.zeros(1 << BLOCK_BITS, np.uint8)
+            cell, more = np.frombuffer(cells.as_buffer(), np.uint32), np.frombuffer(counts.as_buffer(), np.uint8)
+            # A count stays at 255 once it is there; only two or more is asked for.
+            total[cell] = np.minimum(total[cell].astype(np.uint16) + more, 255)
+    if held is not None:
+        yield out()
+
 
+class _Broadcast:
+    """The whole sketch, one bit a cell."""
 
-class _Sketch:
-    def __init__(self, bits: int, bitmaps: np.ndarray):
-        self.bits, self.bitmaps = bits, bitmaps
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
 
-    def repeated(self, value: np.ndarray) -> np.ndarray:
+    def repeated(self, part: pa.RecordBatch, row: np.ndarray, value: np.ndarray) -> np.ndarray:
         keep = np.ones(len(value), bool)
-        for row in range(ROWS):
-            cell = _cells(value, row, self.bits)
-            keep &= (self.bitmaps[row, cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+        for r in range(ROWS):
+            cell = _cells(value, r, self.bits)
+            keep &= (self.words[r, cell >> 6] >> (cell & 63) & 1).astype(bool)
         return keep
 
 
-def _suspects(words: tx.Words, width: int, gram: int, sketch: _Sketch) -> tuple[_Windows, np.ndarray]:
+class _Answered:
+    """Each document brings the minimisers that passed, in its column ``passed``."""
+
+    def repeated(self, part: pa.RecordBatch, row: np.ndarray, value: np.ndarray) -> np.ndarray:
+        passed = part.column("passed")
+        own = np.repeat(np.arange(len(passed)), pc.fill_null(pc.list_value_length(passed), 0).to_numpy(zero_copy_only=False))
+        values = passed.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(tx.U64)
+        salt = lambda v, r: tx.mix(v ^ (r.astype(tx.U64) * tx.U64(0x9E3779B97F4A7C15)))
+        return np.isin(salt(value, row), salt(values, own))
+
+
+def _suspects(part: pa.RecordBatch, words: tx.Words, width: int, gram: int, sketch) -> tuple[_Windows, np.ndarray]:
     """Windows of the slice and the first words of those estimated repeated."""
     windows = _Windows(words, width, gram)
-    return windows, windows.at[sketch.repeated(windows.minimiser)] if len(windows.at) else windows.at
+    return windows, windows.at[sketch.repeated(part, words.row[windows.at], windows.minimiser)] if len(windows.at) else windows.at
 
 
 def _emit(width: int, gram: int, shared) -> object:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = _Sketch(*shared.value)
+        sketch = shared.value
         for batch in batches:
             for part, piece in tx.slices(batch):
                 words = tx.Words(piece)
-                windows, at = _suspects(words, width, gram, sketch)
+                windows, at = _suspects(part, words, width, gram, sketch)
                 if not len(at):
                     continue
                 h1 = tx.span_hash(windows.running, at, at + width)
                 # A second hash of other values of the same words.
                 other = tx.running(tx.mix(words.hash ^ tx.U64(_SEEDS[0])))
                 h2 = tx.span_hash(other, at, at + width)
-                uid = part.column("uid").to_numpy(zero_copy_only=False)[words.row[at]]
+                u1, u2 = (part.column(u).to_numpy(zero_copy_only=False)[words.row[at]] for u in ("u1", "u2"))
                 pos = (at - words.first[words.row[at]]).astype(np.int32)
                 for i in range(0, len(at), 100_000):
                     s = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(tx.signed(h1[s])), pa.array(tx.signed(h2[s])), pa.array(uid[s], pa.int64()), pa.array(pos[s])], names=["h1", "h2", "uid", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(tx.signed(h1[s])), pa.array(tx.signed(h2[s])), pa.array(u1[s], pa.int64()), pa.array(u2[s], pa.int64()), pa.array(pos[s])], names=["h1", "h2", "u1", "u2", "pos"])
 
     return rows
 
 
 def _apply(width: int, gram: int, shared) -> object:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = _Sketch(*shared.value)
+        sketch = shared.value
         for batch in batches:
             for part, piece in tx.slices(batch):
                 words = tx.Words(piece)
-                _, at = _suspects(words, width, gram, sketch)
+                _, at = _suspects(part, words, width, gram, sketch)
                 unique = part.column("unique_at")
                 lengths = np.diff(unique.offsets.to_numpy())
                 alone = unique.flatten().to_numpy(zero_copy_only=False) if len(unique) else np.zeros(0, np.int32)
@@ -191,7 +222,37 @@ def _apply(width: int, gram: int, shared) -> object:
 def sketch_bits(text_bytes: int, width: int, gram: int) -> int:
     """log2 of the cells in a row of the sketch; six bytes to a word, 2 / (span + 1) places to a word."""
     places = text_bytes / 6 * 2 / (width - gram + 2)
-    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1.0, places * CELLS_PER_PLACE)))))
+    return max(MIN_BITS, math.ceil(math.log2(max(1.0, places * CELLS_PER_PLACE))))
+
+
+def _minimisers(width: int, gram: int, bits: int):
+    """The distinct minimisers of each document, with the block and the place in it of their cell in each row."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, piece in tx.slices(batch):
+                words = tx.Words(piece)
+                windows = _Windows(words, width, gram)
+                row, value, _ = tx.distinct_in_row(words.row[windows.at], windows.minimiser)
+                take, columns = pa.array(row), {"value": pa.array(tx.signed(value))}
+                for r in range(ROWS):
+                    cell = _cells(value, r, bits)
+                    columns |= {f"block{r}": pa.array((cell >> BLOCK_BITS) + (r << 48)), f"cell{r}": pa.array((cell & ((1 << BLOCK_BITS) - 1)).astype(np.int32))}
+                yield pa.RecordBatch.from_pydict({"u1": part.column("u1").take(take), "u2": part.column("u2").take(take)} | columns)
+
+    return rows
+
+
+def _answers(docs: DataFrame, merged: DataFrame, width: int, gram: int, bits: int) -> DataFrame:
+    """(u1, u2, passed) of the documents (u1, u2, text) of which minimisers pass all rows of the sketch."""
+    places = ", ".join(f"block{r} long, cell{r} int" for r in range(ROWS))
+    asked = docs.mapInArrow(_minimisers(width, gram, bits), f"u1 long, u2 long, value long, {places}")
+    for r in range(ROWS):
+        # The block's bits are tested where they are joined and never copied to a row.
+        held = merged.select(F.col("block").alias("b"), "bits").hint("merge")
+        two = F.getbit(F.get("bits", F.shiftright(F.col(f"cell{r}"), 6)), F.col(f"cell{r}").bitwiseAND(F.lit(63))) == 1
+        asked = asked.join(held, (F.col(f"block{r}") == F.col("b")) & two).select(*asked.columns)
+    return asked.groupBy("u1", "u2").agg(F.collect_list("value").alias("passed"))
 
 
 def remove_repeated(docs: DataFrame, *, width: int = 35, gram: int = 8) -> DataFrame:
@@ -200,27 +261,32 @@ def remove_repeated(docs: DataFrame, *, width: int = 35, gram: int = 8) -> DataF
         raise ValueError("gram must be between 1 and width")
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("u1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("u2"))
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     bits = sketch_bits(text_bytes, width, gram)
-    blocks = ROWS << max(0, bits - BLOCK_BITS)
     merged = (
-        docs.select("text").mapInArrow(_sketch_parts(width, gram, bits), "block long, cells binary")
-        .repartition(min(blocks, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))), "block")
-        .mapInArrow(_merge_parts, "block long, bitmap binary")
+        docs.select("text").mapInArrow(_sketch_parts(width, gram, bits), "block long, cells binary, counts binary")
+        .repartition("block").sortWithinPartitions("block")
+        .mapInArrow(_merge_parts, "block long, bits array<long>")
     )
-    bitmaps = np.zeros((ROWS, (1 << bits) // 8), np.uint8)
-    for block, bitmap in merged.toLocalIterator():
-        start = (block & 0xFFFFFFFF) << (BLOCK_BITS - 3)
-        part = bitmaps[block >> 32, start : start + len(bitmap)]  # shorter than a block if the sketch is
-        part[:] = np.frombuffer(bitmap, np.uint8)[: len(part)]
-    shared = spark.sparkContext.broadcast((bits, bitmaps))
+    if ROWS * (1 << bits) // 8 <= BROADCAST_BYTES:
+        words = np.zeros((ROWS, max(1, (1 << bits) // 64)), np.int64)
+        for block, part in merged.toLocalIterator():
+            start = (block & ((1 << 48) - 1)) << (BLOCK_BITS - 6)
+            own = words[block >> 48, start : start + len(part)]  # shorter than a block if the sketch is
+            own[:] = part[: len(own)]
+        sketch = _Broadcast(bits, words)
+    else:
+        docs = docs.join(_answers(docs.select("u1", "u2", "text"), merged.checkpoint(), width, gram, bits), ["u1", "u2"], "left").checkpoint()
+        sketch = _Answered()
+    shared = spark.sparkContext.broadcast(sketch)
+    asked = [c for c in docs.columns if c == "passed"]
     unique = (
-        docs.select("uid", "text").mapInArrow(_emit(width, gram, shared), "h1 long, h2 long, uid long, pos int")
-        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.min("pos").alias("pos"))
+        docs.select("u1", "u2", "text", *asked).mapInArrow(_emit(width, gram, shared), "h1 long, h2 long, u1 long, u2 long, pos int")
+        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u1", "u2", "pos")).alias("x"))
         .where("n = 1")
-        .groupBy("uid").agg(F.collect_list("pos").alias("unique_at"))
+        .groupBy("x.u1", "x.u2").agg(F.collect_list("x.pos").alias("unique_at"))
     )
-    return docs.join(unique, "uid", "left").select("doc_id", "text", "unique_at").mapInArrow(
+    return docs.join(unique, ["u1", "u2"], "left").select("doc_id", "text", "unique_at", *asked).mapInArrow(
         _apply(width, gram, shared), "doc_id long, n_words long, n_removed long, kept_text string"
     )
