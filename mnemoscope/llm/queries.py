@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, license_scan, mixing, near_dup, quality_rules, secret_scan, site_quality, substring_dedup, toxicity, warc_zip
 from .oracle import ORACLE_SQL
+from .session import delete_folder, shared_folder
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -38,12 +41,19 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc_zip.archive_folder(spark)
     archives = warc_zip.write_archives(table(spark, sf_dir, "pages"), folder)
-    return warc_zip.read_archives(archives, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = warc_zip.read_archives(archives, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").checkpoint()
+    delete_folder(spark, folder)
+    return read
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of a stored ledger: the earlier half of the ids, then the whole table, of which only the rest is scanned."""
     docs = table(spark, sf_dir, "documents")
-    found = secret_scan.by_version(docs, secret_scan.update(docs))
+    ledger = secret_scan.LedgerTable(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    middle = docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).alias("id")).first()["id"]
+    ledger.append(docs.where(F.col("doc_id") <= F.lit(middle)))
+    found = secret_scan.by_version(docs, ledger.append(docs)).checkpoint()
+    delete_folder(spark, ledger.folder)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
 
 

@@ -11,6 +11,8 @@ matches (``regexp_extract_all``) alternate, so a match begins at the running sum
 of both.  That sum is a window over the matches of one blob and rule.  A cheap
 alternation first rules out texts without any trigger.
 
+``LedgerTable`` keeps the ledger as Parquet, so that later runs scan only what is new.
+
 Edge cases: null texts read as empty.  A blob in a third of all versions is one
 row after map-side aggregation.  Rules find leftmost, non-overlapping matches
 per rule; matches whose secret is too short are dropped after matching.  Null ids
@@ -19,13 +21,14 @@ and repeated rows each keep their row.  Extra columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .session import prepare
+from .session import prepare, unused_names
 
 
 @dataclass(frozen=True)
@@ -100,16 +103,55 @@ class Ledger:
     findings: DataFrame  # blob, rule, version, start, end
 
 
-def update(versions: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> Ledger:
-    """The ledger after ``versions`` (text): earlier entries, and those of unseen pairs."""
+def scan_unseen(versions: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> Ledger:
+    """New entries only: the pairs of ``versions`` (text) that ``ledger`` doesn't hold, and what they found."""
     prepare(versions.sparkSession)
-    todo = unseen_blobs(versions, ledger.scanned if ledger else None, rules)
-    found = find(todo, rules).checkpoint()
+    scanned = ledger.scanned if ledger else None
+    found = find(unseen_blobs(versions, scanned, rules), rules)
     pairs = F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules))).alias("p")
-    blobs = versions.select(blob_id().alias("blob")).distinct().select("blob", pairs).select("blob", "p.rule", "p.version")
-    if ledger is None:
-        return Ledger(blobs, found)
-    return Ledger(ledger.scanned.select("blob", "rule", "version").union(blobs).distinct(), ledger.findings.select(*found.columns).union(found))
+    new = versions.select(blob_id().alias("blob")).distinct().select("blob", pairs).select("blob", "p.rule", "p.version")
+    if scanned is not None:
+        new = new.join(scanned.select("blob", "rule", "version").distinct(), ["blob", "rule", "version"], "left_anti")
+    return Ledger(new, found)
+
+
+def update(versions: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> Ledger:
+    """The ledger after ``versions`` (text): earlier entries, and those of unseen pairs."""
+    new = scan_unseen(versions, ledger, rules)
+    new = Ledger(new.scanned, new.findings.checkpoint())
+    return new if ledger is None else Ledger(ledger.scanned.select(*new.scanned.columns).union(new.scanned), ledger.findings.select(*new.findings.columns).union(new.findings))
+
+
+@dataclass(frozen=True)
+class LedgerTable:
+    """A ledger kept as Parquet in a shared folder, a subfolder for each run.
+
+    A run writes its findings, then its pairs; it counts once the pairs are complete
+    (Spark's success mark), so a run that was cut short is as if it had not been.
+    """
+
+    spark: SparkSession
+    folder: str
+
+    def _runs(self) -> list[str]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/*/scanned/_SUCCESS")
+        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where)
+        return sorted(x.getPath().getParent().getParent().toString() for x in found or [])
+
+    def load(self) -> Ledger | None:
+        runs = self._runs()
+        if not runs:
+            return None
+        read = lambda part, schema: self.spark.read.schema(schema).parquet(*(f"{r}/{part}" for r in runs))
+        return Ledger(read("scanned", "blob string, rule string, version int"), read("findings", "blob string, rule string, version int, start long, end long"))
+
+    def append(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> Ledger:
+        """Scan what is unseen of ``versions``, write it as a run, and give the whole ledger."""
+        new = scan_unseen(versions, self.load(), rules)
+        run = f"{self.folder}/run-{len(self._runs()):06d}-{uuid.uuid4().hex}"
+        new.findings.selectExpr("blob", "rule", "version", "cast(start as long) start", "cast(end as long) end").write.parquet(f"{run}/findings")
+        new.scanned.write.parquet(f"{run}/scanned")
+        return self.load()
 
 
 def _rank(rules: tuple[Rule, ...]) -> Column:
@@ -135,23 +177,24 @@ def by_version(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RU
 
 def redact(docs: DataFrame, ledger: Ledger, replacement: str = REDACTED) -> DataFrame:
     """``docs`` with every found span of ``text`` replaced, overlapping spans as one; n_chars, if there, follows the text."""
+    key, blob, spans = unused_names(docs, "key", "blob", "spans")
     before = Window.partitionBy("blob").orderBy("start", "end")
     islands = (
         ledger.findings.select("blob", "start", "end").distinct()
         .select("*", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("reach"))
         .select("blob", "start", "end", F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
         .groupBy("blob", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        .groupBy(F.col("blob").alias("_secret_blob")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_secret_spans"))
+        .groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans))
     )
     kept_parts = F.transform(
-        F.sequence(F.lit(0), F.size("_secret_spans")),
+        F.sequence(F.lit(0), F.size(spans)),
         lambda i: F.col("text").substr(
-            (F.when(i == 0, 0).otherwise(F.get("_secret_spans", i - 1)["end"]) + 1).cast("int"),
-            (F.coalesce(F.get("_secret_spans", i)["start"], F.length("text").cast("long")) - F.when(i == 0, 0).otherwise(F.get("_secret_spans", i - 1)["end"])).cast("int"),
+            (F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"]) + 1).cast("int"),
+            (F.coalesce(F.get(spans, i)["start"], F.length("text").cast("long")) - F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"])).cast("int"),
         ),
     )
-    joined = docs.withColumn("_secret_key", blob_id()).join(islands, F.col("_secret_key") == F.col("_secret_blob"), "left")
-    clean = joined.withColumn("text", F.when(F.col("_secret_spans").isNull(), F.col("text")).otherwise(F.array_join(kept_parts, replacement)))
+    joined = docs.withColumn(key, blob_id()).join(islands, F.col(key) == F.col(blob), "left")
+    clean = joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(kept_parts, replacement)))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("_secret_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        clean = clean.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return clean.select(*docs.columns)

@@ -40,7 +40,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import prepare
+from .session import prepare, shared_folder
 
 #: Fixed values of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -48,6 +48,8 @@ MAX16, MAX32 = 0xFFFF, 0xFFFFFFFF
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: An archive is closed when it holds so many bytes.
 ARCHIVE_BYTES = 64 << 20
+#: What a reading task holds before it sends records on, and the most tasks that read.
+HELD_RECORDS, HELD_BYTES, READ_TASKS = 500, 8 << 20, 20_000
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -245,11 +247,11 @@ class _Range:
         return self.file.read_at(length, offset)
 
 
-def _read(uri: str):
+def _read(uri: str, payloads: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = fs.FileSystem.from_uri(uri)
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
+        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payloads
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 with files.open_input_file(path) as file:
@@ -257,6 +259,7 @@ def _read(uri: str):
                     zipped = ZipReader(read, file.size())
                     data_at, _ = zipped.range_of(DATA)
                     held: list[tuple] = []
+                    size = 0
                     for line in read(*zipped.range_of(INDEX)).splitlines():
                         entry = json.loads(line)
                         warc, http, payload = parse_record(read(data_at + entry["offset"], entry["length"]))
@@ -265,26 +268,29 @@ def _read(uri: str):
                         if not revisit and payload_digest(payload) != digest:
                             raise ValueError(f"damaged record at {entry['offset']} of {path}")
                         page, refers = warc.get("warc-page-id"), warc.get("warc-refers-to-page-id")
-                        held.append((int(page) if page else None, entry["url"], int(http["content-length"]), digest, warc["warc-type"], int(refers) if refers else None, payload))
-                        if len(held) == 500:
+                        held.append((int(page) if page else None, entry["url"], int(http["content-length"]), digest, warc["warc-type"], int(refers) if refers else None, *[payload] * payloads))
+                        size += len(payload) * payloads
+                        if len(held) == HELD_RECORDS or size >= HELD_BYTES:
                             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
-                            held = []
+                            held, size = [], 0
                     if held:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
     return rows
 
 
-def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every record of ``archives`` (path)."""
-    return archives.select("path").repartition("path").mapInArrow(
-        _read(folder), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    )
+def read_archives(archives: DataFrame, folder: str, *, payloads: bool = True) -> DataFrame:
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, and payload if wanted) of every record of ``archives`` (path).
+
+    Archives are dealt to as many tasks as there are archives, ``READ_TASKS`` at most, which adaptive execution leaves as they are.
+    """
+    tasks = max(1, min(READ_TASKS, archives.count()))
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
+    return archives.select("path").repartition(tasks).mapInArrow(_read(folder, payloads), schema)
 
 
 def archive_folder(spark) -> str:
     """A new folder below the checkpoint directory, as a URI."""
-    prepare(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = shared_folder(spark)
     base = base if "://" in base or base.startswith("file:") else f"file://{base}"
     return f"{base.replace('file:///', 'file:/').replace('file:/', 'file:///')}/archives-{uuid.uuid4().hex}"
