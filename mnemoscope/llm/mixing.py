@@ -19,7 +19,7 @@ global order works alike over bins of finish time.  Only DataFrame operations
 are used; texts are read once for their size and never shuffled.
 
 Edge cases: null or empty texts have size 0 and are never taken.  A null source
-is a source of its own, the last.  Null ids shuffle as the word null; rows that
+is a source of its own, the last.  Rows with a null id shuffle by their text; rows that
 tie in all of MD5, id and size are interchangeable, so the result as a set of rows is
 the same in every run.  A source without words has target 0.  Extra columns are not read.
 """
@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import prepare
+from .session import prepare, unused_names
 
 MAX_EPOCHS = 3
 BIN_DIGITS = 3
@@ -64,6 +64,12 @@ def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return level.select("source", "source_size", F.when(free.isNull() | (F.col("limit") < share), F.col("limit")).otherwise(share).alias("target"))
 
 
+def _row_hash() -> Column:
+    """128 bits that stand for a row's id, text and source."""
+    row = ("doc_id", "text", F.col("source").cast("string"))
+    return F.struct(F.xxhash64(*row).alias("h1"), F.xxhash64(F.lit(1), *row).alias("h2"))
+
+
 def mix(docs: DataFrame, sources: DataFrame | None = None, *, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken, finish) for each row of ``docs`` (doc_id, text, source).
 
@@ -71,9 +77,10 @@ def mix(docs: DataFrame, sources: DataFrame | None = None, *, max_epochs: int =
     ``finish`` is the virtual finish time of the first epoch, null for sources without target.
     """
     prepare(docs.sparkSession)
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
-    uid = F.xxhash64("doc_id", "text", F.col("source").cast("string"))
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"), uid.alias("uid")).checkpoint()
+    # Rows without an id are spread by their text, so that they don't all share one place in the queue.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    key = F.md5(name.cast("binary"))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"), _row_hash().alias("uid")).checkpoint()
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sources if sources is not None else cyclic_weights(sizes), max_epochs)
     # Where each bin of each source begins.
@@ -122,8 +129,9 @@ def mixed_documents(docs: DataFrame, *, max_epochs: int = MAX_EPOCHS) -> DataFra
     names = ("copies", "taken", "size", "source_size", "target", "finish")
     plan = mix(docs, max_epochs=max_epochs).where("copies > 0")
     # Equal rows share a uid; each takes one entry of its list.
-    lists = plan.groupBy(F.col("uid").alias("_mix_uid")).agg(F.array_sort(F.collect_list(F.struct("finish", *names[:5]))).alias("_mix_plan"))
-    own = Window.partitionBy("_mix_key").orderBy("_mix_key")
-    joined = docs.withColumn("_mix_key", F.xxhash64("doc_id", "text", F.col("source").cast("string"))).join(lists, F.col("_mix_key") == F.col("_mix_uid"))
-    ranked = joined.withColumn("_mix_rank", F.row_number().over(own)).withColumn("_mix_row", F.get("_mix_plan", F.col("_mix_rank") - 1)).where("_mix_row is not null")
-    return ranked.select(*(c for c in docs.columns if c not in names), *(F.col(f"_mix_row.{n}").alias(n) for n in names))
+    key, uid, entries, rank, entry = unused_names(docs, "key", "uid", "plan", "rank", "row")
+    lists = plan.groupBy(F.col("uid").alias(uid)).agg(F.array_sort(F.collect_list(F.struct("finish", *names[:5]))).alias(entries))
+    own = Window.partitionBy(key).orderBy(key)
+    joined = docs.withColumn(key, _row_hash()).join(lists, F.col(key) == F.col(uid))
+    ranked = joined.withColumn(rank, F.row_number().over(own)).withColumn(entry, F.get(entries, F.col(rank) - 1)).where(F.col(entry).isNotNull())
+    return ranked.select(*(c for c in docs.columns if c not in names), *(F.col(f"{entry}.{n}").alias(n) for n in names))
