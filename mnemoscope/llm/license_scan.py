@@ -3,8 +3,8 @@
 A text is lower-cased (ASCII) and reduced to its words, joined by one space and
 with a space at either end; one Aho-Corasick pass over that finds every notice
 phrase at word boundaries, overlapping ones included.  A second automaton finds
-identifier tags in the lower-cased text; the licence expression after a tag, up
-to the end of its line, is evaluated by a shunting-yard parser with the
+identifier tags in the lower-cased text; the licence expression after a tag, as far
+as it goes in that line (prose behind it gives no labels), is evaluated by a shunting-yard parser with the
 operators ``with`` (binds first), ``and`` and ``or``.
 
 Labels are those of base phrases, of further notice phrases and of identifiers
@@ -64,11 +64,9 @@ def identifier_label(token: str) -> str | None:
 
 
 def evaluate(expression: str) -> tuple[set[str], float]:
-    """(labels, score) of a licence expression; see the module's docstring for the rules."""
-    tokens = _TOKEN.findall(expression)
-    labels = {x for t in tokens if (x := identifier_label(t))}
-    loose = min((VALUES[x] for x in labels), default=0.0)
-    output: list[float | None] = []  # None: an exception's name after "with"
+    """(labels, score) of the licence expression that ``expression`` begins with; see the module's docstring for the rules."""
+    labels: set[str] = set()  # of the tokens that the parser took
+    output: list[float | None] = []  # values of what was read
     operators: list[str] = []
 
     def apply(op: str) -> None:
@@ -76,39 +74,45 @@ def evaluate(expression: str) -> tuple[set[str], float]:
         if op == "with":
             output.append(left + (1 - left) / 2 if left else 0.0)
         else:
-            output.append((min if op == "and" else max)(left or 0.0, right or 0.0))
-
-    try:
-        expects = True
-        for t in tokens:
-            if t in _BINDS:
-                if expects:
-                    return labels, loose
-                while operators and operators[-1] != "(" and _BINDS[operators[-1]] >= _BINDS[t]:
-                    apply(operators.pop())
-                operators.append(t)
-                expects = True
-            elif t == "(":
-                if not expects:
-                    break  # prose follows the expression
-                operators.append(t)
-            elif t == ")":
-                while operators[-1] != "(":
-                    apply(operators.pop())
-                operators.pop()
-                expects = False
-            else:
-                if not expects:
-                    break
-                output.append(VALUES.get(identifier_label(t), 0.0))
-                expects = False
-        while operators:
-            if operators[-1] == "(":
-                return labels, loose
+            output.append((min if op == "and" else max)(left, right))
+
+    def reduce_to(least: int) -> None:
+        while operators and operators[-1] != "(" and _BINDS[operators[-1]] >= least:
             apply(operators.pop())
-    except IndexError:
-        return labels, loose
-    return labels, output[0] if len(output) == 1 and output[0] is not None else loose
+
+    expects, sound = True, True
+    for match in _TOKEN.finditer(expression):
+        t = match[0]
+        if t in _BINDS:
+            if expects:
+                sound = False
+                break
+            reduce_to(_BINDS[t])
+            operators.append(t)
+            expects = True
+        elif t == "(":
+            if not expects:
+                break  # prose follows the expression
+            operators.append(t)
+        elif t == ")":
+            if expects or "(" not in operators:
+                sound = not expects
+                break
+            reduce_to(0)
+            operators.pop()
+        else:
+            if not expects:
+                break
+            label = None if operators and operators[-1] == "with" else identifier_label(t)  # an exception is no licence
+            if label:
+                labels.add(label)
+            output.append(VALUES.get(label, 0.0))
+            expects = False
+    if not expects and sound:
+        reduce_to(0)
+    if expects or not sound or operators or len(output) != 1:
+        return labels, min((VALUES[x] for x in labels), default=0.0)
+    return labels, output[0]
 
 
 def _automaton(words) -> ahocorasick.Automaton:
