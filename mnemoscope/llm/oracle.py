@@ -7,7 +7,7 @@ expression parser), op3 and op7 (fitted models) and op4 (hashed weights).
 from __future__ import annotations
 
 from .mixing import MAX_EPOCHS
-from .quality_rules import FLOOR, MIN_GROUP, MIN_WORDS, SPREAD, SUB_BITS
+from .quality_rules import MIN_GROUP, MIN_WORDS, SPREAD, SUB_BITS, TAIL
 from .secret_scan import RULES
 
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
@@ -17,19 +17,23 @@ WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS.form
 grams AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
-lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 c AS (SELECT w.doc_id, w.lang, w.source, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-    coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id LEFT JOIN lines ON lines.doc_id = w.doc_id),
-r AS (SELECT *, CASE WHEN n_words >= {MIN_WORDS} THEN [n_symbols * 1000000 // word_chars, n_repeat_words * 1000000 // n_words, n_dup_lines * 1000000 // n_words, word_chars * 1000000 // n_words] END AS v FROM c),
+    coalesce(lines.n, 0)::BIGINT AS n_dup_lines, lines.lines AS n_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id LEFT JOIN lines ON lines.doc_id = w.doc_id),
+r AS (SELECT *, CASE WHEN n_words >= {MIN_WORDS} THEN [n_symbols * 1000000 // word_chars, n_repeat_words * 1000000 // n_words, n_dup_lines * 1000000 // n_lines, word_chars * 1000000 // n_words] END AS v FROM c),
 e AS (SELECT lang, source, unnest(['symbols', 'repeats', 'dup_lines', 'word_length']) AS rule, unnest(v) AS v FROM r WHERE v IS NOT NULL),
 b AS (SELECT lang, source, rule, (v >> s) << s AS bucket FROM (SELECT *, greatest(length(bin(v)) - {SUB_BITS + 1}, 0)::INTEGER AS s FROM e)),
 k AS (SELECT lang, source, 0 AS level, rule, bucket FROM b UNION ALL SELECT lang, NULL, 1, rule, bucket FROM b UNION ALL SELECT NULL, NULL, 2, rule, bucket FROM b),
 h AS (SELECT lang, source, level, rule, bucket, count(*) AS n FROM k GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, level, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, level, rule) AS total FROM h),
-q AS (SELECT lang, source, level, rule, max(total) AS total, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3 FROM u GROUP BY ALL),
-p AS (SELECT a.lang, a.source, a.rule, CASE WHEN a.total >= {MIN_GROUP} THEN a.q1 WHEN l.total >= {MIN_GROUP} THEN l.q1 ELSE g.q1 END AS q1, CASE WHEN a.total >= {MIN_GROUP} THEN a.q3 WHEN l.total >= {MIN_GROUP} THEN l.q3 ELSE g.q3 END AS q3
+q AS (SELECT lang, source, level, rule, max(total) AS total, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3,
+    min(bucket) FILTER (upto * 100 >= total * (100 - {TAIL})) AS lo, min(bucket) FILTER (upto * 100 >= total * {TAIL}) AS hi FROM u GROUP BY ALL),
+p AS (SELECT a.lang, a.source, a.rule, CASE WHEN a.total >= {MIN_GROUP} THEN a.q1 WHEN l.total >= {MIN_GROUP} THEN l.q1 ELSE g.q1 END AS q1,
+    CASE WHEN a.total >= {MIN_GROUP} THEN a.q3 WHEN l.total >= {MIN_GROUP} THEN l.q3 ELSE g.q3 END AS q3,
+    CASE WHEN a.total >= {MIN_GROUP} THEN a.lo WHEN l.total >= {MIN_GROUP} THEN l.lo ELSE g.lo END AS lo,
+    CASE WHEN a.total >= {MIN_GROUP} THEN a.hi WHEN l.total >= {MIN_GROUP} THEN l.hi ELSE g.hi END AS hi
     FROM q a JOIN q l ON l.level = 1 AND l.rule = a.rule AND l.lang IS NOT DISTINCT FROM a.lang JOIN q g ON g.level = 2 AND g.rule = a.rule WHERE a.level = 0),
-t AS (SELECT lang, source, rule, q1 - {SPREAD} * greatest(q3 - q1, f) AS low, q3 + {SPREAD} * greatest(q3 - q1, f) AS high FROM (SELECT *, CASE rule {' '.join(f"WHEN '{x}' THEN {v[0]}" for x, v in FLOOR.items())} END AS f FROM p)),
+t AS (SELECT lang, source, rule, CASE WHEN q3 > q1 THEN q1 - {SPREAD} * (q3 - q1) ELSE lo END AS low, CASE WHEN q3 > q1 THEN q3 + {SPREAD} * (q3 - q1) ELSE hi + (1::BIGINT << greatest(length(bin(hi)) - {SUB_BITS + 1}, 0)::INTEGER) - 1 END AS high FROM p),
 j AS (SELECT r.doc_id, string_agg(x.rule, ',' ORDER BY x.i) AS failed FROM r, LATERAL (SELECT unnest(['symbols', 'repeats', 'dup_lines', 'word_length']) AS rule, unnest(r.v) AS v, unnest([1, 2, 3, 4]) AS i) x
     JOIN t ON t.rule = x.rule AND t.lang IS NOT DISTINCT FROM r.lang AND t.source IS NOT DISTINCT FROM r.source WHERE x.v > t.high OR (x.rule = 'word_length' AND x.v < t.low) GROUP BY r.doc_id),
 f AS (SELECT r.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(j.failed, '') AS failed FROM r LEFT JOIN j ON j.doc_id = r.doc_id)
@@ -70,7 +74,7 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 """
 
 _OP8 = rf"""
-WITH d AS (SELECT doc_id, source, len({_WORDS.format('text')})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+WITH d AS (SELECT doc_id, source, len({_WORDS.format('text')})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
 l AS (SELECT *, source_size * {MAX_EPOCHS}.0::DOUBLE AS lim FROM s),
 v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM l WINDOW o AS (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -96,8 +100,10 @@ _FOLDED = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRS
 _OP10 = rf"""
 WITH i AS (SELECT item_id, {_FOLDED.format('text')} AS words FROM benchmark), ig AS (SELECT DISTINCT item_id, array_to_string(words[k:k + 4], ' ') AS g FROM (SELECT item_id, words, unnest(range(1, len(words) - 3)) AS k FROM i WHERE len(words) >= 5)),
 n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY 1), d AS (SELECT doc_id, {_FOLDED.format('text')} AS words FROM documents),
-dg AS (SELECT DISTINCT doc_id, array_to_string(words[k:k + 4], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS k FROM d WHERE len(words) >= 5))
+dg AS (SELECT DISTINCT doc_id, array_to_string(words[k:k + 4], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS k FROM d WHERE len(words) >= 5)),
+s AS (SELECT item_id, ' ' || array_to_string(words, ' ') || ' ' AS run FROM i WHERE len(words) BETWEEN 1 AND 4)
 SELECT doc_id, item_id, n::INTEGER AS n_shingles, count(*)::INTEGER AS n_found, count(*)::DOUBLE / n AS containment FROM ig JOIN dg USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
+UNION ALL SELECT doc_id, item_id, 1, 1, 1.0 FROM d JOIN s ON contains(' ' || array_to_string(d.words, ' ') || ' ', run)
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op5_warc_zip": _OP5, "op6_secret_scan": _OP6, "op8_mixing": _OP8, "op9_substring_dedup": _OP9, "op10_decontaminate": _OP10}

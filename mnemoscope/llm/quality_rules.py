@@ -10,11 +10,13 @@ merge by adding counts: partitions by Spark's partial aggregation, groups of
 fewer than ``MIN_GROUP`` documents into their language's, and those into the whole.
 
 A document fails a rule if its ratio lies further than ``SPREAD`` times the
-interquartile range outside the quartiles of its group; a range narrower than
-``FLOOR`` counts as that.  Documents of fewer than ``MIN_WORDS`` words have ratios too
-coarse to judge and are left to the base rule.  Thresholds are joined back to the
-documents; their table has a row for each (language, source), and adaptive
-execution broadcasts it only if it is small.
+interquartile range outside the quartiles of its group.  A ratio that is the same
+number for more than half of a group (most documents have no symbols and repeat
+nothing) has no such range; there the limit is the group's own ``TAIL`` quantile, so
+at most the rest of 1 can fail.  No limit is a fixed number.  Documents of fewer than
+``MIN_WORDS`` words have ratios too coarse to judge and are left to the base rule.
+Thresholds are joined back to the documents; their table has a row for each
+(language, source), and adaptive execution broadcasts it only if it is small.
 
 Edge cases: null or empty texts have no words and fail the base rule.  Null
 languages or sources form groups of their own.  Repeated rows count each time.
@@ -34,17 +36,18 @@ from . import text as tx
 from .session import prepare
 
 SPREAD = 5
+TAIL = 95  # per cent
 MIN_GROUP = 200
 MIN_WORDS = 10
 SUB_BITS = 5
-#: The narrowest interquartile range, in millionths, and whether low values fail too.
-FLOOR = {"symbols": (6_000, False), "repeats": (36_000, False), "dup_lines": (10_000, False), "word_length": (300_000, True)}
+#: The rules, and whether low values fail too.
+RULES = {"symbols": False, "repeats": False, "dup_lines": False, "word_length": True}
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
-_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
 def counts_of(piece: tx.Slice) -> dict[str, np.ndarray]:
-    """The base counts of each text of a slice."""
+    """The base counts of each text of a slice, and its lines with a word."""
     words, n, data = tx.Words(piece), len(piece), piece.data
     starts = words.inside & ((data & 0xC0) != 0x80)  # first bytes of characters in words
     total = lambda mask: np.diff(np.append(0, np.cumsum(mask, dtype=np.int64))[piece.bounds])
@@ -64,8 +67,9 @@ def counts_of(piece: tx.Slice) -> dict[str, np.ndarray]:
     start, end, row = start[some], end[some], row[some]
     line = tx.mix(tx.span_hash(words.prefix, start, end) ^ (row.astype(tx.U64) * tx.U64(0x9E3779B97F4A7C15)))
     _, first = np.unique(line, return_index=True)
-    dup = np.bincount(row, minlength=n) - np.bincount(row[first], minlength=n)
-    return {"n_words": words.count.astype(np.int64), "word_chars": total(starts), "n_symbols": total(_SYMBOL[data]), "n_dup_lines": dup, "n_repeat_words": np.bincount(words.row[covered], minlength=n)}
+    lines = np.bincount(row, minlength=n)
+    dup = lines - np.bincount(row[first], minlength=n)
+    return {"n_words": words.count.astype(np.int64), "word_chars": total(starts), "n_symbols": total(_SYMBOL[data]), "n_dup_lines": dup, "n_repeat_words": np.bincount(words.row[covered], minlength=n), "n_lines": lines}
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +80,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, and the five base counts) for each row of ``docs``."""
+    """(doc_id, lang, source, the five base counts and n_lines) for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
     return docs.mapInArrow(_count, "doc_id long, lang string, source string, " + ", ".join(f"{x} long" for x in _COUNTS))
 
@@ -84,13 +88,25 @@ def document_counts(docs: DataFrame) -> DataFrame:
 def ratios() -> dict[str, Column]:
     """Each rule's ratio in millionths; n_words is above 0 where they are used."""
     million = lambda a, b: F.expr(f"{a} * 1000000L div {b}")
-    return {"symbols": million("n_symbols", "word_chars"), "repeats": million("n_repeat_words", "n_words"), "dup_lines": million("n_dup_lines", "n_words"), "word_length": million("word_chars", "n_words")}
+    return {"symbols": million("n_symbols", "word_chars"), "repeats": million("n_repeat_words", "n_words"), "dup_lines": million("n_dup_lines", "n_lines"), "word_length": million("word_chars", "n_words")}
+
+
+def _shift(x: Column) -> Column:
+    return F.greatest(F.length(F.bin(x)) - (SUB_BITS + 1), F.lit(0))
 
 
 def bucket(x: Column) -> Column:
     """The least number that shares x's binary length and its leading SUB_BITS + 1 bits."""
-    shift = F.greatest(F.length(F.bin(x)) - (SUB_BITS + 1), F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", x, shift), shift)
+    return F.call_function("shiftleft", F.call_function("shiftright", x, _shift(x)), _shift(x))
+
+
+def bucket_end(x: Column) -> Column:
+    """The largest number of the bucket that begins with x."""
+    return x + F.call_function("shiftleft", F.lit(1).cast("long"), _shift(x)) - 1
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
 def sketches(counts: DataFrame) -> DataFrame:
@@ -108,44 +124,48 @@ def sketches(counts: DataFrame) -> DataFrame:
     )
 
 
-def quartiles(sketch: DataFrame) -> DataFrame:
-    """(lang, source, level, rule, total, q1, q3): the first buckets at which a quarter and three quarters are reached."""
+_QUANTILES = {"q1": 25, "q3": 75, "low_tail": 100 - TAIL, "high_tail": TAIL}
+
+
+def quantiles(sketch: DataFrame) -> DataFrame:
+    """(lang, source, level, rule, total, q1, q3, low_tail, high_tail): the first buckets at which so many per cent are reached."""
     group = Window.partitionBy("lang", "source", "level", "rule")
     reached = sketch.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("total"))
-    at = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket")))
-    return reached.groupBy("lang", "source", "level", "rule").agg(F.max("total").alias("total"), at(1).alias("q1"), at(3).alias("q3"))
+    at = [F.min(F.when(F.col("upto") * 100 >= F.col("total") * k, F.col("bucket"))).alias(name) for name, k in _QUANTILES.items()]
+    return reached.groupBy("lang", "source", "level", "rule").agg(F.max("total").alias("total"), *at)
 
 
 def thresholds(counts: DataFrame) -> DataFrame:
     """(lang, source, and low_ and high_ of each rule) for each (lang, source) of ``counts``."""
-    q = quartiles(sketches(counts)).checkpoint()
+    q = quantiles(sketches(counts)).checkpoint()
     own = q.where("level = 0")
-    lang = q.where("level = 1").select(F.col("lang").alias("l1"), F.col("rule").alias("r1"), *(F.col(x).alias(f"{x}_1") for x in ("total", "q1", "q3")))
-    whole = q.where("level = 2").select(F.col("rule").alias("r2"), *(F.col(x).alias(f"{x}_2") for x in ("q1", "q3")))
+    lang = q.where("level = 1").select(F.col("lang").alias("l1"), F.col("rule").alias("r1"), *(F.col(x).alias(f"{x}_1") for x in ("total", *_QUANTILES)))
+    whole = q.where("level = 2").select(F.col("rule").alias("r2"), *(F.col(x).alias(f"{x}_2") for x in _QUANTILES))
     joined = own.join(lang, (F.col("rule") == F.col("r1")) & F.col("lang").eqNullSafe(F.col("l1"))).join(whole, F.col("rule") == F.col("r2"))
     pick = lambda x: F.when(F.col("total") >= MIN_GROUP, F.col(x)).when(F.col("total_1") >= MIN_GROUP, F.col(f"{x}_1")).otherwise(F.col(f"{x}_2"))
-    floor = F.coalesce(*(F.when(F.col("rule") == k, F.lit(v[0])) for k, v in FLOOR.items()))
-    spread = F.greatest(pick("q3") - pick("q1"), floor) * SPREAD
-    limits = joined.select("lang", "source", "rule", (pick("q1") - spread).alias("low"), (pick("q3") + spread).alias("high"))
+    picked = joined.select("lang", "source", "rule", *(pick(x).alias(x) for x in _QUANTILES))
+    spread = (F.col("q3") - F.col("q1")) * SPREAD
+    low = F.when(spread > 0, F.col("q1") - spread).otherwise(F.col("low_tail"))
+    high = F.when(spread > 0, F.col("q3") + spread).otherwise(bucket_end(F.col("high_tail")))
+    limits = picked.select("lang", "source", "rule", low.alias("low"), high.alias("high"))
     limit = lambda name, rule: F.max(F.when(F.col("rule") == rule, F.col(name))).alias(f"{name}_{rule}")
-    return limits.groupBy("lang", "source").agg(*(limit(name, rule) for rule in FLOOR for name in ("low", "high")))
+    return limits.groupBy("lang", "source").agg(*(limit(name, rule) for rule in RULES for name in ("low", "high")))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """(doc_id, base counts, base_failed, kept, failed) for each row of ``docs`` (doc_id, text, lang, source)."""
+    """(doc_id, base counts, n_lines, base_failed, kept, failed) for each row of ``docs`` (doc_id, text, lang, source)."""
     prepare(docs.sparkSession)
     counts = document_counts(docs).checkpoint()
     limits = thresholds(counts)
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(x for x in limits.columns if x not in ("lang", "source")))
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     ratio = ratios()
     fails = [
         F.when((ratio[k] > F.col(f"high_{k}")) | (F.lit(low) & (ratio[k] < F.col(f"low_{k}"))), F.lit(k))
-        for k, (_, low) in FLOOR.items()
+        for k, low in RULES.items()
     ]
     failed = F.when(F.col("n_words") >= MIN_WORDS, F.concat_ws(",", *fails)).otherwise("")
     return (
         counts.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-        .select("doc_id", *_COUNTS, base.alias("base_failed"), failed.alias("failed"))
+        .select("doc_id", *_COUNTS, base_failed().alias("base_failed"), failed.alias("failed"))
         .select("*", (~F.col("base_failed") & (F.col("failed") == "")).alias("kept"))
     )
