@@ -19,7 +19,8 @@ The model is fitted on at most ``MAX_LABELLED`` labelled documents (least hash o
 Edge cases: null or empty texts have all features 0.  Null hosts and paths are
 groups of their own.  Without labels, or with one class only, the smoothed rate
 stands in for the model.  Repeated ids in labels count once (the largest label);
-repeated documents count each time.  Extra columns are not read.
+of the texts of a
+repeated document one is used in training; each is judged.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -43,6 +44,15 @@ MILLION = 1_000_000
 FEATURES = ("log_words", "symbols", "upper", "exclaims", "digits", "word_length", "dup_lines", "repeats", "same_as_before")
 
 
+def site_of(url: Column) -> tuple[Column, Column]:
+    """(host, path) of a page's address: the host in small letters, and with it the path's first part.
+
+    An address that is null or has no host gives nulls.
+    """
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    return host, F.concat(host, F.lit("/"), F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "^/*([^/]*)", 1))
+
+
 def features(piece: tx.Slice) -> np.ndarray:
     """One row of FEATURES for each text."""
     data = piece.data
@@ -81,7 +91,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     chosen = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # At most ``max_labelled`` rows of two numbers are broadcast, and as many rows of features collected.
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = sample.mapInArrow(_feature_rows, "doc_id long, good int, x array<double>").orderBy("doc_id", "x").collect()
+    # A repeated id gives one row, its least features, found on the map side.
+    rows = sample.mapInArrow(_feature_rows, "doc_id long, good int, x array<double>").groupBy("doc_id").agg(F.min("good").alias("good"), F.min("x").alias("x")).orderBy("doc_id").collect()
     x = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES))
     y = np.array([r.good for r in rows], np.float64)
     if not len(rows):

@@ -18,7 +18,7 @@ document is scored, whole, by the same task that reads it; nothing is shuffled.
 
 Edge cases: null or empty texts have no features and get the model's base rate.
 A label table that is empty or has one class gives that rate to every document.
-Labels of a repeated id count as one, the largest; null labels and ids are left
+Labels of a repeated id count as one, the largest, and so do its texts, the least; null labels and ids are left
 out of training.  Repeated documents and ties are scored alike.  Extra columns
 are not read by ``score`` and pass through ``reject``.
 """
@@ -120,7 +120,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
     each = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     # At most ``limit`` rows of two numbers are broadcast.
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, n_features: int = FEATURES) -> Model:

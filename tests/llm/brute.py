@@ -43,6 +43,88 @@ def base_licenses(text):
     return len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in at}))
 
 
+def license_labels(text):
+    """(labels, score), with the values and names of the operator's tables."""
+    from mnemoscope.llm import license_scan as ls
+
+    text, found, scores = text or "", set(), []
+    w = folded(text)
+    for phrase, label in (ls.BASE_PHRASES | ls.NOTICE_PHRASES).items():
+        p = phrase.split()
+        if any(w[i : i + len(p)] == p for i in range(len(w))):
+            found.add(label)
+            scores.append(ls.VALUES[label])
+    lower = text.translate(LOWER)
+    for m in re.finditer("|".join(map(re.escape, ls.TAGS)), lower):
+        labels, score = _expression(re.findall(r"[()]|[a-z0-9][a-z0-9.+-]*", lower[m.end() :].split("\n")[0]))
+        if labels:
+            found |= labels
+            scores.append(score)
+    return ",".join(sorted(found)), min(scores, default=0.0)
+
+
+def _expression(tokens):
+    from mnemoscope.llm import license_scan as ls
+
+    labels, at, depth = set(), 0, 0
+
+    def peek():
+        return tokens[at] if at < len(tokens) else None
+
+    def atom():
+        nonlocal at, depth
+        t = peek()
+        if t in (None, ")", "and", "or", "with"):
+            raise ValueError
+        at += 1
+        if t == "(":
+            depth += 1
+            v = either()
+            if peek() != ")":
+                raise ValueError
+            at += 1
+            depth -= 1
+            return v
+        label = ls.identifier_label(t)
+        labels.update({label} - {None})
+        return ls.VALUES.get(label, 0.0)
+
+    def excepted():
+        nonlocal at
+        v = atom()
+        while peek() == "with":
+            at += 1
+            if peek() == "(":
+                atom()
+            elif peek() in (None, ")", "and", "or", "with"):
+                raise ValueError
+            else:
+                at += 1
+            v = v + (1 - v) / 2 if v else 0.0
+        return v
+
+    def both():
+        nonlocal at
+        v = excepted()
+        while peek() == "and":
+            at += 1
+            v = min(v, excepted())
+        return v
+
+    def either():
+        nonlocal at
+        v = both()
+        while peek() == "or":
+            at += 1
+            v = max(v, both())
+        return v
+
+    try:
+        return labels, either()
+    except ValueError:
+        return labels, min((ls.VALUES[x] for x in labels), default=0.0)
+
+
 def warc_rows(rows):
     """rows: (page_id, html)."""
     top = {}
@@ -77,6 +159,7 @@ def mixed(rows, epochs=3):
     """rows: (doc_id, text, source); (doc_id, size, source_size, target, taken) of each."""
     key = lambda s: (s is None, s or "")
     docs = [(i, s, len(words(t))) for i, t, s in rows]
+    name = ["null:" + hashlib.md5((t or "").encode()).hexdigest() if i is None else str(i) for i, t, _ in rows]
     size = collections.Counter()
     for _, s, n in docs:
         size[s] += n
@@ -93,7 +176,7 @@ def mixed(rows, epochs=3):
     queue = []
     for s in size:
         upto = 0
-        own = [(hashlib.md5(("null" if i is None else str(i)).encode()).hexdigest(), i if i is not None else -1, n, k) for k, (i, x, n) in enumerate(docs) if x == s]
+        own = [(hashlib.md5(name[k].encode()).hexdigest(), i if i is not None else -1, n, k) for k, (i, x, n) in enumerate(docs) if x == s]
         for _, _, n, k in sorted(own):
             upto += n
             queue += [((e * size[s] + upto) / target[s], key(s), k, n) for e in range(epochs) if n]
@@ -146,12 +229,17 @@ def near_classes(rows, threshold=0.8):
     return {i: find(i) for i in parent}
 
 
-def leaks(docs, items, threshold=0.8):
+def leaks(docs, items, threshold=0.8, least=1):
     out = []
     for item, text in items:
-        own = shingles(text) if len(folded(text)) >= 5 else set()
+        w = folded(text)
+        own = shingles(text) if len(w) >= 5 else set()
         for doc, body in docs:
-            found = len(own & shingles(body)) if len(folded(body)) >= 5 else 0
-            if own and found >= threshold * len(own):
-                out.append((doc, item, len(own), found))
+            words = folded(body)
+            if own:
+                found = len(own & shingles(body)) if len(words) >= 5 else 0
+                if found >= threshold * len(own):
+                    out.append((doc, item, len(own), found))
+            elif len(w) >= least and w and any(words[k : k + len(w)] == w for k in range(len(words) - len(w) + 1)):
+                out.append((doc, item, 1, 1))
     return sorted(out, key=repr)

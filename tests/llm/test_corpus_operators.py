@@ -33,6 +33,14 @@ def test_quality_thresholds_follow_the_group(spark):
     assert "symbols" in got[5000] and not any("symbols" in got[i] for i in range(300))
 
 
+def test_quality_limits_are_the_groups_own(spark):
+    """The same amount of symbols fails where they are rare and passes where they are common; a limit is the group's tail, no fixed number."""
+    line = lambda i, k: " ".join(f"word{i}x{j}" for j in range(60)) + " #" * k
+    rows = [(i, line(i, 1 if i % 50 == 0 else 0), "en", "a") for i in range(500)] + [(1000 + i, line(i, i % 4), "en", "b") for i in range(400)] + [(9000, line(9, 3), "en", "a"), (9001, line(9, 3), "en", "b")]
+    got = {r.doc_id: r.failed for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert "symbols" in got[9000] and "symbols" not in got[9001] and sum("symbols" in x for i, x in got.items() if i < 500) <= 10
+
+
 def test_quantile_sketch_error(spark):
     """A quartile of the sketch is within a part in 32 of the exact one."""
     v = spark.range(1, 5001).select((F.col("id") * F.col("id")).alias("v"))
@@ -57,9 +65,21 @@ def test_license_expressions(text, labels, score):
 
 
 def test_license_tags(spark):
-    docs = spark.createDataFrame([(1, "// SPDX-License-Identifier: Apache-2.0 OR MIT\ncode"), (2, "no tag")], "doc_id long, text string")
-    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(docs).collect()}
-    assert got == {1: ("apache,mit", 0.95), 2: ("", 0.0)}
+    rows = [
+        (1, "// SPDX-License-Identifier: Apache-2.0 OR MIT\ncode"), (2, "no tag"), (3, "SPDX-License-Identifier: MIT This text compares isc with gpl style and never uses agpl code"),
+        (4, "SPDX-License-Identifier: (GPL-2.0 WITH mit-exception) and (MIT or isc), and more; all rights reserved"), (5, "license-expression: mit) and spdx-license-identifier: lgpl-2.1 (or later)"),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("apache,mit", 0.95), 2: ("", 0.0), 3: ("mit", 0.95), 4: ("gpl,isc,mit,proprietary", 0.0), 5: ("lgpl,mit", 0.6)}
+
+
+def test_license_labels_and_scores(spark, hard, hard_rows):
+    """Labels and scores against a plain scan and a parser by recursive descent, on random expressions in prose as well."""
+    r, words = np.random.default_rng(5), ["mit", "gpl-3.0", "apache-2.0", "isc", "cc-by-nc-4.0", "and", "or", "with", "(", ")", "text", "MIT", "License", "classpath-exception-2.0", "bsd", "all", "rights", "reserved", "public", "domain", "general"]
+    rows = [(i, t) for i, t, *_ in hard_rows] + [(1000 + i, "SPDX-License-Identifier: " * int(r.integers(0, 2)) + " ".join(r.choice(words, int(r.integers(1, 12)))) + ("\n" + " ".join(r.choice(words, 9))) * int(r.integers(0, 2))) for i in range(600)]
+    got = rows_of(license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "labels", "score")
+    plain = sorted(((i, *brute.license_labels(t)) for i, t in rows), key=repr)
+    assert [x[:2] for x in got] == [x[:2] for x in plain] and np.allclose([x[2] for x in got], [x[2] for x in plain])
 
 
 def test_near_duplicates(hard, hard_rows):
@@ -145,6 +165,26 @@ def test_secret_ledger_scans_only_what_is_new(hard):
     assert again.findings.where("rule = 'hex' and version = 2").count() <= again.findings.where("rule = 'hex' and version = 1").count()
 
 
+def test_secret_ledger_on_disk(spark, hard, monkeypatch, tmp_path):
+    """A stored ledger: the second run scans the rest only, a third nothing, and a run that was cut short doesn't count."""
+    table = secret_scan.LedgerTable(spark, str(tmp_path / "ledger"))
+    assert table.load() is None
+    first, scans = hard.where("doc_id < 300"), []
+    real = secret_scan.find
+    monkeypatch.setattr(secret_scan, "find", lambda blobs, rules: scans.append(blobs.count()) or real(blobs, rules))
+    for docs in (first, hard, hard):
+        table.append(docs)
+    blobs = lambda df: df.select(secret_scan.blob_id().alias("b")).distinct().count()
+    assert scans == [blobs(first), blobs(hard) - blobs(first), 0]
+    assert table.load().scanned.count() == blobs(hard) * len(secret_scan.RULES)
+    hard.selectExpr("'x' blob", "'hex' rule", "1 version", "1L start", "2L end").write.parquet(str(tmp_path / "ledger" / "run-9" / "findings"))
+    whole = secret_scan.by_version(hard, secret_scan.update(hard))
+    assert rows_of(secret_scan.by_version(hard, table.load()), *whole.columns) == rows_of(whole, *whole.columns)
+    newer = (secret_scan.Rule("hex", 2, r"[0-9a-f]{30,}", 0, 30, base=True), *(r for r in secret_scan.RULES if r.name != "hex"))
+    table.append(first, newer)
+    assert scans[-1] == blobs(first) and table.load().scanned.where("rule = 'hex' and version = 2").count() == blobs(first)
+
+
 def test_redaction(hard):
     clean = secret_scan.redact(hard, secret_scan.update(hard))
     assert clean.columns == hard.columns and clean.count() == hard.count()
@@ -209,22 +249,44 @@ def test_substrings_at_other_widths(hard, hard_rows, width, gram):
     assert got == brute.without_repeats([(i, t) for i, t, *_ in hard_rows], width)
 
 
-def test_substrings_with_a_full_sketch(hard, hard_rows, monkeypatch):
-    """A sketch too small to tell anything apart only costs time."""
-    monkeypatch.setattr(substring_dedup, "sketch_bits", lambda *a: 3)
+@pytest.mark.parametrize("broadcast", [0, 64 << 20])
+@pytest.mark.parametrize("bits", [3, 23])
+def test_substrings_with_other_sketches(hard, hard_rows, monkeypatch, bits, broadcast):
+    """A sketch too small to tell anything apart only costs time; a distributed one gives the same rows."""
+    monkeypatch.setattr(substring_dedup, "sketch_bits", lambda *a: bits)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", broadcast)
     got = rows_of(substring_dedup.remove_repeated(hard), "doc_id", "n_words", "n_removed", "kept_text")
     assert got == brute.without_repeats([(i, t) for i, t, *_ in hard_rows])
 
 
+@pytest.mark.parametrize("broadcast", [0, 64 << 20])
+def test_sketch_rules_out_unique_windows(spark, monkeypatch, broadcast):
+    """Of documents without repeats hardly a window reaches the exact step, over many partitions as well."""
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", broadcast)
+    emitted = []
+    real = substring_dedup._emit
+    monkeypatch.setattr(substring_dedup, "_emit", lambda *a: emitted.append(a) or real(*a))
+    passage = " ".join(f"p{k}" for k in range(50))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(300)) + (f" {passage}" if i % 100 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeated(docs).collect()}
+    assert got == {i: 50 * (i % 100 == 0) for i in range(400)}
+    if broadcast:
+        width, gram, shared = emitted[0]
+        known = docs.selectExpr("*", "1L as u1", "doc_id as u2").mapInArrow(real(width, gram, shared), "h1 long, h2 long, u1 long, u2 long, pos int").count()
+        assert 4 * 16 <= known <= 4 * 60 + 0.2 * 400 * 300
+
+
 def test_decontamination(spark, hard, hard_rows):
     long = " ".join(hard_rows[100][1].split() if len(hard_rows) > 100 else hard_rows[45][1].split())
-    items = [(1, " ".join(hard_rows[42][1].split()[32:75])), (2, long[:400]), (3, "one two"), (4, None), (5, ""), (6, "NEVER seen anywhere in these texts at all"), (7, hard_rows[20][1].upper()), (7, hard_rows[20][1]), (8, " ".join(hard_rows[42][1].split()[35:40]))]
+    items = [(1, " ".join(hard_rows[42][1].split()[32:75])), (2, long[:400]), (3, "one two"), (4, None), (5, ""), (6, "NEVER seen anywhere in these texts at all"), (7, hard_rows[20][1].upper()), (7, hard_rows[20][1]), (8, " ".join(hard_rows[42][1].split()[35:40])), (9, "Line ONE"), (10, "word"), (11, hard_rows[7][1].split()[0])]
     table = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     got = rows_of(decontaminate.contaminated_pairs(hard, table), "doc_id", "item_id", "n_shingles", "n_found")
     expected = brute.leaks([(i, t) for i, t, *_ in hard_rows], items)
     assert got == expected and len(expected) > 4
     assert rows_of(decontaminate.contaminated_pairs(hard, table, block_items=2), "doc_id", "item_id", "n_shingles", "n_found") == expected
-    gone = {d for d, *_ in expected}
+    assert {9, 11} <= {i for _, i, *_ in expected}
+    gone = {d for d, *_ in brute.leaks([(i, t) for i, t, *_ in hard_rows], items, least=5)}
     kept = decontaminate.drop_contaminated(hard, table, block_items=3)
     assert kept.columns == hard.columns and {r.doc_id for r in kept.collect()} == {i for i, *_ in hard_rows} - gone
 
@@ -238,6 +300,52 @@ def test_decontamination_recall_on_long_documents(spark):
     assert found.count() == 200
 
 
+def test_decontamination_verifies_candidates_only(spark, monkeypatch):
+    """What the sketches don't propose is not found: the bins decide, not an exact search beside them."""
+    import mnemoscope.llm.text as tx
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(50)]
+    index = decontaminate.ItemIndex(list(range(50)), texts, 5, 1)
+    docs = [f"{' '.join(f'u{i}y{k}' for k in range(500))} {t}" for i, t in enumerate(texts)]
+    (_, piece), *rest = tx.slices(__import__("pyarrow").record_batch({"text": docs}), limit=1 << 24)
+    words = tx.Words(piece, tx.FOLDED)
+    doc, item, n, found = index.search(words, 0.8)
+    assert not rest and doc.tolist() == item.tolist() == list(range(50)) and (n == found).all() and len(index.classes) == 1
+    held = sum(len(x[0]) for x in index.classes.values())
+    assert held <= len(index.value)
+    monkeypatch.setattr(index, "candidates", lambda *a: np.zeros(0, np.int64))
+    assert not len(index.search(words, 0.8)[0])
+
+
+def test_near_duplicates_of_a_shared_passage_grow_in_proportion(spark, monkeypatch):
+    """Texts that share three quarters of their words are in no one's prefix: no pair of them is compared after the leaders."""
+    passage = " ".join(f"p{k}" for k in range(150))
+    asked = []
+    real = near_dup.verified
+    monkeypatch.setattr(near_dup, "verified", lambda texts, pairs, *a: asked.append(pairs.count()) or real(texts, pairs, *a))
+    monkeypatch.setattr(near_dup, "_look_up", lambda *a: pytest.fail("nothing is left to look up"))
+    for m in (200, 800):
+        rows = [(i, " ".join(f"u{i}x{k}" for k in range(50)) + f" {passage}") for i in range(m)]
+        assert near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).where("class_id <> doc_id").isEmpty()
+    assert asked[1] == asked[3] == 0 and asked[2] <= 2 * near_dup.BANDS * 2 * 800
+
+
+def test_near_duplicates_that_are_mostly_template(spark):
+    """Texts of which nine tenths are the same: too many share a prefix shingle for pairs, so they are looked up in blocks."""
+    template = " ".join(f"p{k}" for k in range(172))
+    own = lambda i, n: " ".join(f"u{i}x{k}" for k in range(n))
+    rows = [(i, f"{own(i, 24)} {template}") for i in range(60)] + [(60, f"{own(5, 22)} a b {template}")]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near_classes(rows) and got[60] == 5
+
+
+def test_names_that_operators_use_inside_pass_through(spark, hard):
+    odd = hard.selectExpr("*", *(f"'{x}' as {x}" for x in ("_key", "_keeper", "_rank", "__key", "_blob", "_spans", "_plan", "_row", "passed", "u1")))
+    for out in (near_dup.keep_one(odd), secret_scan.redact(odd, secret_scan.update(odd)), mixing.mixed_documents(odd)):
+        row = out.first()
+        assert row["_key"] == "_key" and row["_rank"] == "_rank" and row["__key"] == "__key" and row["_spans"] == "_spans"
+
+
 def test_empty_tables(spark, nothing):
     items = spark.createDataFrame([], "item_id long, text string")
     for df in (

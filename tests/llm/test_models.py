@@ -115,6 +115,46 @@ def test_sites_shrink_towards_what_is_above(spark, split):
     assert abs(got[201].p_path - mean) < 0.1 and got[0].kept and not got[100].kept
 
 
+def test_repeated_labelled_rows_reach_the_driver_once(spark, split, monkeypatch):
+    docs, train, _ = split
+    one = train.limit(1).select("doc_id")
+    many = docs.join(one, "doc_id").crossJoin(spark.range(20_000).select(F.lit(1).alias("x"))).drop("x")
+    model = site_quality.train(site_docs(docs.union(many)), train)
+    plain = site_quality.train(site_docs(docs), train)
+    assert np.allclose(model.mean, plain.mean) and np.allclose(model.logistic.weight, plain.logistic.weight)
+
+
+def test_sites_of_addresses(spark):
+    urls = ["https://Docs.Example.org/guide/a?x=1", "http://example.org", "http://user@example.org:8080//a/b", "not an address", None]
+    host, path = site_quality.site_of(F.col("url"))
+    got = [tuple(r) for r in spark.createDataFrame([(u,) for u in urls], "url string").select(host, path).collect()]
+    assert got == [("docs.example.org", "docs.example.org/guide"), ("example.org", "example.org/"), ("example.org", "example.org/a"), (None, None), (None, None)]
+
+
+def test_shrinkage_against_plain_sums(spark, split):
+    """Priors of hosts and paths by hand, from the probabilities of the documents."""
+    docs, train, _ = split
+    rows = site_quality.judge(site_docs(docs), site_quality.train(site_docs(docs), train)).collect()
+    p = {r.doc_id: round(r.p_document * 1e6) for r in rows}
+    group = lambda key: {k: [p[r.doc_id] for r in rows if getattr(r, key) == k] for k in {getattr(r, key) for r in rows}}
+    hosts, paths, n = group("host"), group("path"), len(rows)
+    mean = (sum(p.values()) / 1e6 + 0.5) / (n + 1)
+
+    def strength(groups):  # (n, sum, prior)
+        between = sum(m * (s / m - q) ** 2 for m, s, q in groups)
+        spread = (between - sum(q * (1 - q) for *_, q in groups)) / sum(m for m, *_ in groups)
+        typical = sum(m * q * (1 - q) for m, _, q in groups) / sum(m for m, *_ in groups)
+        return round(min(1e6, max(1.0, typical / spread - 1)), 3) if spread > 1e-9 else 1e6
+
+    kh = strength([(len(v), sum(v) / 1e6, mean) for v in hosts.values()])
+    inner = {h: (sum(v) / 1e6 + kh * mean) / (len(v) + kh) for h, v in hosts.items()}
+    kp = strength([(len(v), sum(v) / 1e6, inner[k.rsplit("/", 1)[0]]) for k, v in paths.items()])
+    for r in rows[:50]:
+        host = (sum(hosts[r.host]) / 1e6 - r.p_document + kh * mean) / (len(hosts[r.host]) - 1 + kh)
+        path = (sum(paths[r.path]) / 1e6 - r.p_document + kp * host) / (len(paths[r.path]) - 1 + kp)
+        assert abs(host - r.p_host) < 1e-6 and abs(path - r.p_path) < 1e-6
+
+
 def test_quality_edges(spark, hard, nothing, split):
     docs, train, _ = split
     model = site_quality.train(site_docs(docs), train)
@@ -167,6 +207,9 @@ def test_archives_round_trip(spark, monkeypatch):
     back = warc_zip.read_archives(archives, folder)
     got = sorted((tuple(r) for r in back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr)
     assert got == brute.warc_rows([(i, h) for i, _, h in rows]) and archives.count() > 3
+    assert back.rdd.getNumPartitions() == archives.count()
+    lean = warc_zip.read_archives(archives, folder, payloads=False)
+    assert lean.columns == back.columns[:-1] and lean.count() == back.count()
     bodies = {r.page_id: bytes(r.payload).decode() for r in back.where("record_type = 'response'").collect()}
     assert all(bodies[i] == (h or "") for i, _, h in rows if i in bodies and i is not None)
     with zipfile.ZipFile(archives.first().path) as z:
