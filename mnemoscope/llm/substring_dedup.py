@@ -283,9 +283,9 @@ def remove_repeated(docs: DataFrame, *, width: int = 35, gram: int = 8) -> DataF
     asked = [c for c in docs.columns if c == "passed"]
     unique = (
         docs.select("u1", "u2", "text", *asked).mapInArrow(_emit(width, gram, shared), "h1 long, h2 long, u1 long, u2 long, pos int")
-        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u1", "u2", "pos")).alias("x"))
-        .where("n = 1")
-        .groupBy("x.u1", "x.u2").agg(F.collect_list("x.pos").alias("unique_at"))
+        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("u1").alias("u1"), F.min("u2").alias("u2"), F.min("pos").alias("pos"))
+        .where("n = 1")  # so that all three are of one row
+        .groupBy("u1", "u2").agg(F.collect_list("pos").alias("unique_at"))
     )
     return docs.join(unique, ["u1", "u2"], "left").select("doc_id", "text", "unique_at", *asked).mapInArrow(
         _apply(width, gram, shared), "doc_id long, n_words long, n_removed long, kept_text string"
