@@ -86,6 +86,8 @@ def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         gaps = F.transform(F.split(text, r.pattern, -1), F.length)
         all_three = F.arrays_zip(F.slice(gaps, 1, F.size(lengths)).alias("gap"), lengths.alias("length"), secret.alias("secret"))
         todo = F.col("done").isNull() | ~F.array_contains("done", f"{r.name}@{r.version}")
+        # Gaps and groups only where something was found; most texts are scanned once for a rule.
+        todo = todo & (F.size(lengths) > 0)
         return F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"), F.when(todo, all_three).alias("found"))
 
     order = Window.partitionBy("blob", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
