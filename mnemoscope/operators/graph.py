@@ -12,7 +12,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's spark.checkpoint.dir; set a folder only where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def lineage(edges: DataFrame, starts: DataFrame, *, depth: int, direction: str = "downstream") -> DataFrame:
@@ -21,12 +24,17 @@ def lineage(edges: DataFrame, starts: DataFrame, *, depth: int, direction: str =
         raise ValueError("depth is 1 to 8")
     near, far = ("src", "dst") if direction == "downstream" else ("dst", "src")
     keys = ["start", "src", "dst", "type", "provenance"]
-    frontier, seen, found = starts.select("start", "node_id").distinct(), starts.select("start", "node_id").distinct(), None
+    ensure_checkpoint_dir(edges.sparkSession)
+    frontier = starts.select("start", "node_id").distinct()
+    seen, found = frontier, None
     for level in range(1, depth + 1):
         step = edges.join(frontier, edges[near] == frontier["node_id"]).select("start", "src", "dst", "type", "provenance", F.lit(level).alias("depth"))
         found = step if found is None else found.unionByName(step)
         if level < depth:
-            frontier = step.select("start", F.col(far).alias("node_id")).distinct().join(seen, ["start", "node_id"], "left_anti")
+            # Written, so that a level is computed once and an executor's loss costs one level.
+            frontier = step.select("start", F.col(far).alias("node_id")).distinct().join(seen, ["start", "node_id"], "left_anti").checkpoint()
+            if frontier.isEmpty():
+                break
             seen = seen.union(frontier)
     return found.groupBy(*keys).agg(F.min("depth").alias("depth"))
 

@@ -47,18 +47,22 @@ def _search(shared, k: int):
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k nearest of ``vectors`` (id, vector) to each of ``queries`` (query_id, vector).
 
-    Zero vectors score 0, ties go to the lesser id. Queries are a stated set, taken in blocks;
+    Zero vectors score 0, ties go to the lesser id. Vectors that are null, hold a null or differ in length
+    from most others neither ask nor are found. Queries are a stated set, taken in blocks;
     each task hands on k rows for each query.
     """
     from .ranking import best
 
     spark, out, block = vectors.sparkSession, None, []
+    width = vectors.agg(F.mode(F.size("vector"))).first()[0] or 0
+    whole = (F.size("vector") == width) & ~F.exists("vector", lambda x: x.isNull())
+    vectors = vectors.where(whole)
 
     def ask(rows: list) -> DataFrame:
         shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
         return vectors.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(_search(shared, k), "query_id long, id long, score double")
 
-    for row in queries.select(F.col("query_id").cast("long"), "vector").where("vector is not null").toLocalIterator():
+    for row in queries.select(F.col("query_id").cast("long"), "vector").where(whole).toLocalIterator():
         block.append(row)
         if len(block) == BLOCK:
             out, block = (ask(block) if out is None else out.union(ask(block))), []

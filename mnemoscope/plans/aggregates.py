@@ -73,15 +73,15 @@ def agg_memory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""SELECT scope, md5(fp) AS fingerprint, count(*) AS n, min(id) AS canonical, max(id) AS latest, count(*) - 1 AS duplicates, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids
-    FROM (SELECT id, scope, {_FINGERPRINT.format('summary')} AS fp FROM observations) WHERE length(fp) >= 8 GROUP BY scope, fp HAVING count(*) >= 2""")
+@query(f"""SELECT * FROM (SELECT id, scope, md5(fp) AS fingerprint, count(*) OVER w AS n, min(id) OVER w AS canonical, max(id) OVER w AS latest
+    FROM (SELECT id, scope, {_FINGERPRINT.format('summary')} AS fp FROM observations) WHERE length(fp) >= 8 WINDOW w AS (PARTITION BY scope, fp)) WHERE n >= 2""")
 def agg_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of one scope that are equal but for punctuation and case; the least id is canonical."""
+    """Texts of one scope that are equal but for punctuation and case: a row for each member, with its cluster's size, canonical (least) and latest id."""
     o = observations(spark, sf_dir).select("id", "scope", text.fingerprint(F.col("summary")).alias("fp"))
-    # The fingerprint's digest is shuffled, not the text.
+    # The fingerprint's digest is shuffled, not the text, and no group is gathered in one row.
     o = o.where(F.length("fp") >= 8).select("id", "scope", F.md5(F.col("fp").cast("binary")).alias("fingerprint"))
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",")
-    return o.groupBy("scope", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("canonical"), F.max("id").alias("latest"), (F.count(F.lit(1)) - 1).alias("duplicates"), ids.alias("ids")).where("n >= 2")
+    clusters = o.groupBy("scope", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("canonical"), F.max("id").alias("latest")).where("n >= 2")
+    return o.join(clusters, ["scope", "fingerprint"]).select("id", "scope", "fingerprint", "n", "canonical", "latest")
 
 
 @query("""SELECT user_id, event_type, count(*) AS misses, max(event_id) AS last_event FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) = 0 GROUP BY 1, 2 HAVING count(*) >= 2""")

@@ -140,19 +140,49 @@ def jon_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(asked, held).select("order_id", "fact_id", "object")
 
 
-TOKEN_LINKS_SQL = f"""t AS (SELECT session_id, event_id, scope, unnest({_TOKENS.format('summary')}) AS token FROM turns), df AS (SELECT scope, token FROM t GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 4), r AS (SELECT t.* FROM t JOIN df USING (scope, token)),
-    links AS (SELECT a.event_id AS left_id, b.event_id AS right_id, count(*) AS shared FROM r a JOIN r b ON a.scope = b.scope AND a.token = b.token AND a.event_id < b.event_id AND a.session_id <> b.session_id GROUP BY 1, 2 HAVING count(*) >= 2)"""
+#: Tokens of turns that are in no more than four fifths of all turns (three at least), and all links by two of them.
+USEFUL_TOKENS_SQL = f"""t AS (SELECT session_id, event_id, scope, unnest({_TOKENS.format('summary')}) AS token FROM turns), top AS (SELECT greatest(3, floor(count(*) * 0.80)) AS top FROM turns),
+    useful AS (SELECT t.* FROM t JOIN (SELECT token, count(*) AS df FROM t GROUP BY 1) USING (token) CROSS JOIN top WHERE df <= top)"""
+TOKEN_LINKS_SQL = f"""{USEFUL_TOKENS_SQL}, links AS (SELECT a.event_id AS left_id, b.event_id AS right_id, count(*) AS shared FROM useful a JOIN useful b
+    ON a.scope = b.scope AND a.token = b.token AND a.event_id < b.event_id AND a.session_id <> b.session_id GROUP BY 1, 2 HAVING count(*) >= 2)"""
 
 
-@query(f"WITH {TOKEN_LINKS_SQL} SELECT left_id, right_id, shared FROM links")
+def useful_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, event_id, scope, token): distinct tokens of each turn that are in four fifths of all turns at most (three at least)."""
+    u = turns(spark, sf_dir)
+    t = u.select("session_id", "event_id", "scope", F.explode(text.token_set(F.col("summary"))).alias("token"))
+    top = u.agg(F.greatest(F.lit(3), F.floor(F.count(F.lit(1)) * 0.80)).alias("top"))
+    df = t.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(top)).where("df <= top").select("token")  # one row
+    return t.join(df, "token", "left_semi")
+
+
+@query(f"""WITH {USEFUL_TOKENS_SQL} SELECT a.event_id, b.event_id AS other_id, count(*) AS shared FROM useful a JOIN useful b
+    ON a.scope = b.scope AND a.token = b.token AND a.session_id <> b.session_id WHERE a.session_id % 100 = 0 GROUP BY 1, 2 HAVING count(*) >= 2""")
 def jon_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of different sessions of a scope that share rare tokens; a token in more than four events links nothing, so groups stay small."""
-    t = turns(spark, sf_dir).select("session_id", "event_id", "scope", F.explode(text.token_set(F.col("summary"))).alias("token"))
-    rare = t.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 4").drop("n")
-    r = t.join(rare, ["scope", "token"])
-    a, b = r.alias("a"), r.alias("b")
-    on = (F.col("a.scope") == F.col("b.scope")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.event_id") < F.col("b.event_id")) & (F.col("a.session_id") != F.col("b.session_id"))
-    return a.join(b, on).groupBy(F.col("a.event_id").alias("left_id"), F.col("b.event_id").alias("right_id")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+    """Events of other sessions of the scope that share two useful tokens or more with an event of an asked session (ids divisible by 100).
+
+    The asked events meet all others by token; a token in many events is a skewed key of a plain join, which adaptive execution splits.
+    """
+    t = useful_tokens(spark, sf_dir)
+    asked = t.where("session_id % 100 = 0").select("scope", "token", F.col("event_id").alias("asked"), F.col("session_id").alias("own"))
+    pairs = asked.join(t, ["scope", "token"]).where("own <> session_id")
+    return pairs.groupBy(F.col("asked").alias("event_id"), F.col("event_id").alias("other_id")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+
+
+def token_pair_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b): links that connect the same events as all pairs with two shared useful tokens do.
+
+    Two events share two tokens if they share a pair of them. In a group of events
+    with one pair of tokens, if there is more than one session, each event is
+    linked, directly or by way of an event of another session, to every other; a
+    star around the least id says the same. So work grows with events, not with pairs.
+    """
+    t = useful_tokens(spark, sf_dir).groupBy("scope", "session_id", "event_id").agg(F.array_sort(F.collect_list("token")).alias("x"))
+    second = lambda i: F.transform(F.slice("x", i + 2, F.size("x")), lambda other: F.xxhash64(F.get("x", i), other))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("x") - 2), second))
+    each = t.where(F.size("x") >= 2).select("scope", "session_id", "event_id", F.explode(pairs).alias("pair"))
+    groups = each.groupBy("scope", "pair").agg(F.min("event_id").alias("b"), F.min("session_id").alias("s0"), F.max("session_id").alias("s1")).where("s0 < s1").select("scope", "pair", "b")
+    return each.join(groups, ["scope", "pair"]).where("event_id <> b").select(F.col("event_id").alias("a"), "b").distinct()
 
 
 @query("""WITH r AS (SELECT DISTINCT receipt_id, ref, ts FROM (SELECT receipt_id, ref, max(ts) AS ts FROM receipts GROUP BY 1, 2)) SELECT a.ref AS left_ref, b.ref AS right_ref, count(*) AS n, CAST(epoch(max(greatest(a.ts, b.ts))) AS BIGINT) AS last_ts

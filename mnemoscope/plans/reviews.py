@@ -35,15 +35,21 @@ def rev_bloat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).where((chars >= 2400) | (size >= 4096)).select("id", chars.alias("chars"), size.alias("bytes"))
 
 
-@query(f"""WITH t AS (SELECT event_id, unnest({_TOKENS.format('summary')}) AS token FROM turns), n AS (SELECT greatest(2, floor(count(*) * 0.02)) AS top FROM turns), df AS (SELECT token FROM t GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= (SELECT top FROM n)), linked AS (SELECT DISTINCT event_id FROM t JOIN df USING (token))
-    SELECT u.event_id FROM turns u LEFT JOIN linked l ON l.event_id = u.event_id WHERE l.event_id IS NULL""")
+@query(f"""WITH t AS (SELECT event_id, unnest({_TOKENS.format('summary')}) AS token FROM turns), n AS (SELECT greatest(2, floor(count(*) * 0.20)) AS top FROM turns),
+    df AS (SELECT token, count(*) AS df FROM t GROUP BY 1), e AS (SELECT event_id, count(*) AS tokens, count(*) FILTER (df <= top) AS useful, count(*) FILTER (df BETWEEN 2 AND top) AS met
+    FROM t JOIN df USING (token) CROSS JOIN n GROUP BY 1) SELECT event_id, tokens AS token_count FROM e WHERE tokens >= 2 AND useful >= 2 AND met = 0""")
 def rev_weakly_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events without a rare token that another one shares; no pair is ever made, the token's count tells."""
+    """Events with two useful tokens (in a fifth of all events at most) or more, none of which another event has.
+
+    No pair is ever made: that a token's count is above 1 tells that another event has it.
+    """
     u = turns(spark, sf_dir)
     t = u.select("event_id", F.explode(text.token_set(F.col("summary"))).alias("token"))
-    top = u.agg(F.greatest(F.lit(2), F.floor(F.count(F.lit(1)) * 0.02)).alias("top"))
-    rare = t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(top)).where("n >= 2 and n <= top").select("token")
-    return u.select("event_id").join(t.join(rare, "token", "left_semi").select("event_id"), "event_id", "left_anti")
+    top = u.agg(F.greatest(F.lit(2), F.floor(F.count(F.lit(1)) * 0.20)).alias("top"))
+    df = t.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(top))  # one row
+    useful, met = F.col("df") <= F.col("top"), (F.col("df") >= 2) & (F.col("df") <= F.col("top"))
+    each = t.join(df, "token").groupBy("event_id").agg(F.count(F.lit(1)).alias("token_count"), F.count_if(useful).alias("useful"), F.count_if(met).alias("met"))
+    return each.where("token_count >= 2 and useful >= 2 and met = 0").select("event_id", "token_count")
 
 
 @query(f"""SELECT id, priority, unused_days, CASE priority WHEN 'P1' THEN 90 ELSE 30 END::BIGINT AS threshold FROM (SELECT id, state, CASE WHEN id % 25 = 0 THEN 'P0' WHEN kind IN ('preference', 'decision', 'fact', 'learning', 'plan', 'entity') THEN 'P1' ELSE 'P2' END AS priority,

@@ -53,6 +53,30 @@ def test_redaction_and_secrets(spark):
     assert value(spark, ["my API key and 密碼", "refresh-token", "none"], text.high_risk) == [["api_key", "zh_password"], ["access_token"], []]
 
 
+def test_each_secret_pattern(spark):
+    x = "aB3" * 12
+    found = [
+        "-----BEGIN RSA PRIVATE KEY-----", "Pwd = x1", f"sk-{x}", f"sk-proj-{x[:10]}-_{x[:6]}", "AKIA" + "A1B2" * 4, f"ghs_{x}", f"github_pat_{x}_", "xoxb-0123456789", f"AWS_SECRET_ACCESS_KEY: {x}",
+        f"authorization: bearer {x[:16]}", f"bearer {x[:24]}",
+    ]
+    assert value(spark, found, text.looks_secret) == [True] * len(found)
+    assert not any(value(spark, [f"SK-{x}", "akia" + "A1B2" * 4, f"Bearer {x[:16]}", "sk-proj-short", "a secret", None], text.looks_secret)[:5])
+
+
+def test_phone_guards_and_risk_separators(spark):
+    assert value(spark, ["12+3456789 01", "a+1 555 010 7788b", "1234567"], text.redact) == ["12+[REDACTED_PHONE]", "a[REDACTED_PHONE]b", "1234567"]
+    assert value(spark, ["api\tkey", "seed\n phrase", "access__token", "apikey"], text.high_risk) == [["api_key"], ["seed_phrase"], ["access_token"], ["api_key"]]
+
+
+def test_classified(spark):
+    rows = [("We fixed the bug", "note", ""), ("決定採用", None, ""), ("x", " Entity ", ""), ("x", "tool", "memory_store"), (None, "", ""), ("I like tea", "", ""), ("the error", "", "")]
+    df = spark.createDataFrame(rows, "t string, k string, tool string").select(text.classified(F.col("t"), F.col("k"), F.col("tool")).alias("y"))
+    assert [tuple(r.y) for r in df.collect()] == [
+        ("learning", 0.95, "rule:problem-solution"), ("decision", 0.95, "rule:decision"), ("Entity", 1.0, "explicit"), ("note", 0.25, "fallback:memory-store"),
+        ("note", 0.25, "fallback:note"), ("preference", 0.95, "rule:preference"), ("note", 0.25, "fallback:note"),
+    ]
+
+
 def test_importance(spark):
     assert value(spark, ["0.86", "86", "86%", "86/100", "Must-Remember", "low", "0.3", "150", "", None, "x"], scoring.parse_importance) == [0.86, 0.86, 0.86, 0.86, 0.8, 0.0, 0.3, 1.0, None, None, None]
     assert value(spark, [0.8, 0.79, 0.5, 0.1, None], scoring.label_of, "double") == ["must_remember", "nice_to_have", "nice_to_have", "ignore", "unknown"]

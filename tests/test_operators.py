@@ -139,3 +139,12 @@ def test_recall_chooses_lanes(spark):
     assert [r[0] for r in see(recall(docs, asked, vectors=vectors, asked_vectors=asked_vectors, k=1, mode="vector"))] == [2]
     with pytest.raises(ValueError, match="mode"):
         recall(docs, asked, mode="graph")
+
+
+def test_vectors_that_cannot_be_compared(spark):
+    from mnemoscope.operators.vector import cosine_top_k
+
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [0.6, 0.8]), (6, [None, 1.0])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = cosine_top_k(v, v.select(F.col("id").alias("query_id"), "vector"), 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in got] == [(1, 1), (1, 5), (1, 4), (4, 1), (4, 4), (4, 5), (5, 5), (5, 1), (5, 4)]
