@@ -46,3 +46,59 @@ def bm25(docs: DataFrame, queries: DataFrame, *, groups: tuple[str, ...] = ()) -
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     return matched.groupBy("query_id", "id", *groups).agg(F.round(F.sum(idf * gain), 6).alias("score"), F.count(F.lit(1)).alias("n_terms"))
+
+
+def cjk_terms(text: Column, *, most: int = 16) -> Column:
+    """Runs of two CJK signs or more and, of longer ones, their pairs; distinct, the first ``most``. For questions."""
+    runs = F.regexp_extract_all(text, F.lit("[㐀-鿿]{2,}"), F.lit(0))
+    pairs = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
+    parts = F.transform(runs, lambda run: F.when(F.length(run) > 2, F.concat(F.array(run), pairs(run))).otherwise(F.array(run)))
+    return F.slice(F.array_distinct(F.flatten(parts)), 1, most)
+
+
+def substring_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, n_terms) of documents (id, text) that contain CJK terms of a query (query_id, text) anywhere in a run.
+
+    Documents give the pairs of signs of their runs, and only asked pairs are
+    shuffled.  A longer term is looked for with its first pair, then checked in the text.
+    """
+    asked = queries.select("query_id", F.explode(cjk_terms(F.col("text"))).alias("term")).withColumn("pair", F.substring("term", 1, 2))
+    runs = F.regexp_extract_all("text", F.lit("[㐀-鿿]{2,}"), F.lit(0))
+    of_run = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
+    held = docs.select("id", "text", F.explode(F.array_distinct(F.flatten(F.transform(runs, of_run)))).alias("pair"))
+    met = only_asked(held, asked, "pair").join(asked, "pair").where(F.contains("text", F.col("term")))
+    return met.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n_terms"))
+
+
+def relaxed(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """``bm25`` hits that have every term of their query; for queries without such a hit, all hits. ``mode`` is and or or."""
+    hits = bm25(docs, queries).checkpoint()
+    need = queries.select("query_id", F.size(F.array_distinct(terms(F.col("text")))).alias("need"))
+    each = hits.join(need, "query_id").withColumn("every", F.col("n_terms") == F.col("need"))
+    strict = each.where("every").select(F.col("query_id").alias("q")).distinct().withColumn("strict", F.lit(True))
+    moded = each.join(strict, F.col("query_id") == F.col("q"), "left").withColumn("strict", F.coalesce("strict", F.lit(False)))
+    return moded.where("every or not strict").select("query_id", "id", F.when(F.col("strict"), "and").otherwise("or").alias("mode"), "score")
+
+
+def routed(docs: DataFrame, queries: DataFrame, k: int, *, weak: int = 1) -> DataFrame:
+    """(query_id, id, lane, rank, score): the k best of each query by lanes that its language asks for.
+
+    en asks the word lane (``bm25``), zh the substring lane, mixed both; a query with
+    fewer than ``weak`` hits asks the other lane too.  Lanes are fused by reciprocal
+    ranks; ``lane`` says where a hit came from (fts, cjk or both).
+    """
+    from ..functions.text import language
+    from .ranking import RRF_K, best
+
+    spoken = queries.select("query_id", "text", language(F.col("text")).alias("spoken"))
+    words = best(bm25(docs, spoken), k, by=[F.desc("score"), F.col("id")], groups=["query_id"]).select("query_id", "id", F.lit("fts").alias("lane"), "rank")
+    parts = best(substring_hits(docs, spoken), k, by=[F.desc("n_terms"), F.desc("id")], groups=["query_id"]).select("query_id", "id", F.lit("cjk").alias("lane"), "rank")
+    lanes = words.unionByName(parts).checkpoint()
+    found = lanes.groupBy("query_id").agg(F.count_if(F.col("lane") == "fts").alias("n_fts"), F.count_if(F.col("lane") == "cjk").alias("n_cjk"))
+    use = spoken.select("query_id", "spoken").join(found, "query_id").select(
+        F.col("query_id").alias("q"), ((F.col("spoken") != "zh") | (F.col("n_cjk") < weak)).alias("fts"), ((F.col("spoken") != "en") | (F.col("n_fts") < weak)).alias("cjk")
+    )
+    kept = lanes.join(use, F.col("query_id") == F.col("q")).where(F.when(F.col("lane") == "fts", F.col("fts")).otherwise(F.col("cjk")))
+    fused = kept.groupBy("query_id", "id").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"), F.min("lane").alias("l0"), F.max("lane").alias("l1"))
+    named = fused.select("query_id", "id", F.when(F.col("l0") == F.col("l1"), F.col("l0")).otherwise("both").alias("lane"), "score")
+    return best(named, k, by=[F.desc("score"), F.col("id")], groups=["query_id"])

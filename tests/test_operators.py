@@ -148,3 +148,43 @@ def test_vectors_that_cannot_be_compared(spark):
     v = spark.createDataFrame(rows, "id long, vector array<double>")
     got = cosine_top_k(v, v.select(F.col("id").alias("query_id"), "vector"), 3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.id) for r in got] == [(1, 1), (1, 5), (1, 4), (4, 1), (4, 4), (4, 5), (5, 5), (5, 1), (5, 4)]
+
+
+def test_cjk_terms_and_lanes(spark):
+    """Words find words, CJK runs are found inside longer runs, mixed questions by both, and a lane without hits gives way to the other."""
+    docs = spark.createDataFrame(
+        [(1, "我們決定採用資料庫方案"), (2, "資料 庫"), (3, "the database plan"), (4, "資料庫 database"), (5, None), (6, "")], "id long, text string"
+    )
+    asked = spark.createDataFrame([(1, "資料庫"), (2, "database plan"), (3, "資料庫方案 database"), (4, "决不存在"), (5, "abc 資料庫方案方案方案")], "query_id long, text string")
+    terms = {r.query_id: r.t for r in asked.select("query_id", lexical.cjk_terms(F.col("text")).alias("t")).collect()}
+    assert terms[1] == ["資料庫", "資料", "料庫"] and terms[2] == [] and len(terms[5]) == len(set(terms[5])) <= 16
+    hits = {(r.query_id, r.id): r.n_terms for r in lexical.substring_hits(docs, asked).collect()}
+    plain = {}
+    texts = {r.id: r.text or "" for r in docs.collect()}
+    for q, ts in terms.items():
+        for i, t in texts.items():
+            if n := sum(x in t for x in ts):
+                plain[q, i] = n
+    assert hits == plain
+    got = {}
+    for r in lexical.routed(docs, asked, 5).collect():
+        got.setdefault(r.query_id, {})[r.id] = r.lane
+    assert got[1] == {1: "cjk", 4: "cjk", 2: "cjk"} and got[2] == {3: "fts", 4: "fts"} and got[3][4] == "both" and got[3][1] == "cjk" and 4 not in got
+
+
+def test_relaxed_search(spark):
+    docs = spark.createDataFrame([(1, "red green blue"), (2, "red green"), (3, "blue")], "id long, text string")
+    asked = spark.createDataFrame([(1, "red, GREEN"), (2, "red yellow"), (3, "violet")], "query_id long, text string")
+    got = sorted((r.query_id, r.id, r.mode) for r in lexical.relaxed(docs, asked).collect())
+    assert got == [(1, 1, "and"), (1, 2, "and"), (2, 1, "or"), (2, 2, "or")]
+
+
+def test_scopes_of_documents(spark):
+    from mnemoscope.plans.memory import doc_in_scope
+
+    rows = [("repo", "repo/x"), ("other", "a/team/docs/b"), (None, None), ("docs", "readme")]
+    df = spark.createDataFrame(rows, "repo string, path string")
+    ask = lambda scope, how, *more: [r[0] for r in df.select(doc_in_scope(F.col("repo"), F.col("path"), F.lit(scope), how, *more)).collect()]
+    assert ask("x:repo", "repo_prefix") == [True, False, False, False] and ask("team:docs", "path_prefix") == [False, True, False, False]
+    assert ask("s", "map", F.array(F.lit("docs"))) == [False, False, False, True] and ask("s", "map", F.lit(None).cast("array<string>")) == [False] * 4
+    assert ask("global", "map", F.lit(None).cast("array<string>")) == [True] * 4 and ask("s", "none") == [True] * 4
