@@ -229,6 +229,28 @@ def near_classes(rows, threshold=0.8):
     return {i: find(i) for i in parent}
 
 
+def weighted_pairs(rows, n=5):
+    """{(i, j): (weighted, plain similarity)} of all pairs of different texts that share a run of n words, with exact document frequencies."""
+    import math
+
+    grams = {}
+    for i, t in rows:
+        w = folded(t)
+        grams[i] = collections.Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) or collections.Counter([tuple(w)] if w else [])
+    df = collections.Counter(g for c in grams.values() for g in c)
+    docs = sum(1 for c in grams.values() if c)
+    idf = {g: 1 + math.log((1 + docs) / (1 + k)) / math.log(1 + docs) for g, k in df.items()}
+    weight = {i: {g: (1 + math.log(k)) * idf[g] for g, k in c.items()} for i, c in grams.items()}
+    total, holders, low, common = {i: sum(w.values()) for i, w in weight.items()}, collections.defaultdict(list), collections.Counter(), collections.Counter()
+    for i, w in weight.items():
+        for g in w:
+            for j in holders[g]:
+                low[j, i] += min(w[g], weight[j][g])
+                common[j, i] += 1
+            holders[g].append(i)
+    return {(j, i): (s / (total[i] + total[j] - s), common[j, i] / (len(weight[i]) + len(weight[j]) - common[j, i])) for (j, i), s in low.items()}
+
+
 def leaks(docs, items, threshold=0.8, least=1):
     out = []
     for item, text in items:

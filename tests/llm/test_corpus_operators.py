@@ -93,6 +93,22 @@ def test_near_duplicates_on_documents(sf_docs):
     assert {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(sf_docs).collect()} == expected
 
 
+def test_near_duplicates_by_weighted_similarity(spark):
+    """All pairs of sf0.01 with exact weights: every link is found, and classes hold nothing else."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    pairs = brute.weighted_pairs(rows)
+    label = {i: i for i, _ in rows}
+    find = lambda x: x if label[x] == x else find(label[x])
+    first = {}
+    links = [p for p, s in pairs.items() if max(s) >= 0.8] + [(first.setdefault(t, i), i) for i, t in rows]
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        label[b] = a
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i, _ in rows}
+    assert sum(s[0] >= 0.8 for s in pairs.values()) > 50
+
+
 def test_near_duplicate_strays_are_compared(spark):
     """Texts that share a passage, one pair of them close: the pair is found though neither is near the least id."""
     passage = " ".join(f"p{k}" for k in range(60))
