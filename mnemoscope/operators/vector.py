@@ -19,6 +19,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _nearest(ids: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) [query, k] of the best of a slice, by score and then the lesser id; only the k are sorted."""
+    by_id = np.argsort(ids, kind="stable")
+    ids, cosine = ids[by_id], cosine[:, by_id]
+    # Scores have nine decimals: as integers with the place in the order of ids behind them, no two are equal.
+    key = (-np.rint(cosine * 1e9).astype(np.int64) << 12) + np.arange(len(ids))
+    k = min(k, len(ids))
+    best = np.argpartition(key, k - 1, axis=1)[:, :k]
+    best = np.take_along_axis(best, np.argsort(np.take_along_axis(key, best, 1), axis=1), 1)
+    return ids[best], np.take_along_axis(cosine, best, 1)
+
+
 def _search(shared, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, asked = shared.value
@@ -32,11 +44,12 @@ def _search(shared, k: int):
                 cosine = asked @ x.T / np.where(size > 0, size, 1) / np.where(norms > 0, norms, 1)[:, None]
                 cosine[:, size == 0] = 0
                 cosine = np.round(cosine, 9)
-                own = np.broadcast_to(part.column("id").to_numpy(zero_copy_only=False), cosine.shape)
+                new = _nearest(part.column("id").to_numpy(zero_copy_only=False), cosine, k)
                 if held:
-                    own, cosine = np.concatenate([held[0], own], 1), np.concatenate([held[1], cosine], 1)
-                order = np.lexsort((own, -cosine))[:, :k]
-                held = np.take_along_axis(own, order, 1), np.take_along_axis(cosine, order, 1)
+                    own, cosine = np.concatenate([held[0], new[0]], 1), np.concatenate([held[1], new[1]], 1)
+                    order = np.lexsort((own, -cosine))[:, :k]
+                    new = np.take_along_axis(own, order, 1), np.take_along_axis(cosine, order, 1)
+                held = new
         if held and len(ids):
             n = held[0].shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(held[0].ravel()), pa.array(held[1].ravel())], names=["query_id", "id", "score"])

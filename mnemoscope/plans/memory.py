@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import ranking
+from .filters_joins import USEFUL_TOKENS_SQL, useful_tokens
 from .registry import query
 from .views import NOW, days_before_now, edges, facts, nodes, now, observations, receipts, table, turns
 
@@ -69,6 +72,38 @@ def flt_with_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir).where((F.trim("provenance") != "") & (p["kind"] == "file_line")).select("src", "dst", "type")
 
 
+@query("SELECT id FROM observations WHERE contains(lower(summary), 'license') OR contains(lower(kind), 'plan') OR contains(lower(scope), 'wiki') OR contains(lower(label), 'remember')")
+def flt_any_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of which one of four columns holds its asked term, whatever the case."""
+    asked = {"summary": "license", "kind": "plan", "scope": "wiki", "label": "remember"}
+    hit = reduce(Column.__or__, (F.contains(F.lower(c), F.lit(term)) for c, term in asked.items()))
+    return observations(spark, sf_dir).where(hit).select("id")
+
+
+@query("SELECT id, ts, rank FROM (SELECT id, epoch(ts)::BIGINT AS ts, row_number() OVER (ORDER BY ts DESC, id DESC) AS rank FROM observations WHERE kind = 'decision') WHERE rank <= 20")
+def flt_timeline_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest twenty rows of a kind."""
+    o = observations(spark, sf_dir).where("kind = 'decision'").select("kind", "id", F.unix_timestamp("ts").alias("ts"))
+    return ranking.best(o, 20, by=[F.desc("ts"), F.desc("id")], groups=["kind"]).select("id", "ts", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {USEFUL_TOKENS_SQL} SELECT a.event_id AS left_id, b.event_id AS right_id, count(*) AS shared FROM useful a JOIN useful b
+    ON a.session_id = b.session_id AND a.token = b.token AND a.event_id < b.event_id WHERE a.session_id % 100 = 0 GROUP BY 1, 2 HAVING count(*) >= 2""")
+def jon_session_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of turns of one asked session (ids divisible by 100) with two shared useful tokens or more."""
+    t = useful_tokens(spark, sf_dir).where("session_id % 100 = 0").select("session_id", "token", "event_id")
+    other = t.select("session_id", "token", F.col("event_id").alias("right_id"))
+    pairs = t.join(other, ["session_id", "token"]).where("event_id < right_id")
+    return pairs.groupBy(F.col("event_id").alias("left_id"), "right_id").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+
+
+@query("SELECT n.node_id, e.type, count(*) AS n, min(e.dst) AS first_dst FROM nodes n JOIN edges e ON e.src = n.node_id WHERE n.node_type IN ('nation', 'order') AND n.node_id NOT LIKE '%9' GROUP BY 1, 2")
+def grf_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What asked nodes point to: for each kind of edge how many targets, and the least."""
+    asked = nodes(spark, sf_dir).where("node_type in ('nation', 'order') and node_id not like '%9'").select("node_id")
+    return edges(spark, sf_dir).join(asked, F.col("src") == F.col("node_id")).groupBy("node_id", "type").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("first_dst"))
+
+
 # Text and JSON
 
 
