@@ -176,8 +176,11 @@ def token_pair_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     with one pair of tokens, if there is more than one session, each event is
     linked, directly or by way of an event of another session, to every other; a
     star around the least id says the same. So work grows with events, not with pairs.
+    Tokens that one session of a scope has to itself link nothing and go first.
     """
-    t = useful_tokens(spark, sf_dir).groupBy("scope", "session_id", "event_id").agg(F.array_sort(F.collect_list("token")).alias("x"))
+    t = useful_tokens(spark, sf_dir)
+    met = t.groupBy("scope", "token").agg(F.min("session_id").alias("s0"), F.max("session_id").alias("s1")).where("s0 < s1").select("scope", "token")
+    t = t.join(met, ["scope", "token"], "left_semi").groupBy("scope", "session_id", "event_id").agg(F.array_sort(F.collect_list("token")).alias("x"))
     second = lambda i: F.transform(F.slice("x", i + 2, F.size("x")), lambda other: F.xxhash64(F.get("x", i), other))
     pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("x") - 2), second))
     each = t.where(F.size("x") >= 2).select("scope", "session_id", "event_id", F.explode(pairs).alias("pair"))
