@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# A key with more than this part of all rows is hot; there can't be more hot keys than this.
+HOT_KEYS = 1000
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's spark.checkpoint.dir; set a folder only where none is named."""
     context = spark.sparkContext
@@ -51,20 +55,54 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, *, depth: int) -> DataFra
     return reached
 
 
+def frequent_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """(key): those with more than a ``1 / HOT_KEYS`` share of ``total`` rows, thus fewer than ``HOT_KEYS``."""
+    return rows.groupBy(key).count().where(F.col("count") > total / HOT_KEYS).select(key).checkpoint()
+
+
+def joined_by_hot_key(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join of ``rows`` with ``values`` (one row a key); no key's rows are dealt to one task.
+
+    The values of the ``hot`` keys, fewer than ``HOT_KEYS``, are broadcast, so the rows that
+    have these keys stay where they are; the other rows are shuffled by key.
+    """
+    cold = rows.join(F.broadcast(hot), key, "left_anti").join(values, key)
+    return cold.unionByName(rows.join(F.broadcast(values.join(F.broadcast(hot), key)), key))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of ``links`` (a, b) is connected with.
 
     Every round takes the least label of the neighbours, then the label of that
-    label; rounds are checkpointed, so an executor's loss costs one round.
+    label; rounds are checkpointed, so an executor's loss costs one round.  A hub and
+    a label that many nodes have reached already are joined as hot keys.
     """
     ensure_checkpoint_dir(links.sparkSession)
     both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")).checkpoint()
+    labels = (
+        both.groupBy(F.col("a").alias("node"))
+        .agg(F.min("b").alias("low"))
+        .select("node", F.least("node", "low").alias("label"))
+        .checkpoint()
+    )
+    hubs, nodes = frequent_keys(both, "b", both.count()), labels.count()
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        low = labels.join(heard, "node").select("node", F.least("label", "heard").alias("low"), F.col("label").alias("old")).checkpoint()
+        heard = (
+            joined_by_hot_key(both, labels.select(F.col("node").alias("b"), "label"), "b", hubs)
+            .groupBy(F.col("a").alias("node"))
+            .agg(F.min("label").alias("heard"))
+        )
+        low = (
+            labels.join(heard, "node")
+            .select("node", F.least("label", "heard").alias("low"), F.col("label").alias("old"))
+            .checkpoint()
+        )
         onward = low.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        new = low.join(onward, "low").select("node", F.least("low", "next").alias("label"), "old").checkpoint()
+        new = (
+            joined_by_hot_key(low, onward, "low", frequent_keys(low, "low", nodes))
+            .select("node", F.least("low", "next").alias("label"), "old")
+            .checkpoint()
+        )
         if new.where("label <> old").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")

@@ -66,9 +66,12 @@ def test_neighbourhood(spark):
     assert got == {"d": 0, "c": 1, "a": 2, "b": 2}
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("hot_keys", [1000, 4])
+def test_components_of_chains_and_stars(spark, monkeypatch, hot_keys):
+    # With 1,000 every key of so few rows is hot, with 4 only the hub of the star is.
+    monkeypatch.setattr(graph, "HOT_KEYS", hot_keys)
     r = random.Random(3)
-    links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 90)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
     parent = {x: x for pair in links for x in pair}
 
     def find(x):
