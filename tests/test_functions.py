@@ -1,9 +1,12 @@
 """Column functions on small cases."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from mnemoscope.functions import scoring, text
+from mnemoscope.functions import json_text, scoring, text
+from mnemoscope.plans import cards
 
 
 def column(spark, values, kind="string"):
@@ -102,3 +105,38 @@ def test_link_confidence(spark):
     assert f("receipt_co_selection", 3.0, 2.0, 1.0, 1.0, 4.0) == 0.95
     assert f("lexical_fallback", 9.0, 9.0, 9.0, 0.5, 2.0) == pytest.approx(0.46 + 0.1 + 0.055)
     assert f("lexical_backfill_low_confidence", 0.0, 0.0, 0.0, 0.0, 0.0) == 0.3
+
+
+def test_nested_json_texts(spark):
+    deep = "[" * 3000 + "1" + "]" * 3000
+    rows = [
+        ("a  b", '{"z": ["q", 2, true, null], "a": {"k": "a b"}}', "no json  here"),
+        (None, None, ""),
+        ("", "{}", '["x", "x"]'),
+        ("s", '"' + "y" * 500 + '"', "[" + ",".join(f'"{i:0399}"' for i in range(60)) + "]"),
+        ("deep", deep, None),
+    ]
+    f = spark.createDataFrame(rows, "s string, p string, r string")
+    got = [x[0] for x in f.select(json_text.search_text(F.col("s"), F.col("p"), F.col("r"))).collect()]
+    assert got[:3] == ["a b\nq\n2\nno json here", "", "x"]
+    assert got[3].startswith("s\n" + "y" * 400 + "\n") and len(got[3]) == 2400
+    assert got[4].startswith("deep\n")
+    assert [x[0] for x in f.select(json_text.spoken(F.col("p"))).collect()][:3] == ["z q 2 True a k a b", "", ""]
+
+
+def test_bounded_payloads(spark):
+    many = "{" + ",".join(f'"k{i:02}": {i}' for i in range(50)) + "}"
+    rows = [(None,), ("null",), ("{",), ('["' + "é" * 5000 + '"]',), (many,), ('{"t": "call +49 170 1234567 now"}',), ("[" + "7," * 60 + "7]",)]
+    got = [x[0] for x in spark.createDataFrame(rows, "p string").select(json_text.bounded(F.col("p"))).collect()]
+    assert got[:3] == [None, None, None]
+    assert json.loads(got[3])["original_bytes"] == 4 + 2 * 4096 + 3 and len(got[3].encode()) <= 4096
+    kept = json.loads(got[4])
+    assert kept["_truncated_items"] is True and len(kept) == 49 and "k48" not in kept
+    assert got[5] == '{"t":"call [REDACTED_PHONE] now"}'
+    assert json.loads(got[6]) == [7] * 48
+
+
+def test_source_review_edges(spark):
+    rows = [(None,), ("",), (" \r\n\n",), ("\n".join(f"todo: {i}" for i in range(20)) + "\npassword",), ("Decision:\n決定：做\nfollow-up - x",)]
+    got = [tuple(x[0]) for x in spark.createDataFrame(rows, "b string").select(cards.source_review(F.col("b"))).collect()]
+    assert got == [(0, 0, 0, 0, 0)] * 3 + [(21, 12, 11, 1, 0), (3, 2, 1, 0, 0)]
