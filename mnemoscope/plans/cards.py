@@ -1,4 +1,4 @@
-"""Synthesis cards, shadow logs, routes, source reviews, drafts and texts of nested JSON."""
+"""Synthesis cards, shadow logs, routes, source reviews, drafts, second opinions and texts of nested JSON."""
 
 from __future__ import annotations
 
@@ -191,6 +191,68 @@ def agg_cluster_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.join(tokens, F.col("session_id") == F.col("s"), "left").select("session_id", draft.alias("draft"))
 
 
+# Second opinions
+
+#: From which score on a downshift is looked at by a person, and which shift is small enough to apply unseen. Fixed values.
+HIGHER_VALUE, SMALL_SHIFT, STRONG_REUSE = 0.50, 0.10, 2
+#: The age that proposals of this query count as stale.
+STALE_DAYS = 60
+
+
+def challenged(code: Column, delta: Column, score: Column, age: Column, uses: Column, label_agrees: Column) -> Column:
+    """Struct of risk (low, medium, high) and reasons for a proposed change of importance; null evidence is weak evidence.
+
+    A label that doesn't go with the new score, or an unknown reason code, is high by
+    itself; else every doubt makes it medium and every test says how it went.
+    """
+    stale, reuse = code == "stale_pressure", code == "reuse_signal"
+    aligned = code == "label_alignment"
+    old, used = F.coalesce(age >= STALE_DAYS, F.lit(False)), F.coalesce(uses, F.lit(0))
+    # (applies to, is a doubt, reason if so, reason if not)
+    tests = (
+        (F.lit(True), F.abs(delta) > SMALL_SHIFT + 1e-9, "importance_delta_exceeds_auto_apply_cap", "bounded_importance_delta"),
+        (stale, ~old, "staleness_evidence_weak", "age_threshold_met"),
+        (stale, used > 0, "recent_use_conflict", "no_recent_use_conflict"),
+        (stale, F.coalesce(score >= HIGHER_VALUE, F.lit(False)), "higher_value_memory_requires_review", None),
+        (reuse, used < STRONG_REUSE, "reuse_signal_not_strong_enough", "reuse_signal_confirmed"),
+        (aligned, delta != 0, "label_alignment_should_not_move_score", "label_alignment_only"),
+    )
+    doubts = [on & doubt for on, doubt, _, _ in tests]
+    said = F.array(*(F.when(on, F.when(doubt, yes).otherwise(F.lit(no))) for on, doubt, yes, no in tests))
+    known = F.coalesce(stale | reuse | aligned, F.lit(False))
+    blocked = F.when(~label_agrees, "importance_label_mismatch").when(~known, "invalid_importance_reason_code")
+    return F.struct(
+        F.when(blocked.isNotNull(), "high").when(F.exists(F.array(*doubts), lambda x: x), "medium").otherwise("low").alias("risk"),
+        F.when(blocked.isNotNull(), F.array(blocked)).otherwise(F.array_compact(said)).alias("reasons"),
+    )
+
+
+_PROPOSED = """CASE id % 4 WHEN 0 THEN 'stale_pressure' WHEN 1 THEN 'reuse_signal' WHEN 2 THEN 'label_alignment' ELSE CASE WHEN id % 8 = 3 THEN 'stale_pressure' ELSE 'guess' END END"""
+_DELTA = "CASE id % 4 WHEN 0 THEN -10 WHEN 1 THEN 5 WHEN 2 THEN CASE WHEN id % 5 = 0 THEN 5 ELSE 0 END ELSE -20 END"
+
+
+@query(f"""
+    WITH p AS (SELECT id, {_PROPOSED} AS code, {_DELTA} AS d, id % 101 AS score, id % 400 AS age, id % 7 AS uses, id % 11 <> 0 AS agrees FROM observations WHERE score IS NOT NULL),
+        r AS (SELECT id, code, CASE WHEN NOT agrees THEN ['importance_label_mismatch'] WHEN code = 'guess' THEN ['invalid_importance_reason_code'] ELSE list_filter([
+            CASE WHEN abs(d) > 10 THEN 'importance_delta_exceeds_auto_apply_cap' ELSE 'bounded_importance_delta' END,
+            CASE WHEN code = 'stale_pressure' THEN CASE WHEN age < 60 THEN 'staleness_evidence_weak' ELSE 'age_threshold_met' END END,
+            CASE WHEN code = 'stale_pressure' THEN CASE WHEN uses > 0 THEN 'recent_use_conflict' ELSE 'no_recent_use_conflict' END END,
+            CASE WHEN code = 'stale_pressure' AND score >= 50 THEN 'higher_value_memory_requires_review' END,
+            CASE WHEN code = 'reuse_signal' THEN CASE WHEN uses < 2 THEN 'reuse_signal_not_strong_enough' ELSE 'reuse_signal_confirmed' END END,
+            CASE WHEN code = 'label_alignment' THEN CASE WHEN d <> 0 THEN 'label_alignment_should_not_move_score' ELSE 'label_alignment_only' END END], lambda x: x IS NOT NULL) END AS reasons FROM p)
+    SELECT id, code, array_to_string(reasons, ',') AS reasons, CASE WHEN list_has_any(reasons, ['importance_label_mismatch', 'invalid_importance_reason_code']) THEN 'high'
+        WHEN list_has_any(reasons, ['importance_delta_exceeds_auto_apply_cap', 'staleness_evidence_weak', 'recent_use_conflict', 'higher_value_memory_requires_review', 'reuse_signal_not_strong_enough', 'label_alignment_should_not_move_score'])
+        THEN 'medium' ELSE 'low' END AS risk FROM r
+""")
+def rev_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second opinion on a proposed change of each scored row's importance."""
+    o = observations(spark, sf_dir).where("score is not null")
+    i = F.col("id")
+    p = o.select("id", "score", "used_count", F.expr(_PROPOSED).alias("code"), (F.expr(_DELTA) / 100.0).alias("delta"))
+    said = challenged(F.col("code"), F.col("delta"), F.col("score"), i % 400, F.col("used_count"), i % 11 != 0)
+    return p.select("id", "code", said.alias("s")).select("id", "code", F.array_join("s.reasons", ",").alias("reasons"), F.col("s.risk").alias("risk"))
+
+
 # Nested JSON
 
 _INNER_SQL = """CASE event_id % 4 WHEN 0 THEN 'Stale' WHEN 1 THEN '2024-01-01' WHEN 2 THEN 'odd'

@@ -140,3 +140,11 @@ def test_source_review_edges(spark):
     rows = [(None,), ("",), (" \r\n\n",), ("\n".join(f"todo: {i}" for i in range(20)) + "\npassword",), ("Decision:\n決定：做\nfollow-up - x",)]
     got = [tuple(x[0]) for x in spark.createDataFrame(rows, "b string").select(cards.source_review(F.col("b"))).collect()]
     assert got == [(0, 0, 0, 0, 0)] * 3 + [(21, 12, 11, 1, 0), (3, 2, 1, 0, 0)]
+
+
+def test_challenger_needs_evidence(spark):
+    rows = [("stale_pressure", -0.1, 0.4, None, None, True), ("stale_pressure", -0.1, None, 90, 0, True), (None, 0.0, 0.4, 1, 1, True), ("reuse_signal", 0.1, 0.9, None, None, True)]
+    f = spark.createDataFrame(rows, "code string, delta double, score double, age int, uses int, agrees boolean")
+    got = [r[0] for r in f.select(cards.challenged(*(F.col(c) for c in f.columns))).collect()]
+    assert [g.risk for g in got] == ["medium", "low", "high", "medium"]
+    assert "staleness_evidence_weak" in got[0].reasons and got[2].reasons == ["invalid_importance_reason_code"]
