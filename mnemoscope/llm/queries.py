@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mixing, near_dup, quality_rules, secret_scan, site_quality, substring_dedup, toxicity, warc_zip
+from . import decontaminate, license_scan, mixing, near_dup, piece_tokens, quality_rules, secret_scan, site_quality, substring_dedup, toxicity, warc_zip
 from .oracle import ORACLE_SQL
 from .session import delete_folder, shared_folder
 
@@ -75,10 +75,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's file is read by the driver alone; its pieces go to the executors."""
+    import public_tokenizers
+
+    pieces = piece_tokens.load(public_tokenizers.path("piece_bpe_32k.model"))
+    tokens = piece_tokens.decode(piece_tokens.encode(table(spark, sf_dir, "documents"), pieces), pieces)
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("text")).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_license_scan, op3_site_quality, op4_near_dup, op5_warc_zip,
         op6_secret_scan, op7_toxicity, op8_mixing, op9_substring_dedup, op10_decontaminate,
+        op13_piece_tokens,
     )
 }
