@@ -9,6 +9,7 @@ from __future__ import annotations
 from .mixing import MAX_EPOCHS
 from .quality_rules import MIN_GROUP, MIN_WORDS, SPREAD, SUB_BITS, TAIL
 from .secret_scan import RULES
+from .spelling import LENGTH, LETTERS, NOISE, OCCURRENCES, TIMES
 
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
@@ -106,4 +107,21 @@ SELECT doc_id, item_id, n::INTEGER AS n_shingles, count(*)::INTEGER AS n_found,
 UNION ALL SELECT doc_id, item_id, 1, 1, 1.0 FROM d JOIN s ON contains(' ' || array_to_string(d.words, ' ') || ' ', run)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op5_warc_zip": _OP5, "op6_secret_scan": _OP6, "op8_mixing": _OP8, "op9_substring_dedup": _OP9, "op10_decontaminate": _OP10}
+#: CRC-32 of text up to U+07FF, byte by byte and bit by bit.
+_CRC32 = """xor(list_reduce(flatten(list_transform(string_split({0}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [192::BIGINT + unicode(ch) // 64, 128::BIGINT + unicode(ch) % 64] END)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, (x & 1) * 3988292384)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+_OP12 = f"""
+WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(unnest(regexp_extract_all(coalesce(text, ''), '[{LETTERS}]{{{LENGTH},}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+k AS (SELECT doc, run, count(*) AS n FROM r GROUP BY ALL), h AS (SELECT run, n, {_CRC32.format("doc || ':' || run")} AS h FROM k),
+e AS (SELECT CASE WHEN h % {NOISE} = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM e WHERE length(word) >= {LENGTH} GROUP BY word HAVING sum(n) >= {OCCURRENCES}),
+d AS (SELECT word, left(word, i - 1) || '_' || substr(word, i + 1) AS gap, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other FROM d a JOIN d b ON a.gap = b.gap AND a.word <> b.word UNION SELECT d.word, w.word FROM d JOIN w ON d.less = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.less = w.word),
+b AS (SELECT p.word, count(*)::BIGINT AS n_near, arg_min(struct_pack(n := w.n, word := p.other), struct_pack(n := -w.n, word := p.other)) AS best FROM p JOIN w ON w.word = p.other GROUP BY p.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= {TIMES} * w.n THEN best.word END AS form, CASE WHEN best.n >= {TIMES} * w.n THEN best.n END AS form_n FROM w LEFT JOIN b ON b.word = w.word),
+t AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT t.word, f.form, step + 1 FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, arg_max(t.root, t.step) AS root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word GROUP BY ALL
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op5_warc_zip": _OP5, "op6_secret_scan": _OP6, "op8_mixing": _OP8, "op9_substring_dedup": _OP9, "op10_decontaminate": _OP10, "op12_spelling_variants": _OP12}
