@@ -124,4 +124,19 @@ t AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT t.word, f.for
 SELECT f.word, f.form, arg_max(t.root, t.step) AS root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word GROUP BY ALL
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op5_warc_zip": _OP5, "op6_secret_scan": _OP6, "op8_mixing": _OP8, "op9_substring_dedup": _OP9, "op10_decontaminate": _OP10, "op12_spelling_variants": _OP12}
+_OP11 = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS i, k, size FROM (
+    SELECT conv_id, turn, left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS k, length(coalesce(text, ''))::BIGINT AS size FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, {_CRC32.format('conv_id::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, i, k, size FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND i <= h UNION ALL SELECT c.conv_id, 1, i, k, size FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+p AS (SELECT conv_id, row_number() OVER o AS d, md5(string_agg(k, '') OVER o) AS prefix, size FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY part, i ROWS UNBOUNDED PRECEDING) UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS (SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size FROM p GROUP BY d, prefix),
+e AS (SELECT d, prefix, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS top FROM p) WHERE d = top GROUP BY d, prefix),
+u AS (SELECT n.*, q.prefix AS above FROM n LEFT JOIN p q ON q.conv_id = n.conv_id AND q.d = n.d - 1),
+k AS (SELECT d - 1 AS d, above AS prefix, count(*) AS n FROM u WHERE d > 0 GROUP BY ALL),
+s AS (SELECT a.d, a.prefix, sum((u.n_convs - 1) * u.size)::BIGINT AS saved, count(*) FILTER (k.n IS NULL) AS leaves FROM u LEFT JOIN k USING (d, prefix) JOIN p a ON a.conv_id = u.conv_id AND a.d <= u.d GROUP BY a.d, a.prefix)
+SELECT u.conv_id, u.d AS depth, v.conv_id AS parent_conv_id, u.n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM u LEFT JOIN u v ON v.d = u.d - 1 AND v.prefix = u.above LEFT JOIN k ON k.d = u.d AND k.prefix = u.prefix LEFT JOIN e ON e.d = u.d AND e.prefix = u.prefix JOIN s ON s.d = u.d AND s.prefix = u.prefix
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op5_warc_zip": _OP5, "op6_secret_scan": _OP6, "op8_mixing": _OP8, "op9_substring_dedup": _OP9, "op10_decontaminate": _OP10, "op11_prefix_trie": _OP11, "op12_spelling_variants": _OP12}

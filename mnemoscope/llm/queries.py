@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mixing, near_dup, piece_tokens, quality_rules, secret_scan, site_quality, spelling, substring_dedup, toxicity, warc_zip
+from . import decontaminate, license_scan, mixing, near_dup, piece_tokens, prefix_trie, quality_rules, secret_scan, site_quality, spelling, substring_dedup, toxicity, warc_zip
 from .oracle import ORACLE_SQL
 from .session import delete_folder, shared_folder
 
@@ -75,6 +75,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt_paths(table(spark, sf_dir, "conversations")))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -96,6 +100,6 @@ QUERIES = {
     for f in (
         op1_quality_rules, op2_license_scan, op3_site_quality, op4_near_dup, op5_warc_zip,
         op6_secret_scan, op7_toxicity, op8_mixing, op9_substring_dedup, op10_decontaminate,
-        op12_spelling_variants, op13_piece_tokens,
+        op11_prefix_trie, op12_spelling_variants, op13_piece_tokens,
     )
 }
