@@ -58,16 +58,29 @@ def _plain(pattern: str) -> str:
     return head + "(" + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in body) + ")" + tail
 
 
+#: The two rules that need possessive repeats or a look ahead, without them.  A base64 run at the end of its line is
+#: followed by the mark that ``marked`` puts there; marks don't count in positions.
+_MARK = "\uf8ff"
+_SPACE, _KEY = rf"(?:[\x20\x09-\x0D{_MARK}]|\\[nr])+", "-----{0} [A-Z ]{{0,20}}PRIVATE KEY-----"
+_WITHOUT_LOOK = {
+    "private_key": f"{_KEY.format('BEGIN')}(?:(?:-{{0,4}}[^-])*{_KEY.format('END')}|(?:{_SPACE}(?:(?:Proc-Type|DEK-Info):[^\\r\\n]*|[A-Za-z0-9+/=]{{16,}}|[A-Za-z0-9+/=]+{_MARK}))*)",
+    "url_login": r"://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@",
+}
+
+
 def _rule_sql(r, rank: int) -> str:
-    p = _plain(r.pattern).replace("((", "(", 1).replace("))", ")", 1) if r.group else _plain(r.pattern)
+    p = _WITHOUT_LOOK.get(r.name) or _plain(r.pattern)
+    if r.group:  # one group, for the secret
+        p = p.replace("((", "(", 1).replace("))", ")", 1)
     p = p.replace("'", "''")
-    secret = f"regexp_extract_all(text, '{p}', {r.group})"
-    return f"""SELECT doc_id, '{r.name}' AS rule, {rank} AS rank, {r.least} AS least, regexp_split_to_array(text, '{p.replace("([", "(?:[").replace("([P", "(?:[P") if r.group else p}') AS gaps, regexp_extract_all(text, '{p}', 0) AS found, {secret} AS secret FROM d"""
+    gaps = p.replace("([", "(?:[") if r.group else p
+    text = "marked" if r.name == "private_key" else "text"
+    return f"""SELECT doc_id, '{r.name}' AS rule, {rank} AS rank, {r.least} AS least, regexp_split_to_array({text}, '{gaps}') AS gaps, regexp_extract_all({text}, '{p}', 0) AS found, regexp_extract_all({text}, '{p}', {r.group}) AS secret FROM d"""
 
 
-_OP6 = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({' UNION ALL '.join(_rule_sql(r, i) for i, r in enumerate(RULES))}),
-e AS (SELECT doc_id, rule, rank, least, unnest(range(1, len(found) + 1)) AS i, unnest(found) AS f, unnest(secret) AS s, unnest(gaps[1:len(found)]) AS g FROM m WHERE len(found) > 0),
+_OP6 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '([A-Za-z0-9+/=])([\x20\x09]*(?:[\r\n]|\\[nr]|$))', '\1{_MARK}\2', 'g') AS marked FROM documents), m AS ({' UNION ALL '.join(_rule_sql(r, i) for i, r in enumerate(RULES))}),
+e AS (SELECT doc_id, rule, rank, least, unnest(range(1, len(found) + 1)) AS i, replace(unnest(found), '{_MARK}', '') AS f, unnest(secret) AS s, replace(unnest(gaps[1:len(found)]), '{_MARK}', '') AS g FROM m WHERE len(found) > 0),
 x AS (SELECT *, sum(length(g) + length(f)) OVER (PARTITION BY doc_id, rule ORDER BY i) AS stop FROM e),
 y AS (SELECT doc_id, rule, rank, stop - length(f) AS start, rule || ':' || (stop - length(f)) || ':' || stop AS span FROM x WHERE length(s) >= least),
 z AS (SELECT doc_id, count(*) FILTER (rule = 'assign') AS n_assign, count(*) FILTER (rule = 'access') AS n_access, count(*) FILTER (rule = 'hex') AS n_hex, string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM y GROUP BY doc_id)
