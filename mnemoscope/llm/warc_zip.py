@@ -291,6 +291,7 @@ def read_archives(archives: DataFrame, folder: str, *, payloads: bool = True) ->
 
 def archive_folder(spark) -> str:
     """A new folder below the checkpoint directory, as a URI."""
-    base = shared_folder(spark)
-    base = base if "://" in base or base.startswith("file:") else f"file://{base}"
-    return f"{base.replace('file:///', 'file:/').replace('file:/', 'file:///')}/archives-{uuid.uuid4().hex}"
+    # Named in full, as a folder without a scheme is on the cluster's default file system, not on this machine's.
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}")
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
