@@ -65,7 +65,7 @@ def counts_of(piece: tx.Slice) -> dict[str, np.ndarray]:
     row = np.searchsorted(piece.bounds[1:], start, "right")
     some = (np.searchsorted(words.start, start) < np.searchsorted(words.start, end)) & (row < n)
     start, end, row = start[some], end[some], row[some]
-    line = tx.mix(tx.span_hash(words.prefix, start, end) ^ (row.astype(tx.U64) * tx.U64(0x9E3779B97F4A7C15)))
+    line = tx.mix(words.stretches(start, end) ^ (row.astype(tx.U64) * tx.U64(0x9E3779B97F4A7C15)))
     _, first = np.unique(line, return_index=True)
     lines = np.bincount(row, minlength=n)
     dup = lines - np.bincount(row[first], minlength=n)

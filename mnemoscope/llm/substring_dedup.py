@@ -178,8 +178,8 @@ def _emit(width: int, gram: int, shared) -> object:
                 if not len(at):
                     continue
                 h1 = tx.span_hash(windows.running, at, at + width)
-                # A second hash of other values of the same words.
-                other = tx.running(tx.mix(words.hash ^ tx.U64(_SEEDS[0])))
+                # A second hash, of other hashes of the words.
+                other = tx.running(words.stretches(words.start, words.end, 1))
                 h2 = tx.span_hash(other, at, at + width)
                 u1, u2 = (part.column(u).to_numpy(zero_copy_only=False)[words.row[at]] for u in ("u1", "u2"))
                 pos = (at - words.first[words.row[at]]).astype(np.int32)
@@ -244,7 +244,7 @@ def _minimisers(width: int, gram: int, bits: int):
 
 
 def _answers(docs: DataFrame, merged: DataFrame, width: int, gram: int, bits: int) -> DataFrame:
-    """(u1, u2, passed) of the documents (u1, u2, text) of which minimisers pass all rows of the sketch."""
+    """(u1, u2, passed) of the documents (u1, u2, text) of which minimisers pass all rows of the sketch; repeated rows ask and are answered once."""
     places = ", ".join(f"block{r} long, cell{r} int" for r in range(ROWS))
     asked = docs.mapInArrow(_minimisers(width, gram, bits), f"u1 long, u2 long, value long, {places}")
     for r in range(ROWS):
@@ -252,6 +252,8 @@ def _answers(docs: DataFrame, merged: DataFrame, width: int, gram: int, bits: in
         held = merged.select(F.col("block").alias("b"), "bits").hint("merge")
         two = F.getbit(F.get("bits", F.shiftright(F.col(f"cell{r}"), 6)), F.col(f"cell{r}").bitwiseAND(F.lit(63))) == 1
         asked = asked.join(held, (F.col(f"block{r}") == F.col("b")) & two).select(*asked.columns)
+        if r == 0:
+            asked = asked.distinct()
     return asked.groupBy("u1", "u2").agg(F.collect_list("value").alias("passed"))
 
 

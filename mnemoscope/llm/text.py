@@ -5,9 +5,11 @@ quarter of a megabyte and find words, word hashes and n-gram hashes with NumPy,
 Python code runs per word.  UTF-8 guarantees that a separator byte below 0x80
 never occurs inside another character, which makes bytes enough to find words.
 
-Hashes are 64 bits: a polynomial over the bytes with a random value for each
-byte, then a finalising mix.  They depend on content alone, never on the
-process, so tasks on different machines agree.
+Hashes are 64 bits.  That of a word or line sums a mixed value of each byte and its
+place, so no text is built that collides whatever the constants are, as there is for a
+polynomial modulo 2**64 (two complementary Thue-Morse words of 1,024 letters).  Runs of
+words are a polynomial over such hashes; they are far shorter than what that takes.  All
+depend on content alone, never on the process, so tasks on different machines agree.
 """
 
 from __future__ import annotations
@@ -64,6 +66,29 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U64))
 
 
+_PLACES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+_places: dict[int, np.ndarray] = {}
+
+
+def stretch_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of values[start:end] for each pair, none of them empty; ``which`` of two independent hashes."""
+    if not len(start):
+        return np.zeros(0, U64)
+    size = end - start
+    first = np.cumsum(size) - size
+    every = np.arange(first[-1] + size[-1])
+    place = every - np.repeat(first, size)
+    have = _places.get(which)
+    if have is None or len(have) <= place.max():
+        have = _places[which] = mix(np.arange(1, max(1 << 12, int(place.max()) + 2), dtype=U64) * U64(_PLACES[which]))
+    with np.errstate(over="ignore"):
+        x = values[place + np.repeat(start, size)] + have[place]
+        x ^= x >> U64(29)
+        x *= U64(0xBF58476D1CE4E5B9)
+        x ^= x >> U64(32)
+        return mix(np.add.reduceat(x, first) + size.astype(U64))
+
+
 def _byte_set(*ranges: tuple[int, int]) -> np.ndarray:
     out = np.zeros(256, bool)
     for low, high in ranges:
@@ -151,9 +176,13 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = span_hash(self.prefix, self.start, self.end)
+            self._hash = self.stretches(self.start, self.end)
         return self._hash
 
+    def stretches(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+        """Hashes of bytes[start:end] under the rule; ``which`` of two independent ones."""
+        return stretch_hash(self.rule.value[self.piece.data], start, end, which)
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of every run of n words of one text."""
         at = np.flatnonzero(self.row[: max(0, len(self.row) - n + 1)] == self.row[n - 1 :])

@@ -384,3 +384,35 @@ def test_digest_columns(spark, sf_docs):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op9_substring_dedup(spark, SF).collect()}
     plain = brute.without_repeats([(r.doc_id, r.text) for r in sf_docs.collect()])
     assert got == {i: (n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in plain}
+
+
+def thue_morse(n):
+    word = "ab"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word[:n]
+
+
+@pytest.mark.parametrize("broadcast", [1 << 30, 0])
+def test_words_that_collide_under_polynomials(spark, monkeypatch, broadcast):
+    """Complementary Thue-Morse words have equal polynomials modulo 2**64; nothing repeats here."""
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", broadcast)
+    word = thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    around = lambda middle: " ".join([f"w{i}" for i in range(20)] + [middle] + [f"v{i}" for i in range(20)])
+    rows = [(1, around(word)), (2, around(other))]
+    assert rows_of(substring_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_removed") == [(1, 0), (2, 0)]
+    lines = quality_rules.judge(spark.createDataFrame([(1, f"{word}\n{other}\n{word}", "en", "s")], "doc_id long, text string, lang string, source string"))
+    assert [r.n_dup_lines for r in lines.collect()] == [1]
+
+
+def test_repeated_rows_ask_the_sketch_once(spark, monkeypatch):
+    """Equal rows send their minimisers once, and each gets its answer."""
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", 0)
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(7, text)] * 400 + [(8, "short one")], "doc_id long, text string")
+    asked = []
+    original = substring_dedup._answers
+    monkeypatch.setattr(substring_dedup, "_answers", lambda *a: asked.append(original(*a)) or asked[-1])
+    assert rows_of(substring_dedup.remove_repeated(docs), "doc_id", "n_removed") == [(7, 300)] * 400 + [(8, 0)]
+    assert [max(len(r.passed) for r in a.collect()) for a in asked] and max(len(r.passed) for r in asked[0].collect()) < 100
