@@ -15,9 +15,9 @@ band.  With 16 bands of 5 of either kind, a pair of which either similarity is 0
 shares a band with probability 0.998 at least, one of 0.9 always.
 
 Texts in one bucket of a band are candidates.  Copies are first reduced to one
-row for each distinct text.  In each bucket every text is compared with the least
-and the largest id, not with every other; verified links (below) are closed to
-components.  Where texts that met the same least id are still in several
+numbered row for each distinct text, and the texts of one document are linked.  In each
+bucket every text is compared with the least and the largest number, not with every other; verified links (below) are closed to
+components.  Where texts that met the same least number are still in several
 components, for instance those that share a common passage, the rest is done by
 prefix filtering, which loses no pair: a text's shingles are ordered from the
 rarest among these texts to the most frequent, and two texts of similarity
@@ -26,7 +26,7 @@ plain measure).  A passage that many texts share is frequent, so it is in no pre
 Texts of different components that share a prefix shingle held by at most ``FEW``
 texts are compared pair by pair.  Those that hold a more frequent one, whose texts
 are nearly all template, are compared in full with those of the same kind
-that met the same least id: blocks of about ``BLOCK`` texts are indexed by shingle, and
+that met the same least number: blocks of about ``BLOCK`` texts are indexed by shingle, and
 each text outside the leader's component is looked up in every block.  So each two
 texts that share a bucket end in one component, or have been compared, or can't
 be similar.
@@ -40,7 +40,8 @@ texts only.  Rows of one doc_id are one document; if their texts differ, they ar
 one class.  A text of fewer than ``SHINGLE`` words is one
 shingle.  Rows of equal text are one class, whatever their number.  A null
 doc_id takes a negative number made from its text, which also serves as class id
-if it is the least.  Extra columns are not read.
+if it is the least.  Ties don't matter: a similarity of exactly ``SIMILARITY`` links, and what is linked does not depend on the order of rows.  Very long texts are
+compared whole.  An empty table gives an empty table.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -182,7 +183,7 @@ def _sign(shared):
                 offsets = np.zeros(len(piece) + 1, np.int32)
                 offsets[have + 1] = keys.shape[1]
                 bands = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(tx.signed(keys.reshape(-1))))
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("c1"), part.column("c2"), bands], names=["node", "c1", "c2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("c1"), part.column("c2"), bands], names=["doc", "c1", "c2", "bands"])
 
     return rows
 
@@ -376,9 +377,12 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = SIMILARITY) ->
         F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(F.lit(2), body), 2)).alias("node"),
     )
     shared = spark.sparkContext.broadcast(document_frequencies(docs))
-    signed = docs.select("node", "c1", "c2", "text").mapInArrow(_sign(shared), "node long, c1 long, c2 long, bands array<long>").checkpoint()
-    # One row for each distinct text; its least id stands for all copies.
-    texts = signed.groupBy("c1", "c2").agg(F.min(F.struct("node", "bands")).alias("x")).select("c1", "c2", "x.node", "x.bands").checkpoint()
+    signed = docs.select(F.col("node").alias("doc"), "c1", "c2", "text").mapInArrow(_sign(shared), "doc long, c1 long, c2 long, bands array<long>").checkpoint()
+    # One row for each distinct text, numbered; all copies and all documents with this text stand behind it.
+    texts = (
+        signed.groupBy("c1", "c2").agg(F.min(F.struct("doc", "bands")).alias("x"), F.count(F.lit(1)).alias("copies"))
+        .select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "x.doc", "copies", "x.bands").checkpoint()
+    )
     buckets = texts.select("node", F.explode("bands").alias("key"))
     # Only buckets of two texts or more, with the two leaders of each.
     shared_keys = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
@@ -389,30 +393,44 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = SIMILARITY) ->
         .distinct().checkpoint()
     )
     # Texts that share a bucket, once; both verification steps read them.
-    candidates = members.select("node").distinct()
-    own_text = docs.select("node", "text").join(candidates, "node").checkpoint()
-    links = verified(own_text, pairs, shared, threshold).checkpoint()
+    wanted = texts.join(members.select("node").distinct(), "node").select("node", "c1", "c2", F.col("doc").alias("d"), "copies")
+    rows = docs.select("node", "c1", "c2", "text").withColumnRenamed("node", "d").join(wanted, ["c1", "c2", "d"]).select("node", "copies", "text")
+    # A row can only be repeated if its text is.
+    own_text = rows.where("copies = 1").select("node", "text").union(rows.where("copies > 1").select("node", "text").dropDuplicates(["node"])).checkpoint()
+    links = verified(own_text, pairs, shared, threshold).union(_texts_of_one_document(signed, texts)).checkpoint()
     labels = components(links)
     met = members.select(F.col("low").alias("lead"), "node").where("lead <> node").distinct()
     extra = links_between_components(own_text, met, labels, shared, threshold).checkpoint()
     if not extra.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(extra))
-    classes = texts.join(labels, "node", "left").select("c1", "c2", F.coalesce("label", "node").alias("class_id"))
+    classed = texts.select("c1", "c2", "node", "doc").join(labels, "node", "left").select("c1", "c2", "doc", F.coalesce("label", "node").alias("label"))
+    least = classed.groupBy("label").agg(F.min("doc").alias("class_id"))
+    classes = classed.join(least, "label").select("c1", "c2", "class_id")
     return docs.select("doc_id", "node", "c1", "c2").join(classes, ["c1", "c2"]).select("doc_id", "node", "class_id", "c1", "c2")
 
 
+def _texts_of_one_document(signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the texts of a document that has several."""
+    each = signed.groupBy("doc").agg(F.min(F.struct("c1", "c2")).alias("low"), F.max(F.struct("c1", "c2")).alias("high")).where("low <> high")
+    held = signed.join(each, "doc").select("low.c1", "low.c2", F.col("c1").alias("m1"), F.col("c2").alias("m2")).where("c1 <> m1 or c2 <> m2").distinct()
+    name = texts.select("c1", "c2", F.col("node").alias("a"))
+    return held.join(name, ["c1", "c2"]).join(texts.select(F.col("c1").alias("m1"), F.col("c2").alias("m2"), F.col("node").alias("b")), ["m1", "m2"]).select("a", "b")
+
+
 def keep_one(docs: DataFrame, *, threshold: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class, that of the least id; all columns stay.
 
     Of repeated rows (equal id) one stays, that with the least content hash.
     """
-    classes = near_duplicate_classes(docs, threshold=threshold).where("node = class_id").select("node").checkpoint()
-    key, keeper, rank = unused_names(docs, "key", "keeper", "rank")
-    keepers = classes.select(F.col("node").alias(keeper)).distinct()
+    # One content for each kept document, so that rows which repeat its id with other texts fall away.
+    classes = near_duplicate_classes(docs, threshold=threshold).where("node = class_id").groupBy("node").agg(F.min(F.struct("c1", "c2")).alias("c"), F.count(F.lit(1)).alias("n")).checkpoint()
+    key, keeper, again, c1, c2, b1, b2 = unused_names(docs, "key", "keeper", "again", "c1", "c2", "b1", "b2")
+    keepers = classes.select(F.col("node").alias(keeper), (F.col("n") > 1).alias(again), F.col("c.c1").alias(c1), F.col("c.c2").alias(c2))
     body = F.coalesce("text", F.lit(""))
     node = F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(F.lit(2), body), 2))
-    kept = docs.withColumn(key, node).join(keepers, F.col(key) == F.col(keeper), "left_semi")
-    if classes.groupBy("node").count().where("count > 1").isEmpty():
+    named = docs.withColumns({key: node, b1: F.xxhash64(body), b2: F.xxhash64(F.lit(1), body)})
+    kept = named.join(keepers, (F.col(key) == F.col(keeper)) & (F.col(b1) == F.col(c1)) & (F.col(b2) == F.col(c2)))
+    if classes.where("n > 1").isEmpty():
         return kept.select(*docs.columns)
-    own = Window.partitionBy(key).orderBy(F.xxhash64(body))
-    return kept.withColumn(rank, F.row_number().over(own)).where(F.col(rank) == 1).select(*docs.columns)
+    # Equal rows of a kept document: one of them, found with a row for each task before any meet.
+    return kept.where(~F.col(again)).select(*docs.columns).unionByName(kept.where(again).dropDuplicates([key]).select(*docs.columns))
