@@ -416,3 +416,60 @@ def test_repeated_rows_ask_the_sketch_once(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "_answers", lambda *a: asked.append(original(*a)) or asked[-1])
     assert rows_of(substring_dedup.remove_repeated(docs), "doc_id", "n_removed") == [(7, 300)] * 400 + [(8, 0)]
     assert [max(len(r.passed) for r in a.collect()) for a in asked] and max(len(r.passed) for r in asked[0].collect()) < 100
+
+
+def repeated_ids(n=60, words=60):
+    """Ids that stand for two texts each, and a near copy of each of these under an id of its own."""
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(n):
+        for k in range(2):
+            own = [f"w{i}x{k}x{j}" for j in r.permutation(words)]
+            rows += [(i, " ".join(own)), (10_000 + 2 * i + k, " ".join([*own[:-1], "edited"]))]
+    return rows
+
+
+def test_texts_of_repeated_ids_keep_their_links(spark):
+    """All texts of an id and their near copies are one class, in whatever order rows come."""
+    rows = repeated_ids()
+    expected = sorted((i, i if i < 10_000 else (i - 10_000) // 2) for i, _ in rows)
+    for seed in (1, 2):
+        mixed = [rows[k] for k in np.random.default_rng(seed).permutation(len(rows))]
+        df = spark.createDataFrame(mixed, "doc_id long, text string").repartition(1 + 4 * seed)
+        assert rows_of(near_dup.near_duplicate_classes(df), "doc_id", "class_id") == sorted(expected, key=repr)
+        kept = rows_of(near_dup.keep_one(df), "doc_id")
+        assert kept == sorted(((i,) for i in range(60)), key=repr)
+
+
+def test_hot_repeated_rows(spark):
+    """A third of all rows are one row: one of them stays, and its near copy is found."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, text)] * 700 + [(6, text + " more")] + [(100 + i, f"other{i} text{i} with{i} own{i} words{i} {i}") for i in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(df).collect()}
+    assert got == {i: 5 if i < 100 else i for i, _ in rows}
+    assert sorted(r.doc_id for r in near_dup.keep_one(df).collect()) == [5, *range(100, 1500)]
+
+
+def test_mix_of_repeated_rows(spark):
+    """A third of all rows are one row, and a third share an id: as many copies are taken as the plan says, and no task holds them all."""
+    rows = [(1, "a b c", "s")] * 700 + [(2, f"w{i % 9} x" + " y" * (i % 4), "t") for i in range(700)] + [(10 + i, "k " * (1 + i % 5), "su"[i % 2]) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'x' as size", "1 as row", "2 as e").repartition(5)
+    plan = mixing.mix(df)
+    got = [(i, n, s, round(t, 6), k) for i, n, s, t, k in rows_of(plan, "doc_id", "size", "source_size", "target", "taken")]
+    assert sorted(got, key=repr) == brute.mixed(rows)
+    taken = mixing.mixed_documents(df)
+    assert taken.agg(F.sum("taken")).first()[0] == plan.agg(F.sum("taken")).first()[0] and taken.count() == plan.where("copies > 0").count()
+    assert rows_of(taken.groupBy("doc_id", "text", "source").agg(F.sum("copies").alias("n")), "doc_id", "n") == rows_of(
+        plan.where("copies > 0").groupBy("doc_id", "source", "uid").agg(F.sum("copies").alias("n")), "doc_id", "n"
+    )
+    assert taken.columns == ["doc_id", "text", "source", "row", "e", "copies", "taken", "size", "source_size", "target", "finish"]
+
+
+@pytest.mark.parametrize("rows_at_once", [1, 10])
+def test_mix_cut_in_small_slots(spark, monkeypatch, hard, rows_at_once):
+    """The cut is the same however finely time is cut."""
+    expected = rows_of(mixing.mix(hard), "doc_id", "size", "target", "taken")
+    monkeypatch.setattr(mixing, "SLOT_ROWS", rows_at_once)
+    monkeypatch.setattr(mixing, "TIME_BINS", 4)
+    assert rows_of(mixing.mix(hard), "doc_id", "size", "target", "taken") == expected
