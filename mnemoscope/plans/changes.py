@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import dedupe
+from ..functions import text
+from ..operators import recall
+from ..operators.graph import ensure_checkpoint_dir
+from ..streaming import dedupe, harvest
 from .registry import query
-from .views import table
+from .views import observations, table
 
 #: Twenty documents stand for the entries of an hour, a language for a scope.
 _AN_HOUR = 20
@@ -26,3 +31,70 @@ def stm_dedupe_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     e = d.select(F.col("lang").alias("scope"), F.timestamp_seconds(F.floor(F.col("doc_id") / _AN_HOUR) * 3600).alias("ts"), F.col("doc_id").alias("id"), "text")
     return dedupe.first_in_window(e).select("scope", "id")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, which driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+_LABEL = "CASE WHEN l.quality IS NULL THEN 'unknown' WHEN l.quality = 1 THEN 'must_remember' ELSE 'ignore' END"
+
+
+@query(f"""SELECT d.doc_id, CASE WHEN d.doc_id < (SELECT avg(doc_id) FROM documents) THEN 0 ELSE 1 END AS batch, CASE WHEN regexp_matches(lower(d.source), '^[a-z0-9._:/-]+$') THEN lower(d.source) END AS scope, {_LABEL} AS label,
+    sha256(trim(coalesce(d.text, ''))) AS hash, trim(coalesce(d.text, '')) <> '' AS has_vector, '{{"doc_id":' || d.doc_id || CASE WHEN l.quality IS NULL THEN '' ELSE ',"importance":{{"score":' || CASE WHEN l.quality = 1 THEN '0.9' ELSE '0.1' END || '}}' END || ',"scope":"' || d.source || '"}}' AS detail
+    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def stm_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON lines in an inbox, taken in by two runs, the second with the rest of the files: rows, labels, merged details and whether each text has its vector."""
+    d, quality = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("i"), "quality")
+    score = F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.1)
+    line = F.to_json(F.struct(F.col("text").alias("summary"), F.when(score.isNotNull(), F.struct(F.struct(score.alias("score")).alias("importance"))).alias("detail"), "doc_id", F.col("source").alias("scope")))
+    lines = d.join(quality, F.col("doc_id") == F.col("i"), "left").select("doc_id", line.alias("value"))
+    middle = d.agg(F.avg("doc_id")).first()[0]
+    inbox, store = _folder(spark, "inbox"), _folder(spark, "store")
+    for part in (lines.where(F.col("doc_id") < F.lit(middle)), lines.where(F.col("doc_id") >= F.lit(middle))):
+        part.select("value").write.mode("append").text(inbox)
+        harvest.harvest(spark, inbox, store, files_per_batch=1 << 20)
+    own = harvest.Store(spark, store)
+    vectors = own.vectors.read().select(F.col("hash").alias("h"), F.lit(True).alias("found"))
+    rows = own.observations.read().join(vectors, F.col("hash") == F.col("h"), "left")
+    return rows.select(
+        F.get_json_object("detail", "$.doc_id").cast("long").alias("doc_id"), F.split_part("id", F.lit("-"), F.lit(1)).cast("int").alias("batch"), "scope", "label", "hash",
+        F.coalesce("found", F.lit(False)).alias("has_vector"), "detail",
+    )
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_VECTORS = f"""w AS (SELECT id, unnest({_WORDS}) AS word FROM t), m AS (SELECT id, word, count(*) AS n FROM w GROUP BY ALL), h AS (SELECT id, n, unnest([0, 1]) AS b, md5(word || ':' || unnest([0, 1])) AS d FROM m),
+    x AS (SELECT id, b * 8 + k AS k, sum(n * (('0x' || d[4 * k + 1:4 * k + 4])::BIGINT * 2 - 65535)) / 65535.0::DOUBLE AS v FROM h, (SELECT unnest(range(8)) AS k) GROUP BY id, b * 8 + k)"""
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, text FROM documents), {_VECTORS} SELECT id, round(sqrt(sum(v * v)), 6) AS norm, round(max(v), 9) AS largest, CAST(arg_max(k, struct_pack(v := v, k := -k)) AS INTEGER) AS at FROM x GROUP BY id""")
+def udf_text_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed vectors of whole texts: length, largest number and its place; texts without words have none."""
+    v = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.text_vector(F.col("text"), 16).alias("v")).where("exists(v, x -> x <> 0)")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return v.select("id", F.round(norm, 6).alias("norm"), F.round(F.array_max("v"), 9).alias("largest"), (F.array_position("v", F.array_max("v")) - 1).cast("int").alias("at"))
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), {_VECTORS}, z AS (SELECT id, sqrt(sum(v * v)) AS norm FROM x GROUP BY id),
+    c AS (SELECT -1 - q.id AS query_id, d.id, round(sum(q.v * d.v) / any_value(zq.norm) / any_value(zd.norm), 9) AS score FROM x q JOIN x d ON d.k = q.k AND q.id < 0 AND d.id >= 0 JOIN z zq ON zq.id = q.id JOIN z zd ON zd.id = d.id GROUP BY q.id, d.id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM c) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def ret_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a question's text to its five nearest documents, both by hashed vectors."""
+    embed = lambda rows, name: rows.select(F.col(rows.columns[0]).alias(name), text.text_vector(F.col("text"), 16).alias("vector")).where("exists(vector, x -> x <> 0)")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = recall.recall(docs, asked, vectors=embed(docs, "id"), asked_vectors=embed(asked, "query_id"), mode="vector", k=5)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH o AS (SELECT id, trim(coalesce(summary, '')) AS s, score, scope FROM observations)
+    SELECT id, CASE WHEN s = '' THEN 'empty text' END AS error, CASE WHEN s <> '' THEN coalesce(score, 0.0) END AS importance, CASE WHEN s <> '' THEN CASE WHEN coalesce(score, 0.0) >= 0.8 THEN 'must_remember' WHEN coalesce(score, 0.0) >= 0.5 THEN 'nice_to_have' ELSE 'ignore' END END AS label,
+    CASE WHEN s <> '' THEN sha256('- [FACT] ' || s || ' (importance: ' || printf('%.2f', coalesce(score, 0.0)) || ', ' || CASE WHEN coalesce(score, 0.0) >= 0.8 THEN 'must_remember' WHEN coalesce(score, 0.0) >= 0.5 THEN 'nice_to_have' ELSE 'ignore' END || ')') END AS line FROM o""")
+def src_remember(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What storing each observation by hand would append: label, Markdown line (its digest) or error."""
+    o = observations(spark, sf_dir).select("id", F.col("summary").alias("text"), F.lit("fact").alias("category"), F.coalesce("score", F.lit(0.0)).alias("importance"), "scope")
+    kept = harvest.remember(o, keep=("id",))
+    return kept.select("id", "error", "importance", "label", F.sha2(F.col("markdown").cast("binary"), 256).alias("line"))

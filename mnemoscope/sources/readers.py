@@ -15,18 +15,22 @@ OBSERVATION = "ts string, kind string, tool_name string, tool string, summary st
 
 def observation_lines(spark: SparkSession, path: str) -> DataFrame:
     """Rows of JSON lines: ``line``, ``detail`` (a variant) and ``error`` for lines that aren't objects; blank lines go."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    return parsed_lines(spark.read.text(path))
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """``observation_lines`` of lines (value) read already."""
     v = F.try_parse_json("value")
-    return lines.select(F.col("value").alias("line"), v.alias("detail"), (v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT")).alias("error"))
+    return lines.where(F.trim("value") != "").select(F.col("value").alias("line"), v.alias("detail"), (v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT")).alias("error"))
 
 
-def normalised(rows: DataFrame) -> DataFrame:
-    """Observations in their common form: aliases folded, times parsed, language and scope filled in."""
+def normalised(rows: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Observations in their common form: aliases folded, times parsed, language and scope filled in; columns of ``keep`` stay."""
     get = lambda *names: F.coalesce(*(F.try_variant_get("detail", f"$.{n}", "string") for n in names))
     summary = F.coalesce(get("summary"), F.lit(""))
     return rows.where(~F.col("error")).select(
         iso_time(get("ts")).alias("ts"), F.coalesce(F.nullif(F.trim(get("kind")), F.lit("")), F.lit("note")).alias("kind"), get("tool_name", "tool").alias("tool_name"), summary.alias("summary"),
-        get("summary_en", "text_en").alias("summary_en"), F.coalesce(get("lang"), language(summary)).alias("lang"), scope_token(get("detail.scope", "scope")).alias("scope"), "detail",
+        get("summary_en", "text_en").alias("summary_en"), F.coalesce(get("lang"), language(summary)).alias("lang"), scope_token(get("detail.scope", "scope")).alias("scope"), "detail", *keep,
     )
 
 
