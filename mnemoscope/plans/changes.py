@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import recall
+from ..operators import patches, recall
 from ..operators.graph import ensure_checkpoint_dir
 from ..streaming import dedupe, harvest
 from .registry import query
@@ -98,3 +99,32 @@ def src_remember(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = observations(spark, sf_dir).select("id", F.col("summary").alias("text"), F.lit("fact").alias("category"), F.coalesce("score", F.lit(0.0)).alias("importance"), "scope")
     kept = harvest.remember(o, keep=("id",))
     return kept.select("id", "error", "importance", "label", F.sha2(F.col("markdown").cast("binary"), 256).alias("line"))
+
+
+_DETAILS = """d AS (SELECT id, label, state, '{"importance":{"label":"' || label || '"' || CASE WHEN score IS NULL THEN '' ELSE ',"score":' || CAST(round(score * 100) AS INTEGER) END || '}}' AS detail, coalesce(score < 0.3, false) AS low, state = 'stale' AND (label <> 'must_remember' OR coalesce(score < 0.3, false)) AS old FROM observations)"""
+
+
+@query(f"""WITH {_DETAILS} SELECT id, CASE WHEN low AND old THEN '{{"importance":{{"label":"ignore","method":"optimize_assist","score":' || CAST(regexp_extract(detail, '"score":([0-9]+)', 1) AS INTEGER) || '}},"lifecycle":{{"archive_reason_code":"stale_low_importance","archived_at":"2024-06-01"}}}}'
+    WHEN low THEN '{{"importance":{{"label":"ignore","method":"optimize_assist","score":' || CAST(regexp_extract(detail, '"score":([0-9]+)', 1) AS INTEGER) || '}}}}'
+    WHEN old THEN left(detail, length(detail) - 1) || ',"lifecycle":{{"archive_reason_code":"stale_low_importance","archived_at":"2024-06-01"}}}}' ELSE detail END AS detail FROM d""")
+def opt_assist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details after five runs: labels of low scores changed, stale records archived, that undone and done again, and an undoing of the first run that is refused as later runs touched its records."""
+    o = observations(spark, sf_dir).select("id", "label", "score", "state")
+    score = F.when(F.col("score").isNotNull(), F.concat(F.lit(',"score":'), F.round(F.col("score") * 100).cast("int").cast("string")))
+    base = o.select("id", F.concat(F.lit('{"importance":{"label":"'), F.col("label"), F.lit('"'), F.coalesce(score, F.lit("")), F.lit("}}")).alias("detail"), "score", "state")
+    log = patches.log(spark, _folder(spark, "assist"))
+    offer = lambda rows, action, patch: rows.select(
+        F.concat(F.lit(f"{action}-"), F.col("id").cast("string")).alias("proposal_id"), "id", F.lit(action).alias("action"), F.lit(patches.APPROVED).alias("decision"), F.lit(patches.LANE).alias("lane"),
+        F.lit(patch).alias("patch"), F.lit(None).cast("string").alias("expected_sha256"),
+    )
+    labels = offer(base.where("score < 0.3"), "adjust_importance_score", '{"importance": {"label": "ignore", "method": "optimize_assist"}}')
+    old = offer(base.where("state = 'stale'"), "set_soft_archive_candidate", '{"lifecycle": {"archived_at": "2024-06-01", "archive_reason_code": "stale_low_importance"}}')
+    many = 1 << 60
+    free, now = patches.Limits(many, many, many, many, 9), datetime(2024, 6, 1)
+    base = base.select("id", "detail")
+    patches.apply(log, base, labels, run=0, now=now, limits=free)
+    patches.apply(log, base, old, run=1, now=now, limits=free)
+    patches.undo(log, base, 1, run=2, now=now)
+    patches.apply(log, base, old, run=3, now=now, limits=free)
+    patches.undo(log, base, 0, run=4, now=now)
+    return patches.current(base, log.read())
