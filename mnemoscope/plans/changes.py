@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import patches, recall
+from ..operators import json_walk, patches, recall, trigrams
 from ..operators.graph import ensure_checkpoint_dir
 from ..streaming import dedupe, harvest
 from .registry import query
@@ -128,3 +128,31 @@ def opt_assist(spark: SparkSession, sf_dir: str) -> DataFrame:
     patches.apply(log, base, old, run=3, now=now, limits=free)
     patches.undo(log, base, 0, run=4, now=now)
     return patches.current(base, log.read())
+
+
+_PHRASES = r"""SELECT item_id * 2 AS query_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, array_to_string((regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))[2:3], ' ') FROM benchmark"""
+
+
+@query(rf"""WITH q AS (SELECT query_id, lower(text) AS phrase FROM ({_PHRASES}) WHERE length(text) >= 3), d AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS body FROM documents)
+    SELECT query_id, id, len(list_filter(range(1, length(body) - length(phrase) + 2), lambda i: body[i:i + length(phrase) - 1] = phrase))::BIGINT AS n FROM q JOIN d ON contains(body, phrase)""")
+def ret_trigram_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts, and their second and third words, as phrases in whole documents, by an index that is stored first."""
+    b = table(spark, sf_dir, "benchmark")
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    asked = b.select((F.col("item_id") * 2).alias("query_id"), "text").union(b.select(F.col("item_id") * 2 + 1, F.array_join(F.slice(words, 2, 2), " ")))
+    index = trigrams.TrigramIndex(spark, _folder(spark, "trigrams"))
+    index.write(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return index.matches(asked.where(F.length("text") >= trigrams.SIZE))
+
+
+_TREE = """'{"refs": ["obs:' || user_id || '", {"x": [" obs:' || event_id || ' ", "obs:' || event_id || 'z"]}], "obs:1": "said \\"obs:2\\"", "props": ' || props || '}'"""
+
+
+@query(f"""SELECT DISTINCT event_id AS id, CAST(regexp_extract(trim(j.atom ->> '$'), '^obs:(\\d+)$', 1) AS BIGINT) AS ref FROM (SELECT event_id, {_TREE} AS detail FROM events WHERE json_valid(props)) e, json_tree(e.detail) j
+    WHERE j.type = 'VARCHAR' AND regexp_full_match(trim(j.atom ->> '$'), 'obs:\\d+')""")
+def jsn_reference_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that whole strings of a nested detail are, at any depth; keys and quoted ones within strings don't count."""
+    e = table(spark, sf_dir, "events").where(F.try_parse_json("props").isNotNull())
+    i, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    detail = F.concat(F.lit('{"refs": ["obs:'), u, F.lit('", {"x": [" obs:'), i, F.lit(' ", "obs:'), i, F.lit('z"]}], "obs:1": "said \\"obs:2\\"", "props": '), F.col("props"), F.lit("}"))
+    return json_walk.references(e.select(F.col("event_id").alias("id"), detail.alias("detail")))
