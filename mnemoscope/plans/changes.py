@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import json_walk, patches, recall, trigrams
+from ..operators import gates, json_walk, patches, recall, trigrams
 from ..operators.graph import ensure_checkpoint_dir
 from ..streaming import dedupe, harvest
 from .registry import query
@@ -156,3 +156,40 @@ def jsn_reference_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
     detail = F.concat(F.lit('{"refs": ["obs:'), u, F.lit('", {"x": [" obs:'), i, F.lit(' ", "obs:'), i, F.lit('z"]}], "obs:1": "said \\"obs:2\\"", "props": '), F.col("props"), F.lit("}"))
     return json_walk.references(e.select(F.col("event_id").alias("id"), detail.alias("detail")))
+
+
+@query("""WITH e AS (SELECT *, event_type <> 'error' AS healthy FROM events), bad AS (SELECT user_id, max(struct_pack(ts := ts, id := event_id)) AS bad FROM e WHERE NOT healthy GROUP BY 1),
+    s AS (SELECT e.user_id, count(*) FILTER (b.bad IS NULL OR struct_pack(ts := e.ts, id := e.event_id) > b.bad) AS streak FROM e LEFT JOIN bad b ON b.user_id = e.user_id GROUP BY 1),
+    w AS (SELECT user_id, round(avg(CASE WHEN value >= 20 THEN 1 ELSE 0 END), 4) AS ratio FROM e WHERE event_type IN ('purchase', 'signup') GROUP BY 1),
+    l AS (SELECT user_id, count(*) AS runs, count(*) FILTER (value > 100) AS mutations FROM e WHERE event_type = 'click' GROUP BY 1),
+    m AS (SELECT user_id, count(*) AS groups FROM (SELECT user_id, props FROM e WHERE event_type = 'view' AND value < 15 GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1),
+    x AS (SELECT s.user_id AS subject, s.streak, coalesce(w.ratio, 0.0) AS ratio, coalesce(l.runs, 0) AS runs, coalesce(l.mutations, 0) AS mutations, coalesce(m.groups, 0) AS groups FROM s LEFT JOIN w USING (user_id) LEFT JOIN l USING (user_id) LEFT JOIN m USING (user_id)),
+    b AS (SELECT *, list_filter([CASE WHEN streak < 3 THEN 'live_green_streak_below_threshold' END, CASE WHEN runs < 2 THEN 'lifecycle_runs_below_threshold' END, CASE WHEN ratio < 0.3 THEN 'writeback_eligible_ratio_below_threshold' END, CASE WHEN mutations > 0 THEN 'lifecycle_mutation_not_shadow' END], lambda r: r IS NOT NULL) AS rb FROM x),
+    c AS (SELECT *, list_filter([CASE WHEN len(rb) > 0 THEN 'stage_b_not_ready' END, CASE WHEN runs < 2 THEN 'lifecycle_runs_below_threshold' END, CASE WHEN groups > 1 THEN 'repeated_miss_pressure_high' END], lambda r: r IS NOT NULL) AS rc FROM b)
+    SELECT subject, CASE WHEN len(rb) = 0 THEN 'ready' ELSE 'hold' END AS stage_b, array_to_string(rb, ',') AS reasons_b, CASE WHEN len(rc) = 0 THEN 'ready' ELSE 'hold' END AS stage_c, array_to_string(rc, ',') AS reasons_c, CAST(ratio AS DOUBLE) AS eligible_ratio, streak FROM c""")
+def opt_policy_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage gates of each user: events are checks (errors fail), purchases and sign-ups writes, clicks shadow runs, views of little value misses."""
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "subject")
+    of = lambda *types: e.where(F.col("event_type").isin(*types))
+    out = gates.policy_loop(
+        e.select("subject"), e.select("subject", "ts", F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("healthy")), of("purchase", "signup").select("subject", (F.col("value") >= 20).alias("eligible")),
+        of("click").select("subject", F.when(F.col("value") > 100, "archived").otherwise("none").alias("mutation")), of("view").where("value < 15").select("subject", F.col("props").alias("query")), gates.Thresholds(3, 2, 2, 0.3, 2, 1),
+    )
+    return out.withColumns({c: F.array_join(c, ",") for c in ("reasons_b", "reasons_c")})
+
+
+_ASCII_WORDS = "list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]{3,}'))"
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, text, {_ASCII_WORDS} AS words, list_filter([CASE WHEN regexp_matches(text, '(?i)tion') THEN 'A' END, CASE WHEN regexp_matches(text, '(?i)ei.*ung') THEN 'B' END], lambda x: x IS NOT NULL) AS found FROM benchmark),
+    n AS (SELECT count(*) AS docs FROM documents), p AS (SELECT word, count(*) * 1.0::DOUBLE / any_value(docs) AS weight FROM (SELECT unnest({_ASCII_WORDS}) AS word FROM documents), n GROUP BY word),
+    s AS (SELECT query_id, sum(weight) AS total FROM (SELECT query_id, unnest(words) AS word FROM q WHERE len(found) = 0) u JOIN p USING (word) GROUP BY 1),
+    x AS (SELECT q.query_id, q.found, CASE WHEN len(found) = 0 THEN round(coalesce(total, 0) / greatest(len(words), 1), 6) END AS score FROM q LEFT JOIN s USING (query_id))
+    SELECT query_id, CASE WHEN len(found) > 0 THEN 'keyword:' || array_to_string(found, '+') WHEN score >= 0.03 THEN 'probe_strong' WHEN score >= 0.01 THEN 'probe_weak' ELSE 'off' END AS reason, len(found) > 0 OR score >= 0.03 AS fires, score FROM x""")
+def cli_graph_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark questions may ask the graph: by their wording, else by how common their words are in the documents."""
+    words = F.array_distinct(F.regexp_extract_all(text.ascii_lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9_]{3,}"), F.lit(0)))
+    docs = table(spark, sf_dir, "documents")
+    probe = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("docs")))).select("word", (F.col("n") / F.col("docs")).alias("weight"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return gates.graph_auto(asked, {"A": "tion", "B": "ei.*ung"}, probe, words=words, strong=0.03, weak=0.01)

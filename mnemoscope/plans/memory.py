@@ -59,10 +59,16 @@ def flt_doc_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT event_id FROM turns WHERE NOT regexp_matches(lower(summary), 'private|do not share|\\[deny\\]')")
+#: Every third turn gets one of these in front: marks, and words that are none.
+_MARKS = ("<private>", "</Private> ", "[noexport] ", "see [PRIVATE] ", "[NoMem]", "private: ", "a private matter ", "[deny] ", "")
+
+
+@query(f"""SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN {list(_MARKS)}[event_id % {len(_MARKS)} + 1] ELSE '' END || summary AS s FROM turns)
+    WHERE NOT (contains(lower(s), '<private>') OR contains(lower(s), '</private>') OR contains(lower(s), '[noexport]') OR contains(lower(s), '[private]') OR contains(lower(s), '[nomem]') OR contains(upper(s), 'PRIVATE:'))""")
 def flt_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns without a mark that keeps them private."""
-    return turns(spark, sf_dir).where(~F.lower("summary").rlike(r"private|do not share|\[deny\]")).select("event_id")
+    mark = F.when(F.col("event_id") % 3 == 0, F.element_at(F.array(*map(F.lit, _MARKS)), (F.col("event_id") % len(_MARKS) + 1).cast("int"))).otherwise("")
+    return turns(spark, sf_dir).withColumn("summary", F.concat(mark, "summary")).where(~text.is_private(F.col("summary"))).select("event_id")
 
 
 @query("SELECT src, dst, type FROM edges WHERE trim(provenance) <> '' AND contains(provenance, '#L')")

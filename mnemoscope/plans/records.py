@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import graph, lexical, ranking
+from ..operators import graph, lexical, ranking, trigrams
 from ..sources.sinks import TRUST_RANK
 from .registry import query
 from .retrieval import BM25_SQL, lexical_lane
@@ -168,15 +168,19 @@ def pck_use_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("id", (F.col("used_count") + F.coalesce("n", F.lit(0))).alias("used_count"), F.unix_timestamp(F.when(F.col("n") > 0, now()).otherwise(F.col("last_used"))).alias("last_used"))
 
 
-@query(rf"""WITH q AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all({_LOWER.format('text')}, '[a-z0-9_]{{3,}}')))[1:6] AS terms FROM benchmark), t AS (SELECT item_id, len(terms) AS n, unnest(terms) AS term FROM q), d AS (SELECT doc_id, length(text) AS chars, unnest(list_distinct(regexp_extract_all({_LOWER.format('text')}, '[a-z0-9_]{{3,}}'))) AS term FROM documents),
-    m AS (SELECT t.item_id, d.doc_id, round(count(*) * 1.0 / max(t.n) - least(max(d.chars), 5000) / 1000000.0, 6)::DOUBLE AS score FROM t JOIN d USING (term) GROUP BY 1, 2) SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM m) WHERE rank <= 5""")
+@query(rf"""WITH q AS (SELECT item_id, trim(lower(coalesce(text, ''))) AS phrase, list_distinct(regexp_extract_all({_LOWER.format('text')}, '[a-z0-9_]{{3,}}')) AS terms FROM benchmark), t AS (SELECT item_id, phrase, len(terms) AS n, unnest(terms) AS term FROM q),
+    d AS (SELECT doc_id, length(text) AS chars, unnest(list_distinct(regexp_extract_all({_LOWER.format('text')}, '[a-z0-9_]{{3,}}'))) AS term FROM documents), c AS (SELECT t.item_id, t.phrase, d.doc_id, count(*) * 1.0 / max(t.n) AS part, least(max(d.chars), 5000) AS chars FROM t JOIN d USING (term) GROUP BY 1, 2, 3),
+    m AS (SELECT item_id, c.doc_id, round(part + CASE WHEN contains(lower(x.text), phrase) THEN 0.25 ELSE 0 END - c.chars / 1000000.0, 6)::DOUBLE AS score FROM c JOIN documents x ON x.doc_id = c.doc_id) SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM m) WHERE rank <= 5""")
 def ret_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by the share of a question's first six terms (in order of letters) they have; shorter ones first among equals."""
+    """Documents by the share of a question's terms they have, and a quarter more if they hold it as it stands; shorter ones first among equals."""
     words = lambda: F.array_distinct(F.regexp_extract_all(text.ascii_lower(F.col("text")), F.lit("[a-z0-9_]{3,}"), F.lit(0)))
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.array_sort(words()), 1, 6).alias("terms")).select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"), F.explode(words()).alias("term"))
-    d = lexical.only_asked(d, q, "term")
-    m = d.join(q, "term").groupBy("item_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.max("n") - F.least(F.max("chars"), F.lit(5000)) / 1000000.0, 6).alias("score"))
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    q = items.select("item_id", words().alias("terms")).select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    d = lexical.only_asked(docs.select("doc_id", F.length("text").alias("chars"), F.explode(words()).alias("term")), q, "term")
+    part = d.join(q, "term").groupBy("item_id", "doc_id").agg((F.count(F.lit(1)) / F.max("n")).alias("part"), F.least(F.max("chars"), F.lit(5000)).alias("chars"))
+    held = trigrams.scanned(docs.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").alias("query_id"), F.trim("text").alias("text")))
+    both = part.join(held, (F.col("item_id") == F.col("query_id")) & (F.col("doc_id") == F.col("id")), "left")
+    m = both.select("item_id", "doc_id", F.round(F.col("part") + F.when(F.col("id").isNotNull(), 0.25).otherwise(0.0) - F.col("chars") / 1000000.0, 6).alias("score"))
     return ranking.best(m, 5, by=[F.desc("score"), F.col("doc_id")], groups=["item_id"]).withColumn("rank", F.col("rank").cast("long"))
 
 

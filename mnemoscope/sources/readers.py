@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import language, scope_token
+from ..functions.text import language, nfkc, scope_token
 
 OBSERVATION = "ts string, kind string, tool_name string, tool string, summary string, summary_en string, text_en string, lang string, detail string, detail_json string"
 
@@ -30,7 +30,7 @@ def normalised(rows: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
     summary = F.coalesce(get("summary"), F.lit(""))
     return rows.where(~F.col("error")).select(
         iso_time(get("ts")).alias("ts"), F.coalesce(F.nullif(F.trim(get("kind")), F.lit("")), F.lit("note")).alias("kind"), get("tool_name", "tool").alias("tool_name"), summary.alias("summary"),
-        get("summary_en", "text_en").alias("summary_en"), F.coalesce(get("lang"), language(summary)).alias("lang"), scope_token(get("detail.scope", "scope")).alias("scope"), "detail", *keep,
+        get("summary_en", "text_en").alias("summary_en"), F.coalesce(get("lang"), language(summary)).alias("lang"), scope_token(nfkc(get("detail.scope", "scope"))).alias("scope"), "detail", *keep,
     )
 
 
