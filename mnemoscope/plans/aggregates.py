@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
+from ..operators.graph import ensure_checkpoint_dir
 from .registry import query
 from .views import NOW, STATES, edges, nodes, now, observations, receipts, table, turns, vectors
 
@@ -77,9 +78,10 @@ def agg_memory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT id, scope, {_FINGERPRINT.format('summary')} AS fp FROM observations) WHERE length(fp) >= 8 WINDOW w AS (PARTITION BY scope, fp)) WHERE n >= 2""")
 def agg_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of one scope that are equal but for punctuation and case: a row for each member, with its cluster's size, canonical (least) and latest id."""
-    o = observations(spark, sf_dir).select("id", "scope", text.fingerprint(F.col("summary")).alias("fp"))
-    # The fingerprint's digest is shuffled, not the text, and no group is gathered in one row.
-    o = o.where(F.length("fp") >= 8).select("id", "scope", F.md5(F.col("fp").cast("binary")).alias("fingerprint"))
+    ensure_checkpoint_dir(spark)
+    # Texts are read once: digests are written, and both sides of the join read these. No group is gathered in one row.
+    o = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("scope"), text.fingerprint(F.col("text")).alias("fp"))
+    o = o.select("id", "scope", F.when(F.length("fp") >= 8, F.md5(F.col("fp").cast("binary"))).alias("fingerprint")).checkpoint().where("fingerprint is not null")
     clusters = o.groupBy("scope", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("canonical"), F.max("id").alias("latest")).where("n >= 2")
     return o.join(clusters, ["scope", "fingerprint"]).select("id", "scope", "fingerprint", "n", "canonical", "latest")
 

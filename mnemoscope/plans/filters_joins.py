@@ -169,23 +169,31 @@ def jon_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("asked").alias("event_id"), F.col("event_id").alias("other_id")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 
 
-def token_pair_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b): links that connect the same events as all pairs with two shared useful tokens do.
-
-    Two events share two tokens if they share a pair of them. In a group of events
-    with one pair of tokens, if there is more than one session, each event is
-    linked, directly or by way of an event of another session, to every other; a
-    star around the least id says the same. So work grows with events, not with pairs.
-    Tokens that one session of a scope has to itself link nothing and go first.
+def token_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, label): connected components of all links by two shared useful tokens, without the links.
+
+    1. Of the events with a token the least and the largest lead. An event that has two tokens of one leader, and is of
+       another session, is linked to it; that gives most components, with work in proportion to tokens.
+    2. A link that is still missing joins two components, so one of its ends lies outside the
+       largest of its scope. These events alone meet the others of their scope by token, those of their own component left out,
+       and what shares two tokens is linked. Nothing is counted for pairs within the largest component.
     """
-    t = useful_tokens(spark, sf_dir)
-    met = t.groupBy("scope", "token").agg(F.min("session_id").alias("s0"), F.max("session_id").alias("s1")).where("s0 < s1").select("scope", "token")
-    t = t.join(met, ["scope", "token"], "left_semi").groupBy("scope", "session_id", "event_id").agg(F.array_sort(F.collect_list("token")).alias("x"))
-    second = lambda i: F.transform(F.slice("x", i + 2, F.size("x")), lambda other: F.xxhash64(F.get("x", i), other))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("x") - 2), second))
-    each = t.where(F.size("x") >= 2).select("scope", "session_id", "event_id", F.explode(pairs).alias("pair"))
-    groups = each.groupBy("scope", "pair").agg(F.min("event_id").alias("b"), F.min("session_id").alias("s0"), F.max("session_id").alias("s1")).where("s0 < s1").select("scope", "pair", "b")
-    return each.join(groups, ["scope", "pair"]).where("event_id <> b").select(F.col("event_id").alias("a"), "b").distinct()
+    t = useful_tokens(spark, sf_dir).select("scope", "session_id", "event_id", "token")
+    # Tokens that one session of a scope has to itself link nothing.
+    lead = lambda f: f(F.struct("event_id", "session_id"))
+    leaders = t.groupBy("scope", "token").agg(lead(F.min).alias("low"), lead(F.max).alias("high"), F.min("session_id").alias("s0"), F.max("session_id").alias("s1")).where("s0 < s1").select("scope", "token", "low", "high")
+    t = t.join(leaders, ["scope", "token"]).checkpoint()
+    each = t.select("session_id", "event_id", F.explode(F.array("low", "high")).alias("to")).where("to.session_id <> session_id")
+    links = each.groupBy(F.col("event_id").alias("a"), F.col("to.event_id").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("a", "b")
+    labels = graph.components(links)
+    owned = t.select("scope", "session_id", "event_id", "token").join(labels, F.col("event_id") == F.col("node"), "left").select("scope", "session_id", "event_id", "token", F.coalesce("label", "event_id").alias("label")).checkpoint()
+    sizes = owned.groupBy("scope", "label").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("scope").alias("s")).agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    strays = owned.join(sizes, F.col("scope") == F.col("s")).where("label <> largest").select("scope", "token", F.col("session_id").alias("own"), F.col("event_id").alias("a"), F.col("label").alias("mine"))
+    met = strays.join(owned, ["scope", "token"]).where("own <> session_id and mine <> label")
+    missing = met.groupBy("a", F.col("event_id").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("a", "b").checkpoint()
+    if missing.isEmpty():
+        return labels
+    return graph.components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").union(missing))
 
 
 @query("""WITH r AS (SELECT DISTINCT receipt_id, ref, ts FROM (SELECT receipt_id, ref, max(ts) AS ts FROM receipts GROUP BY 1, 2)) SELECT a.ref AS left_ref, b.ref AS right_ref, count(*) AS n, CAST(epoch(max(greatest(a.ts, b.ts))) AS BIGINT) AS last_ts

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.ranking import ranked
-from .filters_joins import TOKEN_LINKS_SQL, token_pair_links
+from .filters_joins import TOKEN_LINKS_SQL, token_components
 from .registry import query
 from .views import edges, facts, nodes, table
 
@@ -48,7 +48,7 @@ def grf_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {TOKEN_LINKS_SQL}, e AS (SELECT left_id AS a, right_id AS b FROM links UNION SELECT right_id, left_id FROM links), w AS (SELECT a AS node, a AS label FROM e UNION SELECT e.b, w.label FROM w JOIN e ON e.a = w.node AND w.label < e.b) SELECT node AS event_id, min(label) AS cluster FROM (SELECT node, label FROM w UNION ALL SELECT a, b FROM e) GROUP BY node""")
 def agg_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of events: connected components of all links by two shared useful tokens."""
-    return graph.components(token_pair_links(spark, sf_dir)).select(F.col("node").alias("event_id"), F.col("label").alias("cluster"))
+    return token_components(spark, sf_dir).select(F.col("node").alias("event_id"), F.col("label").alias("cluster"))
 
 
 @query("""SELECT n.node_id, n.node_type, coalesce(d.degree, 0) AS degree, round(CASE WHEN contains(n.node_id, '1') THEN 1.0 ELSE 0.0 END + CASE WHEN n.node_type = 'supplier' THEN 0.25 ELSE 0 END + 0.05 * least(coalesce(d.degree, 0), 5), 6)::DOUBLE AS score
