@@ -24,32 +24,49 @@ from ..functions.text import near_form
 HOURS, STALE_DAYS, SIMILARITY, PART_CHARS, RECENT = 24, 7, 0.92, 30, 64
 
 
-def near(a: str, b: str) -> bool:
-    """Whether two normal forms say the same; an empty one is near to none."""
-    if not a or not b:
-        return False
-    if a == b or (min(len(a), len(b)) >= PART_CHARS and (a in b or b in a)):
-        return True
-    x, y = set(a.split(" ")), set(b.split(" "))
-    return min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)) and len(x & y) >= SIMILARITY * len(x | y)
+@dataclass(frozen=True, order=True)
+class Entry:
+    """A normal form at a time, with its words."""
+
+    at: int
+    form: str
+    words: frozenset[str] = field(compare=False)
+
+    @staticmethod
+    def of(at: int, form: str) -> Entry:
+        return Entry(at, form, frozenset(form.split(" ")))
+
+    def near(self, other: Entry) -> bool:
+        """Whether two entries say the same; an empty one is near to none."""
+        a, b = sorted((self.form, other.form), key=len)
+        if not a:
+            return False
+        if a == b or (len(a) >= PART_CHARS and a in b):
+            return True
+        few, many = sorted((len(self.words), len(other.words)))
+        if few < SIMILARITY * many:
+            return False
+        shared = len(self.words & other.words)
+        return shared >= SIMILARITY * (few + many - shared)
 
 
 @dataclass
 class Recent:
-    """The latest kept entries of a scope, (seconds, form), the oldest first."""
+    """The latest kept entries of a scope, the oldest first."""
 
     seconds: int
-    kept: list[tuple[int, str]] = field(default_factory=list)
+    kept: list[Entry] = field(default_factory=list)
 
     def admit(self, at: int, form: str) -> bool:
         """Keep an entry unless it repeats one; entries come in the order of time, or nearly so on a stream."""
-        if any(abs(at - t) <= self.seconds and near(form, other) for t, other in reversed(self.kept)):
+        new = Entry.of(at, form)
+        if any(abs(at - e.at) <= self.seconds and new.near(e) for e in reversed(self.kept)):
             return False
-        self.kept = sorted([*self.kept, (at, form)])[-RECENT:]
+        self.kept = sorted([*self.kept, new])[-RECENT:]
         return True
 
     def forget(self, now: int) -> None:
-        self.kept = [x for x in self.kept if now - x[0] <= self.seconds]
+        self.kept = [e for e in self.kept if now - e.at <= self.seconds]
 
 
 def _prepared(entries: DataFrame) -> DataFrame:
@@ -98,14 +115,14 @@ class _Window(StatefulProcessor):
         self.recent = handle.getListState("recent", "at long, form string")
 
     def _load(self) -> Recent:
-        return Recent(self.seconds, sorted((int(r[0]), r[1]) for r in self.recent.get()))
+        return Recent(self.seconds, sorted(Entry.of(int(r[0]), r[1]) for r in self.recent.get()))
 
     def _store(self, recent: Recent) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if recent.kept:
-            self.recent.put(recent.kept)
-            self.handle.registerTimer((recent.kept[0][0] + self.seconds + 1) * 1000)
+            self.recent.put([(e.at, e.form) for e in recent.kept])
+            self.handle.registerTimer((recent.kept[0].at + self.seconds + 1) * 1000)
         else:
             self.recent.clear()
 
