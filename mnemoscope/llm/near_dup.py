@@ -62,7 +62,7 @@ SIMILARITY = 0.8
 BANDS, PLAIN_BANDS, ROWS = 16, 16, 5
 DF_BITS, DF_ROWS = 20, 2
 DF_BLOCK_BITS = 12
-SALT, BLOCK, FEW = 64, 128, 32
+SALT, BLOCK, FEW = 64, 512, 32
 _POOL_BITS = 14
 _SEEDS = tx.mix(np.arange(1, BANDS * ROWS + DF_ROWS + 2, dtype=tx.U64) * tx.U64(0xA0761D6478BD642F))
 _PLAIN_SEEDS = tx.mix(np.arange(1, PLAIN_BANDS * ROWS // 2 + 1, dtype=tx.U64) * tx.U64(0x8EBC6AF09C88C6E3))
