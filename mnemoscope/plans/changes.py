@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import gates, json_walk, patches, recall, trigrams
 from ..operators.graph import ensure_checkpoint_dir
+from ..sources import readers
 from ..streaming import dedupe, harvest
 from .registry import query
 from .views import observations, table
@@ -193,3 +194,16 @@ def cli_graph_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("docs")))).select("word", (F.col("n") / F.col("docs")).alias("weight"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return gates.graph_auto(asked, {"A": "tion", "B": "ei.*ung"}, probe, words=words, strong=0.03, weak=0.01)
+
+
+@query(rf"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(upper(x), '\[SECRET\]|\[PRIVATE\]|\[NOEXPORT\]|\[NOMEM\]')) AS xs FROM documents),
+    r AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS cur, 0::BIGINT AS next, 0::BIGINT AS own FROM p UNION ALL SELECT r.doc_id, r.i + 1, CASE WHEN n > {readers.CHUNK_CHARS} THEN 0 WHEN over THEN n + 2 ELSE cur + n + 2 END, next + over::BIGINT + (n > {readers.CHUNK_CHARS})::BIGINT, next + over::BIGINT
+        FROM r JOIN p ON p.doc_id = r.doc_id AND r.i < len(xs), LATERAL (SELECT length(xs[r.i + 1]) AS n) a, LATERAL (SELECT cur > 0 AND cur + n + 2 > {readers.CHUNK_CHARS} AS over) b),
+    x AS (SELECT r.doc_id, i, own, xs[i] AS x FROM r JOIN p ON p.doc_id = r.doc_id WHERE i > 0),
+    c AS (SELECT doc_id, own, 0 AS k, string_agg(x, chr(10) || chr(10) ORDER BY i) AS text FROM x WHERE length(x) <= {readers.CHUNK_CHARS} GROUP BY 1, 2 UNION ALL
+        SELECT doc_id, own, k, regexp_replace(substr(x, (k * {readers.CHUNK_CHARS} + 1)::INTEGER, {readers.CHUNK_CHARS}), '^\s+|\s+$', '', 'g') FROM (SELECT *, unnest(range((length(x) - 1) // {readers.CHUNK_CHARS} + 1)) AS k FROM x WHERE length(x) > {readers.CHUNK_CHARS}))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY own, k) - 1 AS INTEGER) AS ordinal, length(text) AS chars, sha256(text) AS digest FROM c WHERE text <> ''""")
+def src_paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of whole paragraphs (a line stands for one), as the walk through a workspace cuts its files."""
+    chunks = readers.paragraph_chunks(table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
+    return chunks.select("doc_id", "ordinal", F.length("text").cast("long").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -105,3 +106,39 @@ def markdown_chunks(docs: DataFrame, *, max_chars: int = 1200) -> DataFrame:
 
     chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, ordinal int, heading_path string, title string, text string")
     return chunks.withColumn("hash", F.sha1(F.concat_ws("\n", "heading_path", "title", "text").cast("binary")))
+
+
+#: Marks of paragraphs that are left out, in any case, and the size of chunks. Fixed values.
+DENY_MARKERS, CHUNK_CHARS = ("[SECRET]", "[PRIVATE]", "[NOEXPORT]", "[NOMEM]"), 1600
+
+
+def workspace(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text) of the Markdown files below ``folder``, whole; hidden files and folders are passed over, bytes that are no UTF-8 become U+FFFD."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def paragraph_chunks(docs: DataFrame, *, max_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(ordinal, text and all other columns) of ``docs`` (text and more): paragraphs packed in order up to ``max_chars``, one row for each chunk.
+
+    Paragraphs end at blank lines. One with a mark of ``DENY_MARKERS`` is left out; a longer one than ``max_chars`` is cut, and its parts
+    are chunks of their own. White space at ends is ASCII white space. A null or empty text has no chunk.
+    """
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    kept = lambda x: (x != "") & ~F.upper(x).rlike("|".join(re.escape(m) for m in DENY_MARKERS))
+    parts = F.filter(F.transform(F.split("text", r"\n\s*\n", -1), strip), kept)
+    none = F.array().cast("array<string>")
+
+    def step(a: Column, x: Column) -> Column:
+        held, size = a["held"], F.length(x)
+        full = (held != "") & (F.length(held) + 2 + size + 2 > max_chars)
+        done = F.when(full, F.array_append(a["done"], held)).otherwise(a["done"])
+        before = F.when(full, F.lit("")).otherwise(held)
+        pieces = F.filter(F.transform(F.sequence(F.lit(1), size, F.lit(max_chars)), lambda i: strip(x.substr(i, F.lit(max_chars)))), kept)
+        joined = F.when(before == "", x).otherwise(F.concat(before, F.lit("\n\n"), x))
+        long = size > max_chars
+        return F.struct(F.when(long, F.concat(done, pieces)).otherwise(done).alias("done"), F.when(long, before).otherwise(joined).alias("held"))
+
+    last = lambda a: F.when(a["held"] == "", a["done"]).otherwise(F.array_append(a["done"], a["held"]))
+    chunks = F.aggregate(parts, F.struct(none.alias("done"), F.lit("").alias("held")), step, last)
+    return docs.select(*(c for c in docs.columns if c != "text"), F.posexplode(chunks).alias("ordinal", "text"))

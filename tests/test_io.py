@@ -79,3 +79,38 @@ def test_bad_lines_are_told_apart(spark):
     rows = spark.createDataFrame([("",), ("{x",), ('{"ts_ms": 1}',), ('{"ts_ms": 5, "type": "tool.call"}',)], "value string")
     got = events.parsed(rows).select("error", F.length("event_id").alias("n")).collect()
     assert [r.error for r in got] == ["blank", "invalid_json", "invalid_event", None] and got[3].n == 64
+
+
+def plain_chunks(text, most=1600):
+    import re
+
+    marked = lambda x: any(m in x.upper() for m in readers.DENY_MARKERS)
+    chunks, held, size = [], [], 0
+    for piece in (x.strip() for x in re.split(r"\n\s*\n", text)):
+        if piece and not marked(piece):
+            if held and size + len(piece) + 2 > most:
+                chunks.append("\n\n".join(held))
+                held, size = [], 0
+            if len(piece) > most:
+                chunks += [x for i in range(0, len(piece), most) if (x := piece[i : i + most].strip()) and not marked(x)]
+            else:
+                held.append(piece)
+                size += len(piece) + 2
+    return chunks + (["\n\n".join(held)] if held else [])
+
+
+def test_workspace_walk(spark, tmp_path):
+    """Markdown files at any depth but hidden ones, packed by paragraphs, marked ones left out."""
+    import random
+
+    r = random.Random(4)
+    text = "\n \n".join("x" * r.choice([1, 30, 500, 1590, 1600, 1601, 4000]) + r.choice(["", " ", " [nomem]", "\ny"]) for _ in range(60))
+    files = {"a.md": text, "deep/er/b.md": "one\n\ntwo\n\n\n[Secret] three", ".hidden/c.md": "no", "deep/.d.md": "no", "e.txt": "no", "f.md": "", "g.md": "x" * 3200}
+    for name, body in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    (tmp_path / "bad.md").write_bytes(b"ok \xff")
+    got = {}
+    for row in readers.paragraph_chunks(readers.workspace(spark, str(tmp_path))).orderBy("path", "ordinal").collect():
+        got.setdefault(row.path.split(f"{tmp_path}/")[1], []).append(row.text)
+    assert got == {"a.md": plain_chunks(text), "deep/er/b.md": ["one\n\ntwo"], "g.md": ["x" * 1600] * 2, "bad.md": ["ok \ufffd"]}
