@@ -34,7 +34,8 @@ Words are runs of letters and digits (ASCII case folded, other ASCII a separator
 other characters part of a word).  Edge cases: null or empty texts and those
 without words match nothing; a document of fewer than ``shingle`` words can hold
 short items only.  Repeated items and documents each give their own row.  Null ids
-are kept.  Extra columns are not read.
+are kept.  A containment that ties with the threshold counts.  Very long documents are searched
+whole.  Without documents or items there are no pairs.  Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ Thresholds are joined back to the documents; their table has a row for each
 
 Edge cases: null or empty texts have no words and fail the base rule.  Null
 languages or sources form groups of their own.  Repeated rows count each time.
-Extra columns are not read.
+A ratio that ties with its limit passes.  Very long texts are counted whole, each as a slice of
+its own.  An empty table gives an empty table.  Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ alternation first rules out texts without any trigger.
 Edge cases: null texts read as empty.  A blob in a third of all versions is one
 row after map-side aggregation.  Rules find leftmost, non-overlapping matches
 per rule; matches whose secret is too short are dropped after matching.  Null ids
-and repeated rows each keep their row.  Extra columns are not read.
+and repeated rows each keep their row.  Spans that begin together go by the order of the rules.
+Very long texts are scanned whole; an empty table leaves an empty ledger.  Extra columns are not read.
 """
 
 from __future__ import annotations

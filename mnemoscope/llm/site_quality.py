@@ -20,7 +20,9 @@ Edge cases: null or empty texts have all features 0.  Null hosts and paths are
 groups of their own.  Without labels, or with one class only, the smoothed rate
 stands in for the model.  Repeated ids in labels count once (the largest label);
 of the texts of a
-repeated document one is used in training; each is judged.  Extra columns are not read.
+repeated document one is used in training; each is judged.
+Ties get the same score.  Very long texts are read whole.  An empty table gives an empty table.
+Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -20,8 +20,8 @@ the tasks return, so a lost or repeated task leaves no wrong archive.
 
 Edge cases: a null payload is empty; empty payloads are duplicates of each other
 like any other.  Null page ids: never the response while another id is there.
-Repeated rows with the largest id are all responses.  A table without rows
-writes no archive.  Extra columns are not read.
+Repeated rows with the largest id, which tie, are all responses.  A very long payload is one
+record, held whole by one task.  A table without rows writes no archive.  Extra columns are not read.
 """
 
 from __future__ import annotations
