@@ -102,3 +102,19 @@ def routed(docs: DataFrame, queries: DataFrame, k: int, *, weak: int = 1) -> Dat
     fused = kept.groupBy("query_id", "id").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"), F.min("lane").alias("l0"), F.max("lane").alias("l1"))
     named = fused.select("query_id", "id", F.when(F.col("l0") == F.col("l1"), F.col("l0")).otherwise("both").alias("lane"), "score")
     return best(named, k, by=[F.desc("score"), F.col("id")], groups=["query_id"])
+
+
+def named_ids(snippets: DataFrame) -> DataFrame:
+    """(query_id, id, score) of the ids that lines of ``snippets`` (query_id, query, snippet) name as obs#N, each once with its best line.
+
+    An id that the query names itself scores 10 more than lines that do not; each distinct word of three characters or more that line and query share scores 1.
+    Ids that share nothing score 0 and stay. Null and empty snippets name nothing.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(ascii_lower(F.coalesce(c, F.lit(""))), F.lit(r"[a-z0-9_]+(?:#\d+)?"), F.lit(0)), lambda w: F.length(w) >= 3))
+    lines = snippets.select("query_id", words(F.col("query")).alias("asked"), F.explode(F.split("snippet", r"\r?\n")).alias("line"))
+    ids = F.array_distinct(F.regexp_extract_all("line", F.lit(r"obs#(\d+)"), F.lit(1)))
+    each = lines.select("query_id", "asked", words(F.col("line")).alias("said"), F.explode(ids).alias("id"))
+    name = F.concat(F.lit("obs#"), F.col("id"))
+    shared = F.size(F.filter(F.array_intersect("asked", "said"), lambda w: ~w.startswith("obs#")))
+    score = F.when(F.array_contains("asked", name), 10).otherwise(0) + shared
+    return each.groupBy("query_id", F.col("id").cast("long").alias("id")).agg(F.max(score).cast("long").alias("score"))

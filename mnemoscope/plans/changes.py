@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import gates, json_walk, patches, recall, trigrams
+from ..operators import gates, json_walk, lexical, patches, recall, trigrams
 from ..operators.graph import ensure_checkpoint_dir
 from ..sources import readers
 from ..streaming import dedupe, harvest
@@ -207,3 +207,18 @@ def src_paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks of whole paragraphs (a line stands for one), as the walk through a workspace cuts its files."""
     chunks = readers.paragraph_chunks(table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
     return chunks.select("doc_id", "ordinal", F.length("text").cast("long").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+_NAMED = "list_distinct(list_filter(regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+(?:#[0-9]+)?'), lambda w: length(w) >= 3))"
+
+
+@query(f"""WITH s AS (SELECT item_id AS query_id, 'need obs#' || (item_id * 10 + 3) || ' ' || text AS query FROM benchmark), l AS (SELECT doc_id // 10 AS query_id, doc_id AS id, '- obs#' || doc_id || ' ' || lang || ' :: ' || replace(coalesce(text, ''), chr(10), ' ') AS line FROM documents)
+    SELECT query_id, id, (CASE WHEN query LIKE '%obs#' || id || ' %' THEN 10 ELSE 0 END + len(list_filter(list_intersect({_NAMED.format('query')}, {_NAMED.format('line')}), lambda w: NOT starts_with(w, 'obs#'))))::BIGINT AS score FROM s JOIN l USING (query_id)""")
+def cli_named_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets of ten documents each, one a line, ranked against the benchmark's questions by the id that a question names and by shared words."""
+    d = table(spark, sf_dir, "documents")
+    line = F.concat(F.lit("- obs#"), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang"), F.lit(" :: "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
+    # Ten lines make a snippet.
+    snippets = d.groupBy(F.expr("doc_id div 10").alias("q")).agg(F.array_join(F.collect_list(line), "\n").alias("snippet"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("need obs#"), (F.col("item_id") * 10 + 3).cast("string"), F.lit(" "), "text").alias("query"))
+    return lexical.named_ids(asked.join(snippets, F.col("query_id") == F.col("q")).select("query_id", "query", "snippet"))

@@ -191,3 +191,9 @@ def test_scopes_of_documents(spark):
     assert ask("x:repo", "repo_prefix") == [True, False, False, False] and ask("team:docs", "path_prefix") == [False, True, False, False]
     assert ask("s", "map", F.array(F.lit("docs"))) == [False, False, False, True] and ask("s", "map", F.lit(None).cast("array<string>")) == [False] * 4
     assert ask("global", "map", F.lit(None).cast("array<string>")) == [True] * 4 and ask("s", "none") == [True] * 4
+
+
+def test_ids_that_a_snippet_names(spark):
+    rows = [(1, "obs#5", "- obs#1 tool :: alpha\n- obs#5 tool :: harvest test\n"), (2, "harvest status", "- obs#12 x :: harvest\r\n- obs#7 y :: Harvest status of obs#12"), (3, None, "obs#9"), (4, "x", None), (5, "x", "nothing")]
+    got = {(r.query_id, r.id): r.score for r in lexical.named_ids(spark.createDataFrame(rows, "query_id long, query string, snippet string")).collect()}
+    assert got == {(1, 5): 10, (1, 1): 0, (2, 12): 2, (2, 7): 2, (3, 9): 0}
