@@ -78,6 +78,12 @@ def test_only_the_latest_are_remembered(spark):
     assert 99 in ids(dedupe.first_in_window(entries(spark, rows)))
 
 
+def test_of_one_time_the_first_is_forgotten_first(spark):
+    """The 64 latest are those that came last, not those whose text sorts last."""
+    rows = [("a", 0.0, 0, "zz the first one")] + [("a", 0.0, i, f"thing number{i} x{i}") for i in range(1, 65)] + [("a", 1.0, 98, "thing number1 x1"), ("a", 1.0, 99, "zz the first one")]
+    assert ids(dedupe.first_in_window(entries(spark, rows))) == [*range(65), 99]
+
+
 def test_empty_and_nothing(spark):
     assert dedupe.first_in_window(entries(spark, []).limit(0)).count() == 0
     rows = spark.createDataFrame([("a", None, 1, "x"), ("a", None, 2, "x")], SCHEMA)
