@@ -33,19 +33,30 @@ KNOWN = ("ts", "kind", "summary", "summary_en", "text_en", "lang", "tool_name",
 
 def merged_detail(line: Column) -> Column:
     """The detail of a JSON line as JSON: its own object (given as such or as text), and over it all keys that are no columns; keys in order."""
-    top = F.from_json(line, "map<string,variant>")
-    given = F.coalesce(top["detail"], top["detail_json"])
-    written = F.try_variant_get(given, "$", "string")
-    is_text = F.schema_of_variant(given) == "STRING"
-    body = F.when(is_text, written).otherwise(F.to_json(given))
-    own = F.from_json(F.when(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), body), "map<string,variant>")
-    other = F.map_from_arrays(F.array(F.when(is_text, "_raw_detail").otherwise("_detail")), F.array(given))
-    own = F.when(given.isNull(), None).otherwise(F.coalesce(own, other))
-    extra = F.map_filter(top, lambda k, v: ~k.isin(*KNOWN))
-    kept = F.map_filter(own, lambda k, v: ~F.array_contains(F.map_keys(extra), k))
-    both = F.coalesce(F.map_concat(kept, extra), extra)
-    keys = F.array_sort(F.map_keys(both))
-    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: both[k])))
+    # Values under a name: a lambda's variable is made once, a column that is named twice as often as it is named.
+    let = lambda value, then: F.transform(F.array(value), then)[0]
+
+    def own_keys(given: Column) -> Column:
+        is_text = F.schema_of_variant(given) == "STRING"
+        body = F.when(is_text, F.try_variant_get(given, "$", "string")).otherwise(F.to_json(given))
+        held = let(body, lambda b: F.from_json(F.when(F.schema_of_variant(F.try_parse_json(b)).startswith("OBJECT"), b), "map<string,variant>"))
+        other = F.map_from_arrays(F.array(F.when(is_text, "_raw_detail").otherwise("_detail")), F.array(given))
+        return F.when(given.isNull(), None).otherwise(F.coalesce(held, other))
+
+    def merged(own: Column, extra: Column) -> Column:
+        kept = let(F.map_keys(extra), lambda names: F.map_filter(own, lambda k, v: ~F.array_contains(names, k)))
+        return F.coalesce(F.map_concat(kept, extra), extra)
+
+    def in_order(both: Column) -> Column:
+        by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(both), by_key)))
+
+    def of(top: Column) -> Column:
+        own = let(F.coalesce(top["detail"], top["detail_json"]), own_keys)
+        extra = F.map_filter(top, lambda k, v: ~k.isin(*KNOWN))
+        return let(own, lambda o: let(extra, lambda e: let(merged(o, e), in_order)))
+
+    return let(F.from_json(line, "map<string,variant>"), of)
 
 
 def content_hash(text: Column) -> Column:
