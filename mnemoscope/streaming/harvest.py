@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import label_of, parse_importance, unit
-from ..functions.text import kind_of, text_vector
+from ..functions.text import kind_of, once, text_vector
 from ..sources import readers
 from ..sources.batches import BatchTable
 
@@ -33,18 +33,15 @@ KNOWN = ("ts", "kind", "summary", "summary_en", "text_en", "lang", "tool_name",
 
 def merged_detail(line: Column) -> Column:
     """The detail of a JSON line as JSON: its own object (given as such or as text), and over it all keys that are no columns; keys in order."""
-    # Values under a name: a lambda's variable is made once, a column that is named twice as often as it is named.
-    let = lambda value, then: F.transform(F.array(value), then)[0]
-
     def own_keys(given: Column) -> Column:
         is_text = F.schema_of_variant(given) == "STRING"
         body = F.when(is_text, F.try_variant_get(given, "$", "string")).otherwise(F.to_json(given))
-        held = let(body, lambda b: F.from_json(F.when(F.schema_of_variant(F.try_parse_json(b)).startswith("OBJECT"), b), "map<string,variant>"))
+        held = once(body, lambda b: F.from_json(F.when(F.schema_of_variant(F.try_parse_json(b)).startswith("OBJECT"), b), "map<string,variant>"))
         other = F.map_from_arrays(F.array(F.when(is_text, "_raw_detail").otherwise("_detail")), F.array(given))
         return F.when(given.isNull(), None).otherwise(F.coalesce(held, other))
 
     def merged(own: Column, extra: Column) -> Column:
-        kept = let(F.map_keys(extra), lambda names: F.map_filter(own, lambda k, v: ~F.array_contains(names, k)))
+        kept = once(F.map_keys(extra), lambda names: F.map_filter(own, lambda k, v: ~F.array_contains(names, k)))
         return F.coalesce(F.map_concat(kept, extra), extra)
 
     def in_order(both: Column) -> Column:
@@ -52,11 +49,11 @@ def merged_detail(line: Column) -> Column:
         return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(both), by_key)))
 
     def of(top: Column) -> Column:
-        own = let(F.coalesce(top["detail"], top["detail_json"]), own_keys)
+        own = once(F.coalesce(top["detail"], top["detail_json"]), own_keys)
         extra = F.map_filter(top, lambda k, v: ~k.isin(*KNOWN))
-        return let(own, lambda o: let(extra, lambda e: let(merged(o, e), in_order)))
+        return once(own, lambda o: once(extra, lambda e: once(merged(o, e), in_order)))
 
-    return let(F.from_json(line, "map<string,variant>"), of)
+    return once(F.from_json(line, "map<string,variant>"), of)
 
 
 def content_hash(text: Column) -> Column:
@@ -66,16 +63,17 @@ def content_hash(text: Column) -> Column:
 def observations(lines: DataFrame) -> DataFrame:
     """OBSERVATION's columns but for ``id`` of ``lines`` (line, detail, error), as ``readers.observation_lines`` gives them."""
     rows = readers.normalised(lines.withColumn("merged", merged_detail(F.col("line"))), keep=("merged",))
-    importance = _importance(F.col("merged"))
+    rows = rows.withColumn("importance", _importance(F.col("merged")))
+    importance = F.col("importance")
     return rows.select(
-        "ts", kind_of(F.col("summary"), F.col("kind")).alias("kind"), "tool_name", "summary", "summary_en", "lang", "scope", F.col("merged").alias("detail"), importance.alias("importance"),
+        "ts", kind_of(F.col("summary"), F.col("kind")).alias("kind"), "tool_name", "summary", "summary_en", "lang", "scope", F.col("merged").alias("detail"), "importance",
         label_of(importance).alias("label"), content_hash(F.col("summary")).alias("hash"),
     )
 
 
 def _importance(detail: Column) -> Column:
-    v = F.try_parse_json(detail)
-    return parse_importance(F.coalesce(F.try_variant_get(v, "$.importance.score", "string"), F.try_variant_get(v, "$.importance", "string")))
+    said = lambda v: F.coalesce(F.try_variant_get(v, "$.importance.score", "string"), F.try_variant_get(v, "$.importance", "string"))
+    return once(once(F.try_parse_json(detail), said), parse_importance)
 
 
 def without_vectors(rows: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
