@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import lexical, ranking, vector
+from ..operators import lexical, ranking, trigrams, vector
 from .registry import query
 from .views import NOW, facts, now, observations, table, turns, vectors
 
@@ -28,7 +28,7 @@ def lexical_lane(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """(query_id, id, score, rank) of BM25: every benchmark item asks all documents."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return ranking.best(lexical.bm25(docs, asked).drop("n_terms"), k, by=[F.desc("score"), F.col("id")], groups=["query_id"])
+    return lexical.bm25_best(docs, asked, k).drop("n_terms")
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, id, round(score, 4) AS score, rank FROM lex WHERE rank <= 10")
@@ -155,8 +155,8 @@ def fct_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ret_episodic_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions by the hits their events have for each question."""
     t = turns(spark, sf_dir)
-    hits = lexical.bm25(t.select(F.col("event_id").alias("id"), F.col("summary").alias("text")), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")).drop("n_terms")
-    best = ranking.best(hits, 20, by=[F.desc("score"), F.col("id")], groups=["query_id"]).join(t.select(F.col("event_id").alias("id"), "session_id", "type", "ts"), "id")
+    hits = lexical.bm25_best(t.select(F.col("event_id").alias("id"), F.col("summary").alias("text")), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 20).drop("n_terms")
+    best = hits.join(t.select(F.col("event_id").alias("id"), "session_id", "type", "ts"), "id")
     sessions = best.groupBy("query_id", "session_id").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").cast("long").alias("best_rank"), F.max("score").alias("best_score"), F.unix_timestamp(F.max("ts")).alias("latest"), F.count_if(F.col("type") == "conversation.user").alias("user_hits"))
     return ranking.ranked(sessions, by=[F.desc("hits"), F.col("best_rank"), F.desc("latest"), F.col("session_id")], groups=["query_id"], name="place").withColumn("place", F.col("place").cast("long"))
 
@@ -166,15 +166,9 @@ def ret_episodic_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval quality: does BM25 find the documents that hold a benchmark item word for word?"""
     first = F.col("rank")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # An item's second to sixth word must stand in the document as words: an equality, then the exact test.
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(words("text"), 2, 5), " ").alias("k"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))
-    each = docs.withColumn("w", words(F.col("text"))).select("doc_id", F.explode(F.array_distinct(runs)).alias("k"))
-    met = lexical.only_asked(each, items, "k").join(items, "k").select("doc_id", "item_id", "item").distinct()
-    spots = met.join(docs, "doc_id").where(F.contains("text", F.col("item")))
-    truth = spots.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    truth = trigrams.scanned(docs, items, fold=False)
     ranks = truth.join(lexical_lane(spark, sf_dir), ["query_id", "id"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
     return ranks.agg(
         F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.when(first <= 5, 1.0).otherwise(0.0)), 6).alias("recall_at_5"), F.round(F.avg(F.coalesce(1.0 / first, F.lit(0.0))), 6).alias("mrr"),

@@ -197,3 +197,22 @@ def test_ids_that_a_snippet_names(spark):
     rows = [(1, "obs#5", "- obs#1 tool :: alpha\n- obs#5 tool :: harvest test\n"), (2, "harvest status", "- obs#12 x :: harvest\r\n- obs#7 y :: Harvest status of obs#12"), (3, None, "obs#9"), (4, "x", None), (5, "x", "nothing")]
     got = {(r.query_id, r.id): r.score for r in lexical.named_ids(spark.createDataFrame(rows, "query_id long, query string, snippet string")).collect()}
     assert got == {(1, 5): 10, (1, 1): 0, (2, 12): 2, (2, 7): 2, (3, 9): 0}
+
+
+@pytest.mark.parametrize("at_once", [2, 4096])
+def test_the_best_hits_equal_all_hits(spark, monkeypatch, at_once):
+    """Scored where the documents lie, or by shuffled pairs if the queries are many: the same rows as the best of all."""
+    from mnemoscope.operators import lexical, ranking
+
+    monkeypatch.setattr(lexical, "QUERIES_AT_ONCE", at_once)
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(30)] + ["É", "x"]
+    docs = spark.createDataFrame([(i, r.choice([None, ""]) if i % 20 == 0 else " ".join(r.choices(words, k=r.randrange(1, 12)))) for i in range(300)], "id long, text string").repartition(5)
+    asked = spark.createDataFrame([(q, " ".join(r.sample(words, 1 + q % 4)).upper()) for q in range(9)] + [(9, "nowhere"), (10, None)], "query_id long, text string")
+    every = lexical.bm25(docs, asked)
+    plain = lambda df: sorted(map(tuple, df.select("query_id", "id", F.round("score", 5), "rank").collect()))
+    got = lexical.bm25_best(docs, asked, 6)
+    assert plain(got) == plain(ranking.best(every, 6, by=[F.desc("score"), F.col("id")], groups=["query_id"]))
+    assert {"every", "need"}.isdisjoint(got.columns) and got.count() > 40
+    by = lambda df: sorted(map(tuple, ranking.best(df, 3, by=[F.desc("score"), F.col("id")], groups=["query_id"]).select("query_id", "id", "mode", F.round("score", 5)).collect()))
+    assert by(lexical.relaxed(docs, asked, k=3)) == by(lexical.relaxed(docs, asked))
