@@ -216,3 +216,27 @@ def test_the_best_hits_equal_all_hits(spark, monkeypatch, at_once):
     assert {"every", "need"}.isdisjoint(got.columns) and got.count() > 40
     by = lambda df: sorted(map(tuple, ranking.best(df, 3, by=[F.desc("score"), F.col("id")], groups=["query_id"]).select("query_id", "id", "mode", F.round("score", 5)).collect()))
     assert by(lexical.relaxed(docs, asked, k=3)) == by(lexical.relaxed(docs, asked))
+
+
+def test_nearest_edges_against_all(spark):
+    """All edges within two steps, each at its least depth, cut to the first k; a hub, loops and repeated edges are among them."""
+    r = random.Random(3)
+    rows = [(f"n{r.randrange(12)}", f"n{r.randrange(12)}", r.choice("xy"), f"p{r.randrange(3)}") for _ in range(40)] + [("hub", f"n{i % 12}", "x", f"p{i}") for i in range(60)] + [("n1", "n1", "x", "p"), ("n1", "n1", "x", "p")]
+    starts = [f"n{i}" for i in range(12)] + ["hub", "alone"]
+    for k in (1, 4, 25):
+        got = graph.nearest_edges(spark.createDataFrame(rows, "src string, dst string, type string, provenance string"), spark.createDataFrame([(s, s) for s in starts], "start string, node_id string"), k)
+        want = []
+        for s in starts:
+            near = {x for e in rows if s in e[:2] for x in e[:2]}
+            depth = {e: 1 if s in e[:2] else 2 for e in rows if set(e[:2]) & (near | {s})}
+            want += [(s, *e, d, i + 1) for i, (d, e) in enumerate(sorted((d, e) for e, d in depth.items())[:k])]
+        assert sorted(map(tuple, got.select("start", "src", "dst", "type", "provenance", "depth", "rank").collect())) == sorted(want)
+
+
+def test_equal_names_are_searched_once(spark, monkeypatch):
+    from mnemoscope import plans
+
+    seen, hits = [], lexical.substring_hits
+    monkeypatch.setattr(lexical, "substring_hits", lambda docs, asked: (seen.append((docs.count(), asked.count())), hits(docs, asked))[1])
+    plans.QUERIES["ret_cjk"](spark, "/root/testdata/sf0.01")
+    assert seen[0][0] == seen[0][1] < 100
