@@ -90,3 +90,12 @@ def test_remember(spark):
         (None, "plan", 0.456, "ignore", "Team", "- [PLAN] Buy milk (importance: 0.46, ignore)"), ("empty text", None, None, None, None, None), ("empty text", None, None, None, None, None),
         (None, "decision", 1.0, "must_remember", None, "- [DECISION] we decided so (importance: 1.00, must_remember)"),
     ]
+
+
+def test_costly_values_are_made_once(spark):
+    """A line is taken apart once for its merged detail, and a vector is made once though a filter names it too."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    lines = spark.createDataFrame([("{}",)], "line string")
+    assert plan(lines.select(harvest.merged_detail(F.col("line")))).count("line#") <= 4
+    vectors = lines.select(text_vector(F.col("line"), 16).alias("v")).where("exists(v, x -> x <> 0)")
+    assert plan(vectors).count("ArrowEvalPython") == 1
