@@ -28,6 +28,24 @@ def links(rows):
     return {pair: n for pair, n in out.items() if n >= 2}
 
 
+@pytest.mark.parametrize("frequent", [2, 8])
+def test_clusters_of_turns(spark, told, monkeypatch, frequent):
+    monkeypatch.setattr(filters_joins, "FREQUENT", frequent)
+    folder, rows = told
+    found, label = links(rows), {}
+    for pair in found:
+        label |= {x: x for x in pair}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in found:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    got = filters_joins.token_components(spark, folder).collect()
+    assert len(got) == len(label) and {r.node: r.label for r in got} == label
+
+
 def test_pairs_are_counted_in_as_many_tasks_as_they_need(spark, told, monkeypatch):
     monkeypatch.setattr(filters_joins, "PAIRS_A_TASK", 20)
     folder, rows = told
