@@ -285,5 +285,6 @@ _PAYLOAD = """CASE event_id % 5 WHEN 0 THEN '{"stdout": "x", " STDERR ": 1, "not
     ELSE replace(props, ' ', '') END AS body FROM events)""")
 def jsn_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads made safe and small; four of five are given something to leave out, since the table has nothing of that kind."""
-    e = table(spark, sf_dir, "events").select("event_id", json_text.bounded(F.expr(_PAYLOAD)).alias("body"))
+    # The work of a row is far more than its bytes, by which a file is cut to tasks.
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "props").repartition("event_id").select("event_id", json_text.bounded(F.expr(_PAYLOAD)).alias("body"))
     return e.withColumn("truncated", F.contains("body", F.lit('"_truncated":')))

@@ -1,6 +1,8 @@
 """Column functions on small cases."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +150,15 @@ def test_challenger_needs_evidence(spark):
     got = [r[0] for r in f.select(cards.challenged(*(F.col(c) for c in f.columns))).collect()]
     assert [g.risk for g in got] == ["medium", "low", "high", "medium"]
     assert "staleness_evidence_weak" in got[0].reasons and got[2].reasons == ["invalid_importance_reason_code"]
+
+
+def test_secrets_are_looked_for_where_a_mark_of_them_stands(monkeypatch):
+    draw = random.Random(3)
+    parts = ["password", "PaSSwd", "pa\u017f\u017fword", ":", "=", " ", "x1", "sk-" + "a" * 20, "sk-proj-" + "b" * 16, "AKIA" + "A1" * 8, "ghp_" + "c" * 20, "github_pat_" + "d" * 20, "xoxb-" + "e" * 10, "-----BEGIN RSA PRIVATE KEY-----",
+             "BEARER " + "f" * 24, "Authorization: Bearer " + "g" * 16, "aws_secret_access_key=" + "h" * 20, "a@b.org", "\u0661" * 9, "+1 (555) 123-4567", "."]
+    for _ in range(3000):
+        value = draw.choice(["", " "]).join(draw.choices(parts, k=draw.randint(1, 4)))
+        plain = "[REDACTED_SECRET]" if re.search(text.any_of(text.SECRET_LIKE), value) else re.sub(text.PHONE, "[REDACTED_PHONE]", re.sub(text.EMAIL, "[REDACTED_EMAIL]", value))
+        assert json_text._safe(value) == plain, value
+    monkeypatch.setattr(json_text, "_SECRETS", [(marks, None) for marks, _ in json_text._SECRETS])
+    assert json_text._safe("xy" * 2000) == "xy" * 2000
