@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from . import text as tx
-from .session import prepare, unused_names
+from .session import prepare, shuffles_freed, unused_names
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -369,8 +369,13 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = SIMILARITY) ->
 
     ``node`` is doc_id, or a negative stand-in for a null; ``class_id`` is the least node of the class.
     """
+    prepare(docs.sparkSession)
+    with shuffles_freed(docs.sparkSession):
+        return _classes(docs, threshold)
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     spark = docs.sparkSession
-    prepare(spark)
     body = F.coalesce("text", F.lit(""))
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("c1"), F.xxhash64(F.lit(1), body).alias("c2"),
@@ -423,7 +428,9 @@ def keep_one(docs: DataFrame, *, threshold: float = SIMILARITY) -> DataFrame:
     Of repeated rows (equal id) one stays, that with the least content hash.
     """
     # One content for each kept document, so that rows which repeat its id with other texts fall away.
-    classes = near_duplicate_classes(docs, threshold=threshold).where("node = class_id").groupBy("node").agg(F.min(F.struct("c1", "c2")).alias("c"), F.count(F.lit(1)).alias("n")).checkpoint()
+    classes = near_duplicate_classes(docs, threshold=threshold).where("node = class_id").groupBy("node").agg(F.min(F.struct("c1", "c2")).alias("c"), F.count(F.lit(1)).alias("n"))
+    with shuffles_freed(docs.sparkSession):
+        classes = classes.checkpoint()
     key, keeper, again, c1, c2, b1, b2 = unused_names(docs, "key", "keeper", "again", "c1", "c2", "b1", "b2")
     keepers = classes.select(F.col("node").alias(keeper), (F.col("n") > 1).alias(again), F.col("c.c1").alias(c1), F.col("c.c2").alias(c2))
     body = F.coalesce("text", F.lit(""))

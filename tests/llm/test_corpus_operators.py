@@ -1,6 +1,8 @@
 """Each operator against a plain version: nulls, empties, long texts, ties, repeats, extra columns, empty tables."""
 
 import hashlib
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -88,6 +90,19 @@ def test_near_duplicates(hard, hard_rows):
     assert rows_of(near_dup.near_duplicate_classes(hard), "doc_id", "class_id") == sorted(((i, expected[i]) for i, _ in ids), key=repr)
 
 
+def test_near_duplicates_free_the_shuffles_of_each_step(spark, hard):
+    """No step's files are left, and the setting is as before."""
+    folders = [Path(str(x)) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    left = lambda: {f for top in folders for f in top.rglob("shuffle_*.data")} - before
+    before = set()
+    before = left()
+    near_dup.near_duplicate_classes(hard)
+    until = time.monotonic() + 20
+    while left() and time.monotonic() < until:  # files go a moment after the action
+        time.sleep(0.2)
+    assert not left() and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 def test_near_duplicates_on_documents(sf_docs):
     expected = brute.near_classes([(r.doc_id, r.text) for r in sf_docs.collect()])
     assert {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(sf_docs).collect()} == expected
