@@ -84,6 +84,16 @@ def test_of_one_time_the_first_is_forgotten_first(spark):
     assert ids(dedupe.first_in_window(entries(spark, rows))) == [*range(65), 99]
 
 
+@pytest.mark.parametrize("parts", [2, 7, 40])
+def test_a_scope_is_read_in_parts(spark, monkeypatch, parts):
+    """A scope is no single task, and parts change nothing: not where each kept entry hangs on the one before, nor where ranges cut a time."""
+    rows = some_rows(300) + [("chain", 20.0 * i, 1000 + i, "said again and again") for i in range(60)] + [("once", 5.0, 2000 + i, f"thing number{i % 70} x{i % 70}") for i in range(150)]
+    seen, real = [], dedupe._keep
+    monkeypatch.setattr(dedupe, "_keep", lambda seconds: seen.append(seconds) or real(seconds))
+    assert ids(dedupe.first_in_window(entries(spark, rows).repartition(5), parts=parts)) == plain(rows)
+    assert 2 <= len(seen) <= parts + 1
+
+
 def test_empty_and_nothing(spark):
     assert dedupe.first_in_window(entries(spark, []).limit(0)).count() == 0
     rows = spark.createDataFrame([("a", None, 1, "x"), ("a", None, 2, "x")], SCHEMA)
