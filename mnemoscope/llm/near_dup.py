@@ -85,7 +85,7 @@ def _df_cells(value: np.ndarray, row: int) -> np.ndarray:
 
 
 def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The partition's sketch of document frequencies, in blocks of cells; block -1 counts documents."""
+    """The partition's sketch of document frequencies, in blocks of cells that have a count (all, if no place is named); block -1 counts documents."""
     counts, docs = np.zeros((DF_ROWS, 1 << DF_BITS), np.uint32), 0
     for batch in batches:
         for _, piece in tx.slices(batch):
@@ -94,20 +94,29 @@ def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(DF_ROWS):
                 counts[r] += np.bincount(_df_cells(value, r), minlength=1 << DF_BITS).astype(np.uint32)
     if docs:
+        yield _cells([-1], [np.zeros(0, np.uint16)], [np.array([docs], np.uint32)])
         flat = counts.reshape(-1, 1 << DF_BLOCK_BITS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, *range(len(flat))], pa.int64()), pa.array([np.array([docs], np.uint32).tobytes(), *(x.tobytes() for x in flat)], pa.binary())], names=["block", "counts"]
-        )
+        held = [np.flatnonzero(x) for x in flat]
+        full = [3 * len(x) > 2 * flat.shape[1] for x in held]  # then places would take more than the zeros
+        at = [k for k, x in enumerate(held) if len(x)]
+        yield _cells(at, [held[k][: 0 if full[k] else None].astype(np.uint16) for k in at], [flat[k] if full[k] else flat[k][held[k]] for k in at])
+
+
+def _cells(block: list[int], place: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (place, counts))], names=["block", "place", "counts"])
 
 
 def _merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for block, place, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             more = np.frombuffer(counts.as_buffer(), np.uint32)
-            totals[block] = totals[block] + more if block in totals else more.astype(np.int64)
-    for block, total in totals.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
+            if block not in totals:
+                totals[block] = np.zeros(1 if block < 0 else 1 << DF_BLOCK_BITS, np.int64)
+            where = np.frombuffer(place.as_buffer(), np.uint16)
+            totals[block][where if len(where) else slice(None)] += more
+    if totals:
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names=["block", "counts"])
 
 
 class Idf:
@@ -125,7 +134,7 @@ class Idf:
 
 def document_frequencies(docs: DataFrame) -> Idf:
     """A count-min sketch of shingle document frequencies over all of ``docs`` (text)."""
-    merged = docs.select("text").mapInArrow(_count_parts, "block long, counts binary").repartition("block").mapInArrow(_merge_counts, "block long, counts binary")
+    merged = docs.select("text").mapInArrow(_count_parts, "block long, place binary, counts binary").repartition("block").mapInArrow(_merge_counts, "block long, counts binary")
     counts, n = np.zeros(DF_ROWS << DF_BITS, np.int64), 0
     for block, part in merged.collect():  # 16 MB at any size
         if block < 0:
@@ -402,7 +411,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     rows = docs.select("node", "c1", "c2", "text").withColumnRenamed("node", "d").join(wanted, ["c1", "c2", "d"]).select("node", "copies", "text")
     # A row can only be repeated if its text is.
     own_text = rows.where("copies = 1").select("node", "text").union(rows.where("copies > 1").select("node", "text").dropDuplicates(["node"])).checkpoint()
-    links = verified(own_text, pairs, shared, threshold).union(_texts_of_one_document(signed, texts)).checkpoint()
+    links = verified(own_text, pairs, shared, threshold).union(_texts_of_one_document(signed, texts))
     labels = components(links)
     met = members.select(F.col("low").alias("lead"), "node").where("lead <> node").distinct()
     extra = links_between_components(own_text, met, labels, shared, threshold).checkpoint()

@@ -5,11 +5,13 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from mnemoscope.llm import decontaminate, license_scan, mixing, near_dup, quality_rules, secret_scan, substring_dedup
+from mnemoscope.llm import text as tx
 
 SF = "/root/testdata/sf0.001"
 
@@ -103,6 +105,35 @@ def test_near_duplicates_free_the_shuffles_of_each_step(spark, hard):
     assert not left() and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
 
 
+def test_a_task_sends_the_cells_it_counted():
+    texts = pa.RecordBatch.from_arrays([pa.array(["one short text of some seven words", None, ""])], names=["text"])
+    assert sum(x.nbytes for x in near_dup._count_parts(iter([texts]))) < 1000
+
+
+@pytest.mark.parametrize("words", [12, 4000])
+def test_document_frequencies_of_sparse_and_full_sketches(monkeypatch, words):
+    """Blocks without, with some and with all of their places; with 4,000 words all cells are counted."""
+    monkeypatch.setattr(near_dup, "DF_BITS", 8)
+    monkeypatch.setattr(near_dup, "DF_BLOCK_BITS", 4)
+    texts = [" ".join(f"w{i % 3}x{j}" for j in range(words)) for i in range(7)] + ["", None]
+    counts, docs = np.zeros((near_dup.DF_ROWS, 256), np.int64), 0
+    for text in texts:
+        piece = tx.Slice(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len(text or "")]))
+        value = np.unique(tx.Words(piece, tx.FOLDED).shingles(near_dup.SHINGLE)[1])
+        docs += len(value) > 0
+        for row in range(near_dup.DF_ROWS):
+            counts[row] += np.bincount(near_dup._df_cells(value, row), minlength=256)
+    sent = [x for batch in near_dup._count_parts(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])) for x in batch.to_pylist() if x["block"] >= 0]
+    assert {len(x["place"]) == 0 for x in sent} == ({True} if words == 4000 else {False})
+    merged = {}
+    parts = [near_dup._count_parts(iter([pa.RecordBatch.from_arrays([pa.array(half)], names=["text"])])) for half in (texts[:4], texts[4:])]
+    for batch in near_dup._merge_counts(b for part in parts for b in part):
+        merged |= dict(zip(batch.column(0).to_pylist(), (np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()), strict=True))
+    assert merged.pop(-1)[0] == docs
+    flat = counts.reshape(-1, 16)
+    assert all(np.array_equal(merged.get(k, np.zeros(16)), flat[k]) for k in range(len(flat)))
+
+
 def test_near_duplicates_on_documents(sf_docs):
     expected = brute.near_classes([(r.doc_id, r.text) for r in sf_docs.collect()])
     assert {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(sf_docs).collect()} == expected

@@ -1,7 +1,9 @@
 """Ranking, graph, vector and selection operators on small cases."""
 
 import random
+import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,38 @@ def test_components_of_chains_and_stars(spark, monkeypatch, hot_keys):
     assert got == {x: find(x) for x in parent if x not in loose}
 
 
+def test_least_connected():
+    rng = random.Random(5)
+    for n in (1, 2, 30, 400):
+        for links in ([(0, x + 1) for x in range(n)], [(x, x + 1) for x in range(n)], [(x, n) for x in range(n)], [(rng.randrange(n), rng.randrange(n)) for _ in range(n)]):
+            links = [(a * 7 - 50, b * 7 - 50) for a, b in links]
+            label = {x: x for pair in links for x in pair}
+            while more := [(a, b) for a, b in links if label[a] != label[b]]:
+                for a, b in more:
+                    label[a] = label[b] = min(label[a], label[b])
+            nodes, least = graph.least_connected(*(np.array(x, np.int64) for x in zip(*links, strict=True)))
+            assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == label
+
+
+@pytest.mark.parametrize("task_links", [1000, 40, 3])
+def test_components_in_one_task_and_in_rounds(spark, task_links):
+    links = [(x, x + 1) for x in range(0, 60)] + [(x, 900) for x in range(100, 300)] + [(7, 7), (None, 4), (500, 600), (600, 500)]
+    got = graph.components(frame(spark, links, "a long, b long").repartition(3)).collect() if task_links == 1000 else graph.components(frame(spark, links, "a long, b long"), task_links=task_links).collect()
+    expected = dict.fromkeys(range(61), 0) | dict.fromkeys([*range(100, 300), 900], 100) | {500: 500, 600: 500}
+    assert len(got) == len(expected) and {r.node: r.label for r in got} == expected
+
+
+def test_components_that_fit_a_task_need_few_jobs(spark):
+    links = frame(spark, [(x, x + 1) for x in range(200)], "a long, b long")
+    name = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        graph.components(links)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)) <= 8
+
+
 def test_drift_and_diff(spark):
     nodes = frame(spark, [("a", "t", "1"), ("b", "t", "1"), ("c", "t", "1")], "node_id string, node_type string, tag string")
     report = frame(spark, [("a", "OK", 1), ("a", "error", 2), ("b", " ", 1), ("z", "ok", 1)], "node_id string, status string, position int")
